@@ -12,6 +12,7 @@ import re
 import sys
 import unicodedata
 from functools import lru_cache, reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ WHITESPACE = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace
 
 def fold(text: Column) -> Column:
     """Lower case, with the few letters that fold to ASCII replaced."""
-    odd = reduce(lambda a, b: a | b, (text.contains(c) for c in _FOLD_FROM))
+    odd = reduce(or_, (text.contains(c) for c in _FOLD_FROM))
     return F.lower(F.when(odd, F.translate(text, _FOLD_FROM, _FOLD_TO)).otherwise(text))
 
 
@@ -60,55 +61,54 @@ def any_of(patterns) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-def _better(a, b):
-    """The candidate whose shortest literal is longest."""
-    if a is None or b is None:
-        return a or b
-    return a if min(map(len, a)) >= min(map(len, b)) else b
+def _shortest(literals: frozenset) -> int:
+    return min(map(len, literals))
 
 
-def _required(tree) -> frozenset | None:
-    """Literals of which each match holds at least one, or None."""
-    best, run = None, ""
+def _required(tree) -> list[frozenset]:
+    """Sets of literals; a match holds at least one literal of every set."""
+    sets, run = [], []
 
-    def close(run, best):
-        return _better(best, frozenset([run])) if run else best
+    def close():
+        if run:
+            sets.append(frozenset(["".join(run)]))
+            run.clear()
 
     for op, arg in tree:
         if op is _sc.LITERAL:
-            run += chr(arg)
+            run.append(chr(arg))
+        elif op in (_sc.AT, _sc.ASSERT, _sc.ASSERT_NOT):  # zero width
             continue
-        if op in (_sc.AT, _sc.ASSERT, _sc.ASSERT_NOT):  # zero width
-            continue
-        best, run = close(run, best), ""
-        if op is _sc.SUBPATTERN:
-            best = _better(best, _required(arg[-1]))
         elif op is _sc.BRANCH:
-            sides = [_required(side) for side in arg[1]]
-            best = _better(best, None if None in sides else frozenset().union(*sides))
-        elif op in (_sc.MAX_REPEAT, _sc.MIN_REPEAT) and arg[0] > 0:
-            best = _better(best, _required(arg[2]))
-    return close(run, best)
+            lead = [(_sc.LITERAL, ord(c)) for c in run]
+            close()
+            sides = [_required(lead + list(side)) for side in arg[1]]
+            if all(sides):
+                sets.append(frozenset().union(*[max(s, key=_shortest) for s in sides]))
+        else:
+            close()
+            if op is _sc.SUBPATTERN:
+                sets += _required(arg[-1])
+            elif op in (_sc.MAX_REPEAT, _sc.MIN_REPEAT) and arg[0] > 0:
+                sets += _required(arg[2])
+    close()
+    return sets
 
 
 @lru_cache(maxsize=None)
-def gate_literals(pattern: str) -> tuple[str, ...] | None:
-    """Lower-case literals, one of which is in every match; None if there are none of use."""
+def gate_literals(pattern: str) -> tuple[tuple[str, ...], ...]:
+    """The two most telling sets of literals that every match must meet, lower case."""
     if _sp is None:
-        return None
-    found = _required(_sp.parse(pattern))
-    if not found or min(map(len, found)) < _MIN_GATE:
-        return None
+        return ()
     # a literal inside which another one lies adds nothing
-    keep = [w for w in found if not any(o != w and o in w for o in found)]
-    return tuple(sorted(w.lower() for w in keep))
+    sets = [{w for w in s if not any(o != w and o in w for o in s)} for s in _required(_sp.parse(pattern))]
+    useful = {tuple(sorted(w.lower() for w in s)) for s in sets if _shortest(s) >= _MIN_GATE}
+    return tuple(sorted(useful, key=lambda s: (-_shortest(s), s))[:2])
 
 
 def _gate(folded: Column, pattern: str) -> Column | None:
-    literals = gate_literals(pattern)
-    if literals is None:
-        return None
-    return reduce(lambda a, b: a | b, (folded.contains(w) for w in literals))
+    any_of_set = [reduce(or_, (folded.contains(w) for w in s)) for s in gate_literals(pattern)]
+    return reduce(and_, any_of_set) if any_of_set else None
 
 
 def found(folded: Column, pattern: str) -> Column:
@@ -139,7 +139,7 @@ def found_caseless(text: Column, patterns) -> Column:
 
 def has_any(text: Column, tokens) -> Column:
     """Whether a lower-cased text holds any of the tokens."""
-    return reduce(lambda a, b: a | b, (text.contains(t) for t in tokens))
+    return reduce(or_, (text.contains(t) for t in tokens))
 
 
 def quoted(tokens) -> str:

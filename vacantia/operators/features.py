@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import lexicon
 from ..functions.patterns import any_of, first_match, fold, found, group, hits, quoted, to_int
 from ..functions.text import company_name_norm, normalize_title, occurrences, section
+from ..session import once_per_session
 
 _CORE = [
     "title_norm", "seniority", "specialization", "required_years", "preferred_years",
@@ -68,19 +69,16 @@ def company_tier(name: Column) -> Column:
     return first_match(norm, {**tiers, **lexicon.COMPANY_PATTERNS}.items(), test=lambda t, p: t.rlike("(?U)" + p))
 
 
-def features(df: DataFrame, vocabulary=None, banks=None) -> DataFrame:
-    """Add FEATURE_COLUMNS to postings (title, description_text, company_name).
+def _layers(vocabulary, banks) -> list[dict[str, Column]]:
+    """Columns to add, layer by layer.
 
-    Built in layers; each reads the columns of the one below more than once, so
-    the optimizer keeps them apart and no text is scanned twice for one column.
+    Each layer reads the columns of the one below more than once, so the
+    optimizer keeps them apart and no text is scanned twice for one column.
     """
-    banks = banks or lexicon.PHRASE_BANKS
     text = F.coalesce("description_text", F.lit(""))
-    df = df.withColumns({"title_norm": normalize_title(F.col("title")), "_folded": fold(text)})
-
     folded, title = F.col("_folded"), F.col("title_norm")
     with_title = F.concat(folded, F.lit(" "), title)
-    layer = {
+    parsed = {
         **experience(folded),
         "_preferred": section(folded, lexicon.PREFERRED_HEADINGS),
         "_required": section(folded, lexicon.REQUIRED_HEADINGS),
@@ -93,25 +91,37 @@ def features(df: DataFrame, vocabulary=None, banks=None) -> DataFrame:
     }
     for bank, patterns in banks.items():
         read = with_title if bank in lexicon.BANKS_WITH_TITLE else folded
-        layer[f"hits_{bank}"] = hits(read, any_of(patterns))
-    df = df.withColumns(layer)
-
-    df = df.withColumns(
+        parsed[f"hits_{bank}"] = hits(read, any_of(patterns))
+    # a cut-off section may show a word the whole text does not hold, hence the intersections
+    preferred = F.array_except(F.array_intersect("skills", "_in_preferred"), "_in_required")
+    required = F.array_union(F.array_intersect("skills", "_in_required"), "skills_title")
+    return [
+        {"title_norm": normalize_title(F.col("title")), "_folded": fold(text)},
+        parsed,
         {
             "seniority": detect_seniority(title, folded, F.col("required_years")),
             "skills": F.array_union("skills_title", "skills_description"),
             "_in_preferred": skills_in(F.col("_preferred"), vocabulary),
             "_in_required": skills_in(F.col("_required"), vocabulary),
-        }
-    )
-    # a cut-off section may show a word the whole text does not hold, hence the intersections
-    df = df.withColumn(
-        "skills_preferred", F.array_except(F.array_intersect("skills", "_in_preferred"), "_in_required")
-    )
-    in_section = F.array_intersect("skills", "_in_required")
-    df = df.withColumn(
-        "skills_required", F.array_except(F.array_union(in_section, "skills_title"), "skills_preferred")
+        },
+        {"skills_preferred": preferred},
+        {"skills_required": F.array_except(required, "skills_preferred")},
+    ]
+
+
+@once_per_session
+def _default_layers() -> list[dict[str, Column]]:
+    return _layers(lexicon.SKILLS, lexicon.PHRASE_BANKS)
+
+
+def features(df: DataFrame, vocabulary=None, banks=None) -> DataFrame:
+    """Add FEATURE_COLUMNS to postings (title, description_text, company_name)."""
+    tuned = vocabulary or banks
+    layers = (
+        _layers(vocabulary or lexicon.SKILLS, banks or lexicon.PHRASE_BANKS) if tuned else _default_layers()
     )
+    for layer in layers:
+        df = df.withColumns(layer)
     return df.drop("_folded", "_preferred", "_required", "_in_preferred", "_in_required")
 
 

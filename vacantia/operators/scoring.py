@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import lexicon
 from ..functions.patterns import has_any
 from ..functions.times import age_days, clock
+from ..session import once_per_session
 from .features import FEATURE_COLUMNS, features
 
 DEFAULT_REGION = "INTERNATIONAL"
@@ -345,13 +346,22 @@ def _confidence() -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("int")
 
 
+def _triggered(as_of, strategies) -> Column:
+    slots = F.array(*[_fire(slot, strategies) for slot in rule_slots(clock(as_of))])
+    return F.filter(slots, lambda r: r.isNotNull() & (r["final_points"] != 0))
+
+
+@once_per_session
+def _default_triggered(as_of: str) -> Column:
+    return _triggered(as_of, lexicon.STRATEGIES)
+
+
 def apply_rules(df: DataFrame, as_of, strategies=None) -> DataFrame:
     """Score parsed postings: adds triggered_rules, raw_score, score, confidence and label."""
+    common = strategies is None and isinstance(as_of, str)
     strategies = strategies or lexicon.STRATEGIES
-    slots = F.array(*[_fire(slot, strategies) for slot in rule_slots(clock(as_of))])
-    df = df.withColumn(
-        "triggered_rules", F.filter(slots, lambda r: r.isNotNull() & (r["final_points"] != 0))
-    )
+    triggered = _default_triggered(as_of) if common else _triggered(as_of, strategies)
+    df = df.withColumn("triggered_rules", triggered)
     # summed in rule order, so that halves round the same way everywhere
     raw = F.aggregate("triggered_rules", F.lit(0.0), lambda acc, r: acc + r["final_points"])
     df = df.withColumns({"raw_score": raw, "confidence": _confidence()})

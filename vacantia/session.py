@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # A dimension is broadcast only up to this many rows (see ``small_side``).
 BROADCAST_ROWS = 200_000
@@ -20,6 +23,8 @@ def local_session(cores: int | str = 8, app: str = "vacantia", memory: str = "8g
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(cores))
+        # call sites of every column expression are not needed and slow to collect
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .getOrCreate()
@@ -34,6 +39,35 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def once_per_session(build):
+    """Build large column trees once: they never change, and each node is a gateway call."""
+    kept = {}
+
+    @wraps(build)
+    def get(*args):
+        sc = SparkContext._active_spark_context
+        key = (sc.applicationId if sc else None, *args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return get
+
+
+def spread(df: DataFrame, *keys: str, min_bytes_per_task: int = 128 << 20) -> DataFrame:
+    """Spread a small input over all cores before heavy work per row.
+
+    One small file is one task, however many cores wait.  Inputs large enough to
+    fill the cores by themselves are left alone, so nothing large is shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) >= cores * min_bytes_per_task:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one where none is set (tests)."""
     sc = spark.sparkContext
@@ -50,8 +84,6 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
     Beyond the bound the frame is returned as it is and Spark shuffles the join.
     """
-    from pyspark.sql import functions as F
-
     if df.limit(rows + 1).count() <= rows:
         return F.broadcast(df)
     return df
