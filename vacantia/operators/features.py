@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import lexicon
 from ..functions.patterns import any_of, first_match, fold, found, group, hits, quoted, to_int
 from ..functions.text import company_name_norm, normalize_title, occurrences, section
-from ..session import once_per_session
+from ..session import once_per_session, settled
 
 _CORE = [
     "title_norm", "seniority", "specialization", "required_years", "preferred_years",
@@ -99,13 +99,13 @@ def _layers(vocabulary, banks) -> list[dict[str, Column]]:
         {"title_norm": normalize_title(F.col("title")), "_folded": fold(text)},
         parsed,
         {
-            "seniority": detect_seniority(title, folded, F.col("required_years")),
-            "skills": F.array_union("skills_title", "skills_description"),
+            "seniority": settled(detect_seniority(title, folded, F.col("required_years"))),
+            "skills": settled(F.array_union("skills_title", "skills_description")),
             "_in_preferred": skills_in(F.col("_preferred"), vocabulary),
             "_in_required": skills_in(F.col("_required"), vocabulary),
         },
         {"skills_preferred": preferred},
-        {"skills_required": F.array_except(required, "skills_preferred")},
+        {"skills_required": settled(F.array_except(required, "skills_preferred"))},
     ]
 
 

@@ -56,20 +56,26 @@ def region_country(region: Column, location: Column, remote: Column) -> Column:
     )
 
 
+def _passes(country: Column) -> Column:
+    # cheapest test first
+    return (
+        country.isNotNull()
+        & title_matches(F.col("title"))
+        & ~experience_excluded(F.col("description_text"))
+    )
+
+
 def passes_for_region(df: DataFrame, region: str = "region") -> DataFrame:
     """Add ``passes`` and the filter's own ``country`` (a payload's country is not kept)."""
     country = region_country(F.col(region), F.col("location"), F.col("remote"))
-    ok = (
-        title_matches(F.col("title"))
-        & country.isNotNull()
-        & ~experience_excluded(F.col("description_text"))
-    )
-    return df.withColumn("passes", ok).withColumn("country", F.when(F.col("passes"), country))
+    return df.withColumn("passes", _passes(country)).withColumn("country", F.when(F.col("passes"), country))
 
 
 def accepted(df: DataFrame, region: str = "region") -> DataFrame:
     """The postings that pass, each with its country."""
-    return passes_for_region(df, region).where("passes").drop("passes")
+    country = region_country(F.col(region), F.col("location"), F.col("remote"))
+    # the test is not a column, so the regular expressions run once, in the filter
+    return df.where(_passes(country)).withColumn("country", country)
 
 
 def looks_remote(location: Column, words=("remote",)) -> Column:

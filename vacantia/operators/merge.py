@@ -20,7 +20,7 @@ from ..functions.keys import job_fingerprint
 from ..functions.times import clock
 from ..schemas import JOB
 from ..session import checkpoint_dir, small_side
-from .filters import passes_for_region
+from .filters import accepted
 from .ordered import HOT_ROWS, hot_keys, running
 from .scoring import breakdown, score
 
@@ -229,7 +229,7 @@ def merge(
     """
     checkpoint_dir(observations.sparkSession)
     seen = with_fingerprint(of_companies(observations, companies))
-    sightings = passes_for_region(seen).where("passes")
+    sightings = accepted(seen)
     events = _events(jobs, drop_tombstoned(sightings, tombstones), unseen(jobs, seen, companies)).checkpoint()
 
     hot = hot_keys(events, "fingerprint", hot_rows)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import lexicon
 from ..functions.patterns import has_any
 from ..functions.times import age_days, clock
-from ..session import once_per_session
+from ..session import once_per_session, settled
 from .features import FEATURE_COLUMNS, features
 
 DEFAULT_REGION = "INTERNATIONAL"
@@ -361,10 +361,10 @@ def apply_rules(df: DataFrame, as_of, strategies=None) -> DataFrame:
     common = strategies is None and isinstance(as_of, str)
     strategies = strategies or lexicon.STRATEGIES
     triggered = _default_triggered(as_of) if common else _triggered(as_of, strategies)
-    df = df.withColumn("triggered_rules", triggered)
+    df = df.withColumn("triggered_rules", settled(triggered))
     # summed in rule order, so that halves round the same way everywhere
     raw = F.aggregate("triggered_rules", F.lit(0.0), lambda acc, r: acc + r["final_points"])
-    df = df.withColumns({"raw_score": raw, "confidence": _confidence()})
+    df = df.withColumns({"raw_score": settled(raw), "confidence": _confidence()})
     score = F.greatest(F.lit(0), F.least(F.lit(100), F.rint("raw_score").cast("int")))
     df = df.withColumn("score", score)
     strategy = F.when(F.col("region").isin(*strategies), F.col("region")).otherwise(DEFAULT_REGION)

@@ -37,7 +37,7 @@ def parse_list(value: str | None, domain: Sequence[str], strict: bool = False) -
 def text_matches(query: str) -> Column:
     """Title or description, ignoring case; % and _ in the query are wildcards."""
     like = F.lit(f"%{query.lower()}%")
-    return F.lower("title").like(like) | F.lower("description_text").like(like)
+    return F.like(F.lower("title"), like) | F.like(F.lower("description_text"), like)
 
 
 def search(

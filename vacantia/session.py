@@ -7,7 +7,7 @@ import tempfile
 from functools import wraps
 
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A dimension is broadcast only up to this many rows (see ``small_side``).
@@ -54,6 +54,18 @@ def once_per_session(build):
     return get
 
 
+def settled(column: Column) -> Column:
+    """A column that filters above it cannot be pushed through.
+
+    Pushing a filter below a projection copies the projected expressions into the
+    filter.  For layers that read each other many times, as features and scores do,
+    the copies multiply until planning itself runs out of memory.  Reading the
+    partition number makes the projection non-deterministic for the optimizer and
+    costs nothing.  Filter on plain columns before such a layer, not after it.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 def spread(df: DataFrame, *keys: str, min_bytes_per_task: int = 128 << 20) -> DataFrame:
     """Spread a small input over all cores before heavy work per row.
 

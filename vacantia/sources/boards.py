@@ -39,7 +39,7 @@ def _no_id(external_id: Column) -> Column:
 
 
 def _any_remote(place: Column, places: Column) -> Column:
-    more = F.exists(F.coalesce(places, F.array().cast("array<string>")), looks_remote)
+    more = F.exists(F.coalesce(places, F.array().cast("array<string>")), lambda p: looks_remote(p))
     return looks_remote(place) | more
 
 

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.patterns import strip
 from ..functions.text import html_to_text
@@ -16,7 +17,7 @@ from .landing import filled, listings, observed
 _BLOB = r'(?s)<script id="__NEXT_DATA__" type="application/json">(.*?)</script>'
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _objects_with_title(blobs: pd.Series) -> pd.Series:
     """Every JSON object that has a title, outer before inner; none when unreadable."""
 
