@@ -110,7 +110,7 @@ _CARD = S.title_matches("title")
 _TAGS = "<[/!?]?[A-Za-z?!](?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*>"
 _BODY = "regexp_replace(html, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>', ' ', 'g')"
 _PLAIN = f"regexp_replace({_BODY}, '(?s){_TAGS}', ' ', 'g')"
-for _ref, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+for _ref, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
     _PLAIN = f"replace({_PLAIN}, '{_ref}', '{_char}')"
 
 _EPOCH = "CAST(epoch(date_trunc('second', ts)) AS BIGINT)"
@@ -225,8 +225,8 @@ ORACLES: dict[str, str] = {
     ),
     "m07_last_seen": merged(3, f"SELECT {ts('last_seen_at')}, count(*) AS n_jobs FROM jobs3 GROUP BY 1"),
     "m08_failed_company": merged(
-        1, f"SELECT fp AS fingerprint, lifecycle, {ts('last_seen_at')} FROM jobs1 WHERE company_slug = 'asana'"
-    ).replace("FROM jobs1 WHERE", "FROM jobs1 WHERE"),
+        2, f"SELECT fp AS fingerprint, lifecycle, {ts('last_seen_at')} FROM jobs2 WHERE company_slug = 'asana'"
+    ),
     "w02_ordered_sightings": merged(
         1, """SELECT fp AS fingerprint, min(slug) AS first_company, max(slug) AS last_company, count(*) AS n_sightings
  FROM ev1 WHERE kind = 'sighting' GROUP BY fp HAVING count(*) > 1"""
@@ -244,8 +244,9 @@ ORACLES: dict[str, str] = {
  LEFT JOIN jobs1 j ON j.fp = o.fp AND j.company_slug = o.company_slug GROUP BY 1, 2""",
     ),
     "j09_rule_weights": scored(
-        "SELECT region AS strategy, name, any_value(final_points / base_points) AS w, count(*) AS n_rules FROM rules JOIN src USING (k) GROUP BY 1, 2"
-    ).replace("any_value(final_points / base_points) AS w", "round(any_value(final_points / base_points), 4) AS weight"),
+        """SELECT region AS strategy, name, round(any_value(final_points / base_points), 4) AS weight, count(*) AS n_rules
+ FROM rules JOIN src USING (k) GROUP BY 1, 2"""
+    ),
     "w01_first_listing": S.with_(
         S.POSTINGS, f"snap1 AS ({runs.snapshot_sql(1)})", f"obs1 AS ({runs.repeated_sql('snap1')})",
         select="""SELECT source, external_id, company_slug, title FROM obs1
@@ -355,15 +356,13 @@ ORACLES: dict[str, str] = {
         f"CASE WHEN doc_id % 2 = 0 THEN 'Egypt' ELSE {_LOC} END", ts("posted_at"), location=_LOC,
     ),
     "s04_workday": listed(
-        f"contains(lower(coalesce({_LOC}, CASE WHEN doc_id % 3 <> 0 THEN 'cairo' END, '')), 'remote')",
+        _remote("remote"),
         f"coalesce({_LOC}, CASE WHEN doc_id % 3 <> 0 THEN 'Cairo' END)",
         "CASE WHEN doc_id % 3 <> 0 THEN 'Full time' END AS employment_type",
         external_id="company_slug || '_R-' || external_id",
         apply_url="'https://' || company_slug || '.jobs.example.com/en-US/Careers/job/City/' || company_slug || '_R-' || external_id",
         location=f"coalesce({_LOC}, CASE WHEN doc_id % 3 <> 0 THEN 'Cairo' END)",
         description_text=f"CASE WHEN doc_id % 3 <> 0 THEN {_DESC} END",
-    ).replace("CASE WHEN doc_id % 3 <> 0 THEN 'cairo' END, ''", "''").replace(
-        "contains(lower(coalesce(nullif(location, ''), ''))", "contains(lower(coalesce(nullif(location, ''), ''))"
     ),
     "s05_linkedin": listed(
         _remote("remote"), _LOC, ts("posted_at"), where=_CARD, location=_LOC,

@@ -57,12 +57,23 @@ def linkedin_cards(landing: DataFrame) -> DataFrame:
     return df.where("title IS NOT NULL")
 
 
-def _segments(landing: DataFrame, source: str, link: str) -> DataFrame:
-    """A page cut at its job links: a card is what runs from one link to the next."""
-    rows = listings(landing, source)
+def _href(card: Column) -> Column:
+    return attribute(F.regexp_extract(card, r"(?s)^<a\b[^>]*>", 0), "href")
+
+
+def _segments(landing: DataFrame, source: str, link: str, key: str) -> DataFrame:
+    """A page cut at its job links: a card is what runs from one link to the next.
+
+    Of links to one posting on a page the first counts, with or without a title.
+    That is settled inside the page's row, before any shuffle.
+    """
     cut = F.split("payload", rf"(?is)(?=<a\b[^>]*\bhref\s*=\s*[\"']{link}[\"'])")
-    df = rows.select("run_id", "company_slug", "page", F.posexplode(cut).alias("pos", "card"))
-    return df.where("pos > 0").withColumn("href", attribute(F.regexp_extract("card", r"(?s)^<[^>]*>", 0), "href"))
+    ids = F.transform("cut", lambda c: F.coalesce(F.regexp_extract(_href(c), key, 1), F.lit("")))
+    rows = listings(landing, source).select("run_id", "company_slug", "page", cut.alias("cut")).withColumn("ids", ids)
+    df = rows.select("run_id", "company_slug", "page", "ids", F.posexplode("cut").alias("pos", "card"))
+    own = F.get("ids", F.col("pos"))
+    first = (own != "") & (F.array_position("ids", own) == F.col("pos") + 1)
+    return df.where(first).withColumns({"number": own, "href": _href(F.col("card"))}).drop("ids")
 
 
 def _link_text(card: Column) -> Column:
@@ -80,12 +91,10 @@ def _company(card: Column, href: str) -> Column:
 
 
 def wuzzuf_cards(landing: DataFrame) -> DataFrame:
-    df = _segments(landing, "wuzzuf", "/jobs/p/[^\"']*")
-    df = df.withColumn("external_id", F.regexp_extract("href", r"/jobs/p/([^/?#]+)", 1)).where("external_id <> ''")
-    df = first_per_key(df, ["run_id", "company_slug", "page", "external_id"], ["pos"])
+    df = _segments(landing, "wuzzuf", "/jobs/p/[^\"']*", r"/jobs/p/([^/?#]+)")
     card = F.col("card")
     df = df.select(
-        "run_id", "company_slug", "page", "pos", "external_id", _link_text(card).alias("title"),
+        "run_id", "company_slug", "page", "pos", F.col("number").alias("external_id"), _link_text(card).alias("title"),
         _company(card, "/jobs/companies/").alias("card_company"),
         _place(card, lexicon.WUZZUF_PLACES).alias("location"),
         F.concat(F.lit("https://wuzzuf.net"), "href").alias("apply_url"),
@@ -95,17 +104,14 @@ def wuzzuf_cards(landing: DataFrame) -> DataFrame:
 
 
 def bayt_cards(landing: DataFrame) -> DataFrame:
-    df = _segments(landing, "bayt", r"/en/[^/\"']+/jobs/[^/?#\"']+-\d+/?")
-    number = F.regexp_extract("href", r"-(\d+)/?$", 1)
-    df = df.withColumn("external_id", F.concat(F.lit("bayt-"), number))
-    df = first_per_key(df, ["run_id", "company_slug", "page", "external_id"], ["pos"])
+    df = _segments(landing, "bayt", r"/en/[^/\"']+/jobs/[^/?#\"']+-\d+/?", r"-(\d+)/?$")
     card = F.col("card")
     # a link around an icon only: the heading next to it is the title
     heading = node_text(F.regexp_extract(card, r"(?is)<h2\b[^>]*>(.*?)</h2\s*>", 1))
     own = _link_text(card)
     title = F.when(F.length(own) >= 4, own).otherwise(F.coalesce(heading, own))
     df = df.select(
-        "run_id", "company_slug", "page", "pos", "external_id", title.alias("title"),
+        "run_id", "company_slug", "page", "pos", F.concat(F.lit("bayt-"), "number").alias("external_id"), title.alias("title"),
         _company(card, "[^\"']*/companies/").alias("card_company"),
         _place(card, lexicon.BAYT_PLACES).alias("location"),
         F.concat(F.lit("https://www.bayt.com"), "href").alias("apply_url"),

@@ -24,6 +24,15 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LANDING).json(path)
 
 
+def stage_landing(landing: DataFrame, path: str) -> None:
+    """Landing rows as Parquet by run, source and kind, so that a reader reads its own part only."""
+    landing.write.mode("append").partitionBy("run_id", "source", "kind").parquet(path)
+
+
+def read_staged(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LANDING).parquet(path).select(*LANDING.names)
+
+
 def stream_landing(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(LANDING).json(path)
 
