@@ -14,7 +14,7 @@ from ..schemas import OBSERVATION, RUN_LOG
 from ..session import checkpoint_dir, pin_utc
 from ..sinks.store import Store
 from ..sources.landing import good, rejects, run_status
-from ..sources.registry import read_items
+from ..sources.registry import no_items, read_items
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,11 @@ def refresh(
 
     jobs = store.jobs()
     pages = landed.join(ok.select(F.col("slug").alias("company_slug")), "company_slug", "left_semi")
-    items = read_items(pages.select(*landed.columns), ok, jobs).checkpoint()
+    # the sources in play are at most the eight that exist
+    sources = [r[0] for r in ok.select("source").distinct().orderBy("source").collect()]
+    items = (
+        read_items(pages.select(*landed.columns), ok, jobs, sources).checkpoint() if sources else no_items(store.spark)
+    )
     seen = good(items).select(*OBSERVATION.names)
     merged = merge.merge(jobs, seen, ok, store.tombstones(), as_of)
     counters = merge.run_counters(merged, seen, went)

@@ -45,8 +45,13 @@ def element(markup: Column, names: str, name: str, value: str) -> Column:
 
 
 def inner(markup: Column, names: str, name: str, value: str) -> Column:
-    """Text of the first element with a matching attribute, null when there is none."""
-    return node_text(element(markup, names, name, value))
+    """Text of the first element with a matching attribute, up to the first end tag of its kind.
+
+    For the small elements of a card; ``element`` minds nested ones.
+    """
+    quoted = rf"(?:\"[^\"]*(?:{value})[^\"]*\"|'[^']*(?:{value})[^']*')"
+    found = rf"(?is)<({names})\b[^>]*\b{name}\s*=\s*{quoted}[^>]*>(.*?)</\1\s*>"
+    return node_text(F.regexp_extract(markup, found, 2))
 
 
 def node_text(markup: Column) -> Column:

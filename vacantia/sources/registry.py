@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
+from ..schemas import OBSERVATION
 from . import boards, cards, embedded
 from .landing import good, rejects
 
@@ -44,6 +46,10 @@ def read_items(landing: DataFrame, companies: DataFrame, jobs: DataFrame | None
     return reduce(DataFrame.unionByName, parts)
 
 
+def no_items(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], T.StructType(OBSERVATION.fields).add("reject", "string"))
+
+
 def read_observations(landing, companies, jobs=None, sources=None) -> DataFrame:
     return good(read_items(landing, companies, jobs, sources))
 
