@@ -47,6 +47,11 @@ def fold(text: Column) -> Column:
     return F.lower(F.when(odd, F.translate(text, _FOLD_FROM, _FOLD_TO)).otherwise(text))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Trim Unicode white space, not only blanks."""
     return F.btrim(text, F.lit(WHITESPACE))

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicon
-from .patterns import CASELESS, UNICODE, strip
+from .patterns import CASELESS, let, strip
 
 # Named entities by rule from the standard library.
 _HTML4 = {name: chr(cp) for name, cp in html.entities.name2codepoint.items()}
@@ -41,19 +41,25 @@ def unescape(text: Column, html5: bool = True) -> Column:
     names = _HTML5 if html5 else {**_HTML4, "apos": "'"}
 
     def piece(part: Column) -> Column:
-        ref = F.regexp_extract(part, _ENTITY, 1)
+        # the text before the first entity, if any, starts with no &
+        return F.when(part.startswith("&"), let(F.regexp_extract(part, _ENTITY, 1), lambda ref: named(part, ref))).otherwise(part)
+
+    def named(part: Column, ref: Column) -> Column:
         rest = F.substring(part, F.length(ref) + 3, F.length(part))
         number = F.when(
             F.substring(ref, 2, 1).isin("x", "X"), F.conv(F.substring(ref, 3, F.length(ref)), 16, 10)
         ).otherwise(F.substring(ref, 2, F.length(ref))).try_cast("bigint")
-        named = reduce(lambda w, kv: w.when(ref == kv[0], F.lit(kv[1])), _COMMON.items(), F)
+        common = reduce(lambda w, kv: w.when(ref == kv[0], F.lit(kv[1])), _COMMON.items(), F)
         char = F.when(ref.startswith("#"), _code_point(number)).otherwise(
-            F.coalesce(named.otherwise(None), _lookup(names, ref))
+            F.coalesce(common.otherwise(None), _lookup(names, ref))
         )
-        return F.when((ref == "") | char.isNull(), part).otherwise(F.concat(char, rest))
+        return F.when(ref == "", part).otherwise(F.coalesce(F.concat(char, rest), part))
+
+    def decode(whole: Column) -> Column:
+        decoded = F.array_join(F.transform(F.split(whole, "(?=&)"), piece), "")
+        return F.when(whole.contains("&"), decoded).otherwise(whole)
 
-    decoded = F.array_join(F.transform(F.split(text, "(?=&)"), piece), "")
-    return F.when(text.contains("&"), decoded).otherwise(text)
+    return let(text, decode)
 
 
 def collapse(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon
 from ..schemas import MAX_LENGTH
+from ..session import small_side
 
 NOT_NULL = ["fingerprint", "company_slug", "source", "external_id", "title", "apply_url", "region", "lifecycle"]
 DOMAINS = {
@@ -35,7 +36,8 @@ def row_checks(jobs: DataFrame) -> DataFrame:
 
 def violations(jobs: DataFrame, companies: DataFrame) -> DataFrame:
     """(check, key) for every broken rule of jobs and companies; empty when all is well."""
-    orphans = jobs.join(companies, jobs["company_slug"] == companies["slug"], "left_anti").select(
+    slugs = companies.select(F.col("slug").alias("company_slug"))
+    orphans = jobs.join(small_side(slugs), "company_slug", "left_anti").select(
         F.lit("job without company").alias("check"), F.col("fingerprint").alias("key")
     )
     parts = [

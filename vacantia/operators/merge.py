@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import job_fingerprint
 from ..functions.times import clock
 from ..schemas import JOB
-from ..session import checkpoint_dir, small_side
+from ..session import small_side, staged
 from .filters import accepted
 from .ordered import HOT_ROWS, hot_keys, running
 from .scoring import breakdown, score
@@ -224,13 +224,12 @@ def merge(
     """Fold a run into the job table.
 
     ``companies`` are those whose run succeeded; others' sightings are ignored and
-    their jobs stay as they are.  Events are written to the checkpoint folder
-    once, as both results and the check for hot keys read them.
+    their jobs stay as they are.  Events are written out once before and once after
+    the fold: the check for hot keys and the two results read a few columns each.
     """
-    checkpoint_dir(observations.sparkSession)
     seen = with_fingerprint(of_companies(observations, companies))
     sightings = accepted(seen)
-    events = _events(jobs, drop_tombstoned(sightings, tombstones), unseen(jobs, seen, companies)).checkpoint()
+    events = staged(_events(jobs, drop_tombstoned(sightings, tombstones), unseen(jobs, seen, companies)))
 
     hot = hot_keys(events, "fingerprint", hot_rows)
     if hot.isEmpty():
@@ -241,7 +240,7 @@ def merge(
         )
         cold = _fold(events.join(hot, "fingerprint", "left_anti"), as_of, ())
         folded = cold.unionByName(_fold(blocked.join(hot, "fingerprint", "left_semi"), as_of, _BLOCKS))
-    folded = folded.checkpoint()
+    folded = staged(folded)
     outcomes = folded.where("kind <> 'base'").select(
         "fingerprint", F.col("slug").alias("company_slug"), "seq", "kind", "outcome",
         F.col("heuristic_score").alias("score"),

@@ -11,7 +11,7 @@ from ..functions.times import clock
 from ..operators import actions as acts
 from ..operators import merge, serving
 from ..schemas import OBSERVATION, RUN_LOG
-from ..session import checkpoint_dir, pin_utc
+from ..session import pin_utc, staged
 from ..sinks.store import Store
 from ..sources.landing import good, rejects, run_status
 from ..sources.registry import no_items, read_items
@@ -37,14 +37,13 @@ def refresh(
     its own line in the log; without any good company the run is no success.
     """
     pin_utc(store.spark)
-    checkpoint_dir(store.spark)
     if store.is_committed(run_id, part):
         if not store.run_log().where((F.col("run_id") == run_id) & (F.col("status") == "ok")).isEmpty():
             store.mark_success(as_of)  # in case the first try died right after its commit
         return Refreshed(False, store.current())
     chosen = (store.companies() if companies is None else companies).where("active")
     landed = landing.where(F.col("run_id") == run_id)
-    went = run_status(chosen, landed).checkpoint()
+    went = staged(run_status(chosen, landed))
     ok = went.where("status = 'ok'")
 
     jobs = store.jobs()
@@ -52,7 +51,7 @@ def refresh(
     # the sources in play are at most the eight that exist
     sources = [r[0] for r in ok.select("source").distinct().orderBy("source").collect()]
     items = (
-        read_items(pages.select(*landed.columns), ok, jobs, sources).checkpoint() if sources else no_items(store.spark)
+        staged(read_items(pages.select(*landed.columns), ok, jobs, sources)) if sources else no_items(store.spark)
     )
     seen = good(items).select(*OBSERVATION.names)
     merged = merge.merge(jobs, seen, ok, store.tombstones(), as_of)
@@ -98,8 +97,7 @@ def apply_user_actions(store: Store, actions: DataFrame, batch_id: str, as_of: s
 
 def rescore_all(store: Store, as_of: str, batch_id: str) -> DataFrame:
     """Score the whole table anew, for new weights; returns scanned, updated and unchanged."""
-    checkpoint_dir(store.spark)
-    again = merge.rescore(store.jobs(), store.companies(), as_of).checkpoint()
+    again = staged(merge.rescore(store.jobs(), store.companies(), as_of))
     store.commit_jobs(again, batch_id, "rescore", as_of)
     return merge.rescore_summary(again)
 

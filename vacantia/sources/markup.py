@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.patterns import strip
+from ..functions.patterns import let, strip
 from ..functions.text import unescape
 
 
@@ -27,10 +27,8 @@ def element(markup: Column, names: str, name: str, value: str) -> Column:
 
     The end is where as many tags of its kind were closed as opened.
     """
-    tag = opening_tag(markup, names, name, value)
-    kind = F.regexp_extract(tag, r"^<(\w+)", 1)
-    rest = F.substring(markup, F.instr(markup, tag), F.length(markup))
-    parts = F.split(rest, F.concat(F.lit("(?i)(?=</?"), kind, F.lit(r"\b)")))
+    def kind(tag: Column) -> Column:
+        return F.regexp_extract(tag, r"^<(\w+)", 1)
 
     def step(acc: Column, part: Column) -> Column:
         depth = acc["depth"] + F.when(part.startswith("</"), -1).when(part.startswith("<"), 1).otherwise(0)
@@ -39,9 +37,17 @@ def element(markup: Column, names: str, name: str, value: str) -> Column:
         return F.struct(depth.alias("depth"), at.alias("at"), end.alias("end"))
 
     zero = F.struct(*[F.lit(0).alias(c) for c in ("depth", "at", "end")])
-    end = F.aggregate(parts, zero, step, lambda acc: F.when(acc["end"] == 0, acc["at"] + 1).otherwise(acc["end"]))
-    body = F.array_join(F.slice(parts, 1, end - 1), "")
-    return F.when(tag != "", F.concat(body, F.lit("</"), kind, F.lit(">")))
+
+    def cut(parts: Column, tag: Column) -> Column:
+        end = F.aggregate(parts, zero, step, lambda acc: F.when(acc["end"] == 0, acc["at"] + 1).otherwise(acc["end"]))
+        return F.concat(F.array_join(F.slice(parts, 1, end - 1), ""), F.lit("</"), kind(tag), F.lit(">"))
+
+    def whole(page: Column, tag: Column) -> Column:
+        rest = F.substring(page, F.instr(page, tag), F.length(page))
+        parts = F.split(rest, F.concat(F.lit("(?i)(?=</?"), kind(tag), F.lit(r"\b)")))
+        return F.when(tag != "", let(parts, lambda p: cut(p, tag)))
+
+    return let(markup, lambda page: let(opening_tag(page, names, name, value), lambda tag: whole(page, tag)))
 
 
 def inner(markup: Column, names: str, name: str, value: str) -> Column:
