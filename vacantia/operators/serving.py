@@ -190,7 +190,8 @@ def state_value(state: DataFrame, key: str = lexicon.LAST_SUCCESS_KEY) -> DataFr
 def is_stale(companies: DataFrame, last: DataFrame, as_of, hours: int = lexicon.CATCHUP_THRESHOLD_HOURS) -> DataFrame:
     """Whether a run is due; never so without active companies."""
     active = companies.where("active").agg(F.count("*").alias("n"))
-    age = (F.unix_micros(clock(as_of)) - F.unix_micros(F.col("last_success").cast("timestamp"))) / 3_600_000_000
+    facts = last.select(F.col("last_success").cast("timestamp")).unionByName(active, allowMissingColumns=True)
+    facts = facts.agg(F.max("last_success").alias("last_success"), F.max("n").alias("n"))
+    age = (F.unix_micros(clock(as_of)) - F.unix_micros("last_success")) / 3_600_000_000
     due = (F.col("n") > 0) & (F.col("last_success").isNull() | (age >= hours))
-    # both sides are one-row aggregates
-    return last.join(active, F.lit(True)).select(due.alias("stale"))
+    return facts.select(due.alias("stale"))

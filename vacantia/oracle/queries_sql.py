@@ -314,6 +314,11 @@ ORACLES: dict[str, str] = {
     ),
     "k05_list_export": served(
         f"""SELECT fp AS fingerprint, c.name AS company, country, {labelled('score')} AS quality_label, application_status, score
+ FROM served s JOIN companies c ON c.slug = s.company_slug"""
+    ),
+    "k06_detail_export": served(
+        f"""SELECT fp AS fingerprint, c.name AS company, department, notes, description_text, {ts('first_seen_at')},
+ {labelled('score')} AS quality_label, score AS breakdown_score
  FROM served s JOIN companies c ON c.slug = s.company_slug"""
     ),
     "k07_company_export": served(

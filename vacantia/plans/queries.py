@@ -17,7 +17,7 @@ from ..functions import keys, text, times
 from ..functions.patterns import fold
 from ..operators import actions as acts
 from ..operators import constraints, features, filters, merge, ordered, scoring, serving
-from ..session import once_per_session, pin_utc, spread
+from ..session import pin_utc, spread
 from ..sources import boards, cards, embedded, landing
 from . import payloads, runs
 from .postings import AS_OF, postings
@@ -306,14 +306,20 @@ def _(spark, sf):
 
 
 # ------------------------------------------------------------------- merge
-@once_per_session
-def _merged_once(app: str, sf: str, upto: int):
-    return runs.merged(SparkSession.getActiveSession(), sf, upto)
+_MERGED: dict = {}
 
 
 def merged(spark: SparkSession, sf: str, upto: int):
-    """Runs are merged once per session and folder; their results lie in the checkpoint folder."""
-    return _merged_once(spark.sparkContext.applicationId, sf, upto)
+    """Runs 1 to upto merged one after another; the last merge, its sightings and companies.
+
+    Each run is merged once per session and folder, as a job table is: its result
+    is written out and later runs and queries read it.
+    """
+    key = (spark.sparkContext.applicationId, sf, upto)
+    if key not in _MERGED:
+        before = merged(spark, sf, upto - 1)[0].jobs if upto > 1 else None
+        _MERGED[key] = runs.step(spark, sf, before, upto)
+    return _MERGED[key]
 
 
 _JOB_TEXT = ["title", "location", "country", "remote", "department", "description_text", "apply_url"]
@@ -664,7 +670,7 @@ def _(spark, sf):
     record = serving.detail_record(served(spark, sf), _companies(spark))
     return record.select(
         "fingerprint", "company", "department", "notes", "description_text", ts_text("first_seen_at").alias("first_seen_at"),
-        F.size("score_breakdown.triggered_rules").alias("n_rules"),
+        "quality_label", F.col("score_breakdown.score").alias("breakdown_score"),
     )
 
 

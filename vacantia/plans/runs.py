@@ -69,15 +69,12 @@ def ran(spark: SparkSession, run: int) -> DataFrame:
     return companies(spark).withColumn("status", F.when(failed, "failed").otherwise("ok"))
 
 
-def merged(spark: SparkSession, sf_dir: str, upto: int) -> tuple[Merged, DataFrame, DataFrame]:
-    """Runs 1..upto folded one after another; the last merge, its sightings, its companies."""
+def step(spark: SparkSession, sf_dir: str, jobs: DataFrame | None, run: int) -> tuple[Merged, DataFrame, DataFrame]:
+    """One run merged into the jobs of the run before: the merge, its sightings, its companies."""
     pin_utc(spark)
     source = spread(postings(spark, sf_dir))
-    gone = tombstones(source)
-    jobs = spark.createDataFrame([], JOB)
-    for run in range(1, upto + 1):
-        went = ran(spark, run)
-        seen = observations(spark, source, run)
-        result = merge(jobs, seen, went.where("status = 'ok'"), gone, clock_of(run))
-        jobs = result.jobs
+    went = ran(spark, run)
+    seen = observations(spark, source, run)
+    before = spark.createDataFrame([], JOB) if jobs is None else jobs
+    result = merge(before, seen, went.where("status = 'ok'"), tombstones(source), clock_of(run))
     return result, seen, went

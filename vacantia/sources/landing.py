@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon
 from ..schemas import COMPANY, LANDING, OBSERVATION
-from ..session import small_side
+from ..session import settled, small_side
 
 # fixed values: what a board's listing must be, and what a search must be configured with
 PAYLOAD_OPENS = {"greenhouse": "{", "lever": "[", "ashby": "{", "workday": "{"}
@@ -84,6 +84,8 @@ def observed(df: DataFrame, source: str, reject: Column, **columns: Column) -> D
         "remote": F.lit(False),
         **columns,
     }
+    if "description_text" in given:  # long to work out and read many times above
+        given["description_text"] = settled(given["description_text"])
     return df.select(
         *[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in types.items()], reject.alias("reject")
     )
