@@ -503,15 +503,15 @@ def user_actions(df: DataFrame) -> DataFrame:
     key = keys.job_fingerprint(F.col("source"), F.col("external_id"), F.col("apply_url"))
     n = F.col("doc_id")
 
-    def some(when: Column, action: str, arg: Column, minute: int) -> DataFrame:
+    def some(when: Column, action: str, arg: Column, minute: int) -> Column:
         ts = F.timestamp_seconds(F.lit(1706900000) + n + 60 * minute)
-        return df.where(when).select(
-            key.alias("fingerprint"), F.lit(action).alias("action"), arg.alias("arg"), ts.alias("ts"),
-            F.lit(minute).cast("long").alias("seq"),
+        what = F.struct(
+            F.lit(action).alias("action"), arg.alias("arg"), ts.alias("ts"), F.lit(minute).cast("long").alias("seq")
         )
+        return F.when(when, what)
 
     none = F.lit(None).cast("string")
-    parts = [
+    batch = F.array(
         some(n % 7 == 1, "status", F.lit("APPLIED"), 1),
         some(n % 14 == 1, "status", F.lit("NOT_APPLIED"), 2),
         some(n % 28 == 1, "status", F.lit("APPLIED"), 3),
@@ -523,11 +523,9 @@ def user_actions(df: DataFrame) -> DataFrame:
         some(n % 6 == 1, "notes", F.concat(F.lit("note "), "external_id"), 7),
         some(n % 12 == 1, "notes", F.lit(""), 8),
         some(n % 41 == 1, "delete", none, 9),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    )
+    rows = df.select(key.alias("fingerprint"), F.explode_outer(batch).alias("a")).where("a IS NOT NULL")
+    return rows.select("fingerprint", "a.*")
 
 
 def served(spark, sf) -> DataFrame:
