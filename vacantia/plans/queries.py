@@ -595,11 +595,10 @@ def _(spark, sf):
 @query("f13_constraints")
 def _(spark, sf):
     """Violations in a job table whose rows were spoilt on purpose."""
-    n = F.pmod(F.xxhash64("fingerprint"), F.lit(1))
     jobs = served(spark, sf).withColumns(
         {
             "title": F.when(F.col("notes").isNotNull(), F.repeat(F.lit("x"), 501)).otherwise(F.col("title")),
-            "lifecycle": F.when(F.col("favorite") & (n == 0), "LOST").otherwise(F.col("lifecycle")),
+            "lifecycle": F.when(F.col("favorite"), "LOST").otherwise(F.col("lifecycle")),
             "company_slug": F.when(F.col("country") == "Europe", "nobody").otherwise(F.col("company_slug")),
         }
     )
