@@ -91,7 +91,7 @@ def _safe_cuts(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     """64-bit numbers that look random, from consecutive ones."""
     x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -99,8 +99,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_char_hash = _mixed(np.arange(0x110000 + 1))
-_offset_factor = _mixed(np.arange(1 << 12) + 0x200000) | np.uint64(1)
+_char_hash = mixed(np.arange(0x110000 + 1))
+_offset_factor = mixed(np.arange(1 << 12) + 0x200000) | np.uint64(1)
 
 
 def _hashes(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -109,7 +109,7 @@ def _hashes(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     offset = np.arange(len(codes), dtype=np.int32)
     offset -= np.repeat(starts.astype(np.int32), lengths)
     if len(lengths) and lengths.max() > len(_offset_factor):
-        factor = _mixed(offset.astype(np.uint64) + np.uint64(0x200000)) | np.uint64(1)
+        factor = mixed(offset.astype(np.uint64) + np.uint64(0x200000)) | np.uint64(1)
     else:
         factor = _offset_factor[offset]
     factor *= _char_hash[codes]

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_files
+from . import duck_bpe, token_files
 
 END_ID = 2
 
@@ -22,6 +22,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_duck_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by ranks, decoded again, and digests of both."""
+    ranks = tokenizer_file("byte_bpe_50k.tiktoken")
+    coded = duck_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
+    return duck_bpe.digests(duck_bpe.decode(coded.drop("text"), ranks))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from the token files."""
     manifest = token_files.write(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), END_ID)
@@ -31,6 +38,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_duck_bpe": op5_duck_bpe,
     "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {}
