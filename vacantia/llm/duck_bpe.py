@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pretokens import Encoder, mixed
+from .pretokens import CACHED_WORDS, Encoder, Segments, mixed
 
 LONG_BYTES = 128
 STATE_ROWS = 1_500_000  # rows that one recursive query may make
@@ -103,7 +104,7 @@ class Coder:
         self.id_hash = mixed(np.arange(size))
         self.place_factor = mixed(np.arange(RUN_IDS) + size) | np.uint64(1)
         self.encoder = Encoder(self.encode_pieces)
-        self.runs: dict[int, bytes] = {}
+        self.runs = Segments(np.uint8)
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
@@ -165,8 +166,8 @@ class Coder:
         Lists are cut into runs, before each token that starts with a blank and after
         ``RUN_IDS`` ids at the latest; every distinct run is aggregated once.
         """
-        if len(self.runs) > self.encoder.cached_words:
-            self.runs = {}
+        if len(self.runs.keys) > CACHED_WORDS:
+            self.runs = Segments(np.uint8)
         if not len(ids):
             return [b""] * len(ends)
         if ids.min() < 0 or ids.max() >= len(self.word_start):
@@ -182,9 +183,8 @@ class Coder:
         sizes = np.diff(np.append(starts, len(ids)))
         hashes = np.add.reduceat(self.id_hash[ids] * self.place_factor[place % RUN_IDS], starts)
         distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.runs]
-        if new:
+        new = np.flatnonzero(self.runs.missing(distinct))
+        if len(new):
             new_sizes = sizes[at[new]]
             pos = np.arange(new_sizes.sum()) - np.repeat(np.cumsum(new_sizes) - new_sizes, new_sizes)
             where = np.repeat(starts[at[new]], new_sizes) + pos
@@ -192,15 +192,14 @@ class Coder:
                 "run": np.repeat(np.arange(len(new), dtype=np.int32), new_sizes), "pos": pos.astype(np.int32),
                 "id": ids[where].astype(np.int32),
             }))
-            texts = self.db.sql(DECODE).to_arrow_table()["text"].to_pylist()
+            texts = [t.encode("latin-1") for t in self.db.sql(DECODE).to_arrow_table()["text"].to_pylist()]
             if len(texts) != len(new):
                 raise ValueError("an id that the vocabulary lacks")
-            for i, text in zip(new, texts, strict=True):
-                self.runs[keys[i]] = text.encode("latin-1")
-        runs = [self.runs[k] for k in keys]
-        pieces = [runs[i] for i in back.tolist()]
+            counts = np.fromiter(map(len, texts), np.int32, len(texts))
+            self.runs.add(distinct[new], np.frombuffer(b"".join(texts), np.uint8), counts)
+        places = self.runs.places(distinct)[back]
         bounds = np.searchsorted(starts, np.append(0, ends)).tolist()
-        return [b"".join(pieces[b:e]) for b, e in zip(bounds[:-1], bounds[1:], strict=True)]
+        return [self.runs.gathered(places[b:e])[0].tobytes() for b, e in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def coder(path: str) -> Coder:
@@ -219,22 +218,36 @@ def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of its text column; a column of the name ``ids`` is replaced."""
-    kept = docs.drop(ids)
-    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+
+
+def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the token ids of its text column; a column of the name ``ids`` is replaced.
+
+    With ``decoded`` the ids are decoded again in the same pass, into a column of that name:
+    a second pass would keep a second worker with all its tables beside each first one.
+    """
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
+    if decoded:
+        added.append(T.StructField(decoded, T.BinaryType()))
+    kept = docs.drop(*[f.name for f in added if f.name != text])
+    schema = T.StructType([*kept.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks_path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in column], np.int64)
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             for at, end in _slices(sizes):
                 part = batch.slice(at, end - at)
                 got = own.encoder.encode([t or "" for t in column.slice(at, end - at).to_pylist()])
-                offsets = np.append(0, np.cumsum([len(g) for g in got])).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(got)))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, ids])
+                columns = [*part.columns, _lists(got)]
+                if decoded:
+                    ends = np.cumsum([len(g) for g in got])
+                    columns.append(pa.array(own.decode(np.concatenate(got), ends), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return kept.mapInArrow(run, schema)
 
@@ -248,12 +261,12 @@ def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "d
         own = coder(ranks_path)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
-            sizes = np.array([4 * len(x) if x.is_valid else 0 for x in lists], np.int64)
-            for at, end in _slices(sizes):
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for at, end in _slices(4 * sizes):
                 part = batch.slice(at, end - at)
                 flat = lists.slice(at, end - at).flatten().to_numpy(zero_copy_only=False)
-                got = own.decode(flat.astype(np.int64), np.cumsum(sizes[at:end] // 4))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], [*part.schema.names, decoded])
+                got = own.decode(flat, np.cumsum(sizes[at:end]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], schema.names)
 
     return kept.mapInArrow(run, schema)
 

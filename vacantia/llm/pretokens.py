@@ -116,33 +116,60 @@ def _hashes(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(factor, starts)
 
 
+class Segments:
+    """Arrays kept by 64-bit key: sorted keys, and the arrays end to end."""
+
+    def __init__(self, dtype):
+        self.keys = np.zeros(0, np.uint64)
+        self.first = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int32)
+        self.flat = np.zeros(1 << 16, dtype)
+        self.used = 0
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        """Mask of the keys that are not kept."""
+        at = np.searchsorted(self.keys, keys)
+        inside = at < len(self.keys)
+        inside[inside] = self.keys[at[inside]] == keys[inside]
+        return ~inside
+
+    def add(self, keys: np.ndarray, flat: np.ndarray, count: np.ndarray) -> None:
+        total = len(flat)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + total] = flat
+        first = self.used + np.cumsum(count, dtype=np.int64) - count
+        self.used += total
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, at, keys[order])
+        self.first = np.insert(self.first, at, first[order])
+        self.count = np.insert(self.count, at, count[order])
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Positions of keys, all of them kept; they hold until the next ``add``."""
+        return np.searchsorted(self.keys, keys).astype(np.int32)
+
+    def gathered(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The arrays of many places end to end, and where each ends."""
+        count = self.count[places]
+        upto = np.cumsum(count, dtype=np.int64)
+        total = int(upto[-1]) if len(upto) else 0
+        return self.flat[np.repeat(self.first[places] - (upto - count), count) + np.arange(total)], upto
+
+
 class Encoder:
     """Texts to token ids, given a function that encodes distinct pieces."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], cached_words: int = CACHED_WORDS):
         self.encode_pieces, self.cached_words = encode, cached_words
-        self._forget()
+        self.known = Segments(np.int32)
 
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.first = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int32)
-        self.ids = np.zeros(1 << 17, np.int32)
-        self.used = 0
-
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, keys: list[int], words: list[str]) -> None:
         got = self.encode_pieces(words)
         counts = np.fromiter(map(len, got), np.int32, len(got))
-        total, at = int(counts.sum()), len(self.known) - len(words)
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.known) > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        self.ids[self.used : self.used + total] = np.fromiter((i for w in got for i in w), np.int32, total)
-        self.first[at : at + len(words)] = self.used + np.cumsum(counts) - counts
-        self.count[at : at + len(words)] = counts
-        self.used += total
+        flat = np.fromiter((i for w in got for i in w), np.int32, int(counts.sum()))
+        self.known.add(np.array(keys, np.uint64), flat, counts)
 
     def _chunks(self, texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
         rows: list[int] = []
@@ -161,42 +188,34 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text.  All new pieces of the call are encoded together."""
-        if len(self.known) > self.cached_words:
-            self._forget()
-        new: list[str] = []
-        tokens = []
+        if len(self.known.keys) > self.cached_words:
+            self.known = Segments(np.int32)
+        new: dict[int, str] = {}
+        chunks = []
         for rows, parts in self._chunks(texts):
             sizes = np.fromiter(map(len, parts), np.int64, len(parts))
             whole = "".join(parts)
             codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-            marks = np.cumsum(sizes)
-            codes = np.insert(codes, marks, np.uint32(0x110000))
+            codes = np.insert(codes, np.cumsum(sizes), np.uint32(0x110000))
             starts = np.flatnonzero(piece_starts(codes))
             hashes = _hashes(codes, starts)
             is_mark = codes[starts] == 0x110000
             distinct, at, back = np.unique(hashes[~is_mark], return_index=True, return_inverse=True)
-            known = self.known
-            index = [known.get(h, -1) for h in distinct.tolist()]
-            missing = [i for i, k in enumerate(index) if k < 0]
-            if missing:
+            missing = self.known.missing(distinct)
+            if missing.any():
                 # positions in the joined text: one mark less for each text before
-                begin = (starts - np.cumsum(is_mark))[~is_mark][at[missing]]
-                end = (np.append(starts[1:], len(codes)) - np.cumsum(is_mark))[~is_mark][at[missing]]
-                hashed = distinct[missing].tolist()
-                for i, h, b, e in zip(missing, hashed, begin.tolist(), end.tolist(), strict=True):
-                    index[i] = known[h] = len(known)
-                    new.append(whole[b:e])
-            ends = np.cumsum(~is_mark)[is_mark]
-            tokens.append((rows, np.array(index, np.int32)[back] if len(back) else np.zeros(0, np.int32), ends))
+                shift = np.cumsum(is_mark)
+                begin = (starts - shift)[~is_mark][at[missing]]
+                end = (np.append(starts[1:], len(codes)) - shift)[~is_mark][at[missing]]
+                for key, b, e in zip(distinct[missing].tolist(), begin.tolist(), end.tolist(), strict=True):
+                    if key not in new:
+                        new[key] = whole[b:e]
+            chunks.append((rows, distinct, back.astype(np.int32), np.cumsum(~is_mark)[is_mark]))
         if new:
-            self._learn(new)
+            self._learn(list(new), list(new.values()))
         out: list[list[np.ndarray]] = [[] for _ in texts]
-        for rows, word, ends in tokens:
-            count = self.count[word]
-            upto = np.cumsum(count, dtype=np.int64)
-            total = int(upto[-1]) if len(upto) else 0
-            at = np.repeat(self.first[word] - (upto - count), count) + np.arange(total)
-            ids = self.ids[at]
+        for rows, distinct, back, ends in chunks:
+            ids, upto = self.known.gathered(self.known.places(distinct)[back])
             cuts = np.append(0, upto)[ends]
             for row, part in zip(rows, np.split(ids, cuts[:-1]), strict=True):
                 out[row].append(part)
