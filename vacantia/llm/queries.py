@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import zlib
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import duck_bpe, token_files
+from ..session import staged
+
+from . import duck_bpe, host_reputation, token_files, warc
+from .host_reputation import Rule
 
 END_ID = 2
+URL_RULES = [
+    Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("example.org", "/en/1", "block"),
+    Rule("com", "/fr/", "allow"), Rule("com", "/de/", "block"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +29,27 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's url; a labelled page of low quality is a bad one."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad")
+    )
+    hosts = staged(host_reputation.reputation(host_reputation.outcomes(pages, labels)))
+    return host_reputation.judge(pages, hosts, URL_RULES).drop("bad_bound")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to whole-file gzip archives, normalised, and read back by index."""
+    written = warc.write_stream(warc.described(table(spark, sf_dir, "pages")))
+    return warc.read(spark, warc.normalise(written), payloads=False).drop("url", "payload")
+
+
 def op5_duck_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by ranks, decoded again, and digests of both."""
     ranks = tokenizer_file("byte_bpe_50k.tiktoken")
-    coded = duck_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
-    return duck_bpe.digests(duck_bpe.decode(coded.drop("text"), ranks))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return duck_bpe.digests(duck_bpe.encode(docs, ranks, decoded="decoded"))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +61,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_host_reputation": op2_host_reputation,
+    "op3_warc": op3_warc,
     "op5_duck_bpe": op5_duck_bpe,
     "op10_token_files": op10_token_files,
 }

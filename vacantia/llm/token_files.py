@@ -221,5 +221,7 @@ def read_documents(spark: SparkSession, manifest: DataFrame, digest, fields: str
                     ["doc_id", "start", "n_tokens", name],
                 )
 
-    files = located(manifest).select("file", "start", "doc_id", "n_tokens").repartition("file")
+    # a count of its own, since adaptive execution would put the small manifest into one task
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = located(manifest).select("file", "start", "doc_id", "n_tokens").repartition(tasks, "file")
     return files.mapInArrow(read, f"doc_id long, start long, n_tokens long, {fields}")
