@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 from .pretokens import CACHED_WORDS, Encoder, Segments, mixed
 
 LONG_BYTES = 128
-STATE_ROWS = 1_500_000  # rows that one recursive query may make
-SLICE_BYTES = 16 << 20
+STATE_ROWS = 1_000_000  # rows that one recursive query may make
+SLICE_BYTES = 4 << 20
 RUN_IDS = 64
 
 MERGE = """
@@ -87,7 +87,7 @@ class Coder:
         import duckdb
 
         self.ranks = ranks = read_ranks(path)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         pairs = [
             (ranks[t[:i]], ranks[t[i:]], r)
             for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
