@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 
-from . import duck_bpe, host_reputation, token_files, warc
+from . import duck_bpe, host_reputation, token_files, toxic_grammar, warc
 from .host_reputation import Rule
 
 END_ID = 2
@@ -45,6 +45,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, warc.normalise(written), payloads=False).drop("url", "payload")
 
 
+def op4_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by the clause grammar, learnt from the labels of four folds."""
+    return toxic_grammar.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_duck_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by ranks, decoded again, and digests of both."""
     ranks = tokenizer_file("byte_bpe_50k.tiktoken")
@@ -63,6 +68,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_host_reputation": op2_host_reputation,
     "op3_warc": op3_warc,
+    "op4_toxic_grammar": op4_toxic_grammar,
     "op5_duck_bpe": op5_duck_bpe,
     "op10_token_files": op10_token_files,
 }
