@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 
-from . import duck_bpe, host_reputation, token_files, toxic_grammar, warc
+from . import duck_bpe, host_reputation, suffix_repeats, token_files, toxic_grammar, warc
 from .host_reputation import Rule
 
 END_ID = 2
@@ -57,6 +57,12 @@ def op5_duck_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duck_bpe.digests(duck_bpe.encode(docs, ranks, decoded="decoded"))
 
 
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without passages of 20 words or more that start earlier."""
+    left = suffix_repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from the token files."""
     manifest = token_files.write(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), END_ID)
@@ -70,6 +76,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_toxic_grammar": op4_toxic_grammar,
     "op5_duck_bpe": op5_duck_bpe,
+    "op7_suffix_repeats": op7_suffix_repeats,
     "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {}
