@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 
-from . import duck_bpe, host_reputation, suffix_repeats, token_files, toxic_grammar, warc
+from . import duck_bpe, host_reputation, jaccard_join, suffix_repeats, token_files, toxic_grammar, warc
 from .host_reputation import Rule
 
 END_ID = 2
@@ -63,6 +63,11 @@ def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document among those that share four fifths of their shingles."""
+    return jaccard_join.join(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from the token files."""
     manifest = token_files.write(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), END_ID)
@@ -77,6 +82,7 @@ QUERIES = {
     "op4_toxic_grammar": op4_toxic_grammar,
     "op5_duck_bpe": op5_duck_bpe,
     "op7_suffix_repeats": op7_suffix_repeats,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {}

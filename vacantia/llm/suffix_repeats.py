@@ -27,46 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .words import Words, from_planes, planes, slices, text_bytes, words_of
+from .batches import NO_ID, packed, unpacked
+from .words import Words, from_planes, planes, words_of
 
 LEVELS = 4  # words that lead a suffix, a byte each
-BATCH_BYTES = 8 << 20
 GROUP_SUFFIXES = 2_000_000
 FOLLOWED_SHARE = 1 / 1024  # a batch counts below a prefix that has this share of its suffixes
-NO_ID = -(1 << 63)
-BATCHES = "batch long, data binary, sizes binary, doc_ids binary"
-
-
-def packed(docs: DataFrame) -> DataFrame:
-    """The texts in compressed batches, written once: every later step sees the same batches."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = TaskContext.get().partitionId() << 32
-        for rows in batches:
-            sizes = text_bytes(rows.column(1))[1]
-            for at, end in slices(sizes, BATCH_BYTES):
-                data, own = text_bytes(rows.column(1).slice(at, end - at))
-                ids = rows.column(0).slice(at, end - at).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-                row = [
-                    pa.array([n], pa.int64()),
-                    pa.array([pa.compress(data.tobytes(), "zstd", asbytes=True)], pa.binary()),
-                    pa.array([own.tobytes()], pa.binary()), pa.array([ids.tobytes()], pa.binary()),
-                ]
-                yield pa.record_batch(row, ["batch", "data", "sizes", "doc_ids"])
-                n += 1
-
-    return staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, BATCHES))
-
-
-def _unpacked(row: dict) -> tuple[Words, np.ndarray]:
-    sizes = np.frombuffer(row["sizes"], np.int64)
-    data = pa.decompress(row["data"], int(sizes.sum()), "zstd", asbytes=True) if sizes.sum() else b""
-    return words_of(np.frombuffer(data, np.uint8), sizes), np.frombuffer(row["doc_ids"], np.int64)
 
 
 def leading_codes(words: Words, window: np.ndarray) -> np.ndarray:
@@ -84,7 +54,7 @@ def prefix_counts(batches: DataFrame, depth: int) -> DataFrame:
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for row in batch.to_pylist():
-                words, _ = _unpacked(row)
+                words = words_of(*unpacked(row)[:2])
                 codes = leading_codes(words, words.windows(depth)[1])
                 out, followed = [], codes
                 for level in range(1, LEVELS + 1):
@@ -159,7 +129,8 @@ def suffixes(batches: DataFrame, depth: int, digest_bytes: int, bounds: np.ndarr
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for row in batch.to_pylist():
-                words, doc_ids = _unpacked(row)
+                data, sizes, doc_ids = unpacked(row)
+                words = words_of(data, sizes)
                 codes, digest, _, _, first, _, begin, text = _leaves(words, depth, digest_bytes, bounds, _ranks(doc_ids))
                 ends, of = np.append(begin[1:], len(codes)), text[first]
                 for group in np.flatnonzero(ends > begin).tolist():
@@ -250,7 +221,8 @@ def remove_repeats(
         out = []
         bits = {r["group"]: r["later"] for r in right.to_pylist()}
         for row in left.to_pylist():
-            words, doc_ids = _unpacked(row)
+            data, sizes, doc_ids = unpacked(row)
+            words = words_of(data, sizes)
             codes, _, order, leaf, first, window, begin, _ = _leaves(words, depth, digest_bytes, bounds, _ranks(doc_ids))
             later = np.zeros(len(codes), bool)
             ends = np.append(begin[1:], len(codes))
