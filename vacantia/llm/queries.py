@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 
-from . import decontaminate, duck_bpe, host_reputation, jaccard_join, line_dedup, suffix_repeats, token_files, toxic_grammar, warc
+from . import decontaminate, duck_bpe, host_reputation, jaccard_join, line_dedup, suffix_repeats, token_files, toxic_grammar, vector_cells, warc
 from .host_reputation import Rule
 
 END_ID = 2
@@ -63,6 +63,11 @@ def op5_duck_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duck_bpe.digests(duck_bpe.encode(docs, ranks, decoded="decoded"))
 
 
+def op6_vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and representative of every embedding at a cosine of 0.9."""
+    return vector_cells.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without passages of 20 words or more that start earlier."""
     left = suffix_repeats.remove_repeats(table(spark, sf_dir, "documents"))
@@ -97,6 +102,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_toxic_grammar": op4_toxic_grammar,
     "op5_duck_bpe": op5_duck_bpe,
+    "op6_vector_cells": op6_vector_cells,
     "op7_suffix_repeats": op7_suffix_repeats,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
