@@ -1,17 +1,82 @@
-"""The corpus pipeline: stages over the documents, each written and read again."""
+"""The corpus pipeline: stages over the documents, each written and read again.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before kept.  All
+but the last return the columns that ``docs`` has.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vacantia.llm import decontaminate, duck_bpe, jaccard_join, line_dedup, toxic_grammar
+from vacantia.llm.queries import table, tokenizer_file
+from vacantia.session import small_side, staged
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the clause grammar predicts to be toxic (operator 4)."""
+    scores = toxic_grammar.score(docs, table(spark, sf_dir, "labels"))
+    toxic = staged(scores.where("predicted = 1").select(F.col("doc_id").alias("toxic_id")).distinct())
+    rows = docs.select(F.struct("*").alias("doc"))
+    return rows.join(
+        small_side(toxic), F.col("doc.doc_id").cast("long").eqNullSafe(F.col("toxic_id")), "left_anti"
+    ).select("doc.*")
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without line runs that start earlier (operator 9); a document that loses all its lines goes.
+
+    ``n_chars``, where documents have it, follows the text that is left.
+    """
+    left = line_dedup.dedup(docs)
+    left = left.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    columns = [F.col("doc")[c].alias(c) for c in docs.columns]
+    if "n_chars" in docs.columns:
+        changed = F.when(F.col("n_removed") > 0, F.length("doc.text")).otherwise(F.col("doc.n_chars"))
+        columns[docs.columns.index("n_chars")] = changed.cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return left.select(*columns)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the least doc_id (operator 8)."""
+    placed = jaccard_join.join(docs)
+    # rows of one doc_id are told apart by their text, as the operator groups them
+    copies = staged(
+        placed.where(~F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("component_id").isNotNull())
+        .select(F.col("doc_id").alias("copy_id")).distinct()
+    )
+    rows = docs.select(F.struct("*").alias("doc"))
+    return rows.join(
+        small_side(copies), F.col("doc.doc_id").cast("long").eqNullSafe(F.col("copy_id")), "left_anti"
+    ).select("doc.*")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that contain a benchmark item (operator 1)."""
+    return decontaminate.remove(docs, decontaminate.contained(docs, table(spark, sf_dir, "benchmark")))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is kept, as token ids, with the digests of its round trip (operator 5)."""
+    ranks = tokenizer_file("byte_bpe_50k.tiktoken")
+    return duck_bpe.digests(duck_bpe.encode(docs.select("doc_id", "text"), ranks, decoded="decoded"))
+
 
-from vacantia.session import staged
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("near_duplicates", dedup_near),
+    ("decontamination", drop_contaminated),
+    ("tokens", tokenize),
+]
 
-STAGES: list = []
+#: The learnt grammar and the merges have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir))
     return docs
