@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import staged
 from .words import slices, text_bytes
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCH_ROWS = 1 << 20
 NO_ID = -(1 << 63)
 BATCHES = "batch long, n_bytes long, data binary, sizes binary, doc_ids binary"

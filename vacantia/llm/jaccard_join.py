@@ -39,7 +39,7 @@ from .pretokens import mixed
 from .words import from_planes, lowered, planes, words_of
 
 COUNTED_BYTES = 5  # of a hash, for document counts: a collision there only changes the order
-GROUP_SHINGLES = 4_000_000
+GROUP_SHINGLES = 2_000_000
 BYTES_PER_WORD = 6
 SIZE_STEP = 1.25  # at most 1 / similarity: sets further apart in size cannot link
 

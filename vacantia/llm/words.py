@@ -18,6 +18,7 @@ from .pretokens import mixed
 
 _BYTES = mixed(np.arange(256) + (7 << 40))
 _FACTORS = mixed(np.arange(1 << 12) + (9 << 40)) | np.uint64(1)
+HASHED_BYTES = 1 << 20  # hashed at a time
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -84,12 +85,16 @@ def words_of(data: np.ndarray, sizes: np.ndarray) -> Words:
     next_blank = np.append(stop_at, len(data))[np.searchsorted(stop_at, start)]
     text_end = edge[np.searchsorted(edge, start, "right")]
     size = np.minimum(next_blank, text_end) - start
-    total = int(size.sum())
-    offset = np.arange(total, dtype=np.int64) - np.repeat(np.cumsum(size) - size, size)
-    place = offset + np.repeat(start, size)
-    longest = int(size.max())
-    factor = _FACTORS[offset] if longest <= len(_FACTORS) else mixed(offset + (9 << 40)) | np.uint64(1)
-    hashes = mixed(np.add.reduceat(factor * _BYTES[data[place]], np.cumsum(size) - size))
+    hashes = np.empty(len(start), np.uint64)
+    upto = np.cumsum(size)
+    for at, end in slices(size, HASHED_BYTES):
+        own = size[at:end]
+        begin = upto[at:end] - own - (upto[at] - own[0])
+        offset = np.arange(begin[-1] + own[-1], dtype=np.int64) - np.repeat(begin, own)
+        codes = data[offset + np.repeat(start[at:end], own)]
+        factor = _FACTORS[offset] if own.max() <= len(_FACTORS) else mixed(offset + (9 << 40)) | np.uint64(1)
+        factor *= _BYTES[codes]
+        hashes[at:end] = mixed(np.add.reduceat(factor, begin))
     return Words(data, start, size, hashes, np.searchsorted(start, edge))
 
 
