@@ -11,6 +11,7 @@ from ..session import staged
 
 from . import decontaminate, duck_bpe, host_reputation, jaccard_join, line_dedup, suffix_repeats, token_files, toxic_grammar, vector_cells, warc
 from .host_reputation import Rule
+from .queries_sql import ORACLES as ORACLES
 
 END_ID = 2
 URL_RULES = [
@@ -108,55 +109,3 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
 }
-
-_DECONTAMINATE_SQL = r"""
-WITH item_words AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
-  FROM benchmark
-), doc_words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
-  FROM documents
-), item_shingles AS (
-  SELECT DISTINCT item_id, array_to_string(w[i : i + 4], ' ') AS s
-  FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM item_words)
-), sizes AS (
-  SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id
-), doc_shingles AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM doc_words)
-)
-SELECT d.doc_id, t.item_id, n_shingles, count(*) AS n_shared
-FROM doc_shingles d JOIN item_shingles t USING (s) JOIN sizes USING (item_id)
-GROUP BY d.doc_id, t.item_id, n_shingles HAVING 100 * count(*) >= 80 * n_shingles
-"""
-
-_LINE_DEDUP_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, i, line FROM (
-    SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-      unnest(range(0, len(string_split(text, chr(10))))) AS i
-    FROM documents WHERE text IS NOT NULL)
-), ahead AS (
-  SELECT doc_id, i, line, lead(line, 1) OVER w AS line2, lead(line, 2) OVER w AS line3
-  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)
-), placed AS (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, i) AS n
-  FROM ahead WHERE line3 IS NOT NULL
-), gone AS (
-  SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM placed WHERE n > 1
-), marked AS (
-  SELECT l.doc_id, l.i, l.line, g.i IS NOT NULL AS removed FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i
-), kept AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed,
-    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT removed), '') AS text
-  FROM marked GROUP BY doc_id
-)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
-  sha256(coalesce(k.text, '')) AS kept_sha256
-FROM documents d LEFT JOIN kept k USING (doc_id)
-"""
-
-ORACLES: dict[str, str] = {
-    "op1_decontaminate": _DECONTAMINATE_SQL,
-    "op9_line_dedup": _LINE_DEDUP_SQL,
-}
