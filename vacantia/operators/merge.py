@@ -314,9 +314,15 @@ def rescore_summary(rescored: DataFrame) -> DataFrame:
     )
 
 
-def upsert_companies(companies: DataFrame, seed: DataFrame) -> DataFrame:
-    """Seeded companies replace stored ones by slug and become active; none is deleted."""
+def upsert_companies(companies: DataFrame, seed: DataFrame, as_of=None) -> DataFrame:
+    """Seeded companies replace stored ones by slug and become active; none is deleted.
+
+    Of a slug that is seeded more than once the last by ``position`` wins (without that
+    column, the greatest row).  A new company is created ``as_of``.
+    """
     fields = ["name", "source", "external_id", "careers_url", "config", "target_region"]
+    order = ["position"] if "position" in seed.columns else [f for f in fields if f != "config"]
+    seed = seed.groupBy("slug").agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("row")).select("slug", "row.*")
     old, new = companies.alias("o"), seed.withColumn("seeded", F.lit(True)).alias("n")
     joined = old.join(new, "slug", "full_outer")
     seeded = F.col("n.seeded").isNotNull()
@@ -326,5 +332,5 @@ def upsert_companies(companies: DataFrame, seed: DataFrame) -> DataFrame:
         "slug",
         *[F.when(seeded, fresh[c]).otherwise(F.col(f"o.{c}")).alias(c) for c in fields],
         (seeded | F.col("o.active")).alias("active"),
-        F.col("o.created_at").alias("created_at"),
+        F.coalesce("o.created_at", F.lit(None).cast("timestamp") if as_of is None else clock(as_of)).alias("created_at"),
     )

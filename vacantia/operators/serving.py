@@ -176,6 +176,14 @@ def recent_logs(logs: DataFrame, limit: int = LOG_LIMIT) -> DataFrame:
     return logs.orderBy(F.desc("started_at"), F.asc("company_slug")).limit(limit)
 
 
+def log_record(logs: DataFrame) -> DataFrame:
+    """Run log lines as they are exported, the latest first."""
+    return logs.orderBy(F.desc("started_at"), F.asc("company_slug")).select(
+        "run_id", "source", "company_slug", "status", "started_at", "finished_at", "jobs_seen", "jobs_new",
+        "jobs_updated", "jobs_closed", "error_message", "error_kind",
+    )
+
+
 def last_success(logs: DataFrame) -> DataFrame:
     """When a company last went well; null before that."""
     return logs.where("status = 'ok'").agg(F.max("finished_at").alias("last_success"))

@@ -105,6 +105,7 @@ def _placed(words) -> str:
 
 _LOC = "nullif(location, '')"
 _CARD = S.title_matches("title")
+_ID = f"CASE WHEN doc_id % {P.EMPTY_ID_EVERY} = 0 THEN '' ELSE external_id END"
 
 # ------------------------------------------------------------------- pages
 _TAGS = "<[/!?]?[A-Za-z?!](?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*>"
@@ -138,8 +139,8 @@ ORACLES: dict[str, str] = {
  || '</p>' AS markup FROM documents""",
     "x08_normalize_title": plain(f"SELECT doc_id, {S.title_norm()} AS title_norm FROM postings"),
     "x13_section": plain(
-        f"""SELECT doc_id, nullif(length({S.section(_FOLDED, L.PREFERRED_HEADINGS)}), 0) AS preferred_chars,
- nullif(substr({S.section("lower(coalesce(description_text, ''))", L.REQUIRED_HEADINGS)}, 1, 20), '') AS required_starts FROM postings"""
+        f"""SELECT doc_id, nullif({S.section("lower(coalesce(description_text, ''))", L.PREFERRED_HEADINGS)}, '') AS preferred,
+ nullif({S.section("lower(coalesce(description_text, ''))", L.REQUIRED_HEADINGS)}, '') AS required FROM postings"""
     ),
     "x16_keyword_stuffing": plain(
         "SELECT doc_id, "
@@ -263,7 +264,7 @@ ORACLES: dict[str, str] = {
     ),
     "a09_rescore_summary": merged(
         1, "SELECT count(*) AS scanned, count(*) FILTER (fp IN (SELECT fp FROM ev1 WHERE kind = 'sighting' AND slug = 'zz-search' AND outcome = 'updated')) AS updated, "
-        "count(*) FILTER (fp NOT IN (SELECT fp FROM ev1 WHERE kind = 'sighting' AND slug = 'zz-search' AND outcome = 'updated')) AS unchanged FROM jobs1 WHERE company_slug <> 'zz-search'"
+        "count(*) FILTER (fp NOT IN (SELECT fp FROM ev1 WHERE kind = 'sighting' AND slug = 'zz-search' AND outcome = 'updated')) AS unchanged FROM jobs1"
     ),
     "m14_source_run": merged(1, f"SELECT * FROM ({M.counters(1)}) WHERE source = 'lever'"),
     "m09_set_status": served(f"SELECT fp AS fingerprint, application_status, {ts('applied_at')} FROM served"),
@@ -331,29 +332,49 @@ ORACLES: dict[str, str] = {
     ),
     "s15_point_lookup": served(
         """SELECT fp AS fingerprint, title, c.name AS company FROM served s JOIN companies c ON c.slug = s.company_slug
- WHERE s.source = 'ashby' AND s.external_id = '2'"""
+ WHERE fp = (SELECT min(fp) FROM served WHERE source = 'ashby')"""
     ),
     "t05_recent_logs": merged(
         3, """SELECT run_id, company_slug, status, jobs_seen, jobs_new, jobs_updated, jobs_closed FROM logs
  ORDER BY started_at DESC, company_slug LIMIT 20""", _LOGS
     ),
     "a10_last_success": merged(
-        3, f"SELECT strftime(max(started_at), {TS}) AS last_success FROM logs WHERE status = 'ok'", _LOGS
+        3, f"""SELECT 'stored' AS state, strftime(max(started_at), {TS}) AS last_success FROM logs WHERE status = 'ok'
+ UNION ALL SELECT 'absent', NULL UNION ALL SELECT 'unreadable', NULL""", _LOGS
     ),
     "x23_stale": merged(
-        3, f"""SELECT strftime(t, {TS}) AS as_of, t - (SELECT max(started_at) FROM logs WHERE status = 'ok')
+        3, f"""SELECT 'stored' AS state, strftime(t, {TS}) AS as_of, t - (SELECT max(started_at) FROM logs WHERE status = 'ok')
  >= INTERVAL {L.CATCHUP_THRESHOLD_HOURS} HOUR AS stale
- FROM (VALUES (TIMESTAMP '2024-02-04 07:59:59'), (TIMESTAMP '2024-02-04 08:00:00')) AS v(t)""", _LOGS
+ FROM (VALUES (TIMESTAMP '2024-02-04 07:59:59'), (TIMESTAMP '2024-02-04 08:00:00')) AS v(t)
+ UNION ALL SELECT 'absent', '2024-02-04 07:59:59', true UNION ALL SELECT 'unreadable', '2024-02-04 07:59:59', true
+ UNION ALL SELECT 'no company', '2024-02-04 08:00:00', false""", _LOGS
     ),
-    "m01_company_upsert": """SELECT 's-' || s_suppkey AS slug, CASE WHEN s_suppkey % 5 <> 0 THEN s_name || ' Inc.' ELSE s_name END AS name,
+    "m01_company_upsert": """SELECT 's-' || s_suppkey AS slug, CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 4 = 0 THEN s_name || ' Inc. & Co.'
+  WHEN s_suppkey % 5 <> 0 THEN s_name || ' Inc.' ELSE s_name END AS name,
+ CASE WHEN s_suppkey % 3 <> 0 THEN '2024-01-01 00:00:00' ELSE '2024-02-01 00:00:00' END AS created_at,
  'lever' AS source, 'EGYPT' AS target_region, s_suppkey % 5 <> 0 OR s_suppkey % 2 = 0 AS active,
  CASE WHEN s_suppkey % 5 <> 0 THEN 0 END AS n_config FROM supplier WHERE s_suppkey % 3 <> 0 OR s_suppkey % 5 <> 0""",
+    "s12_seed": """SELECT 's-' || s_suppkey AS slug, s_name AS name, CASE s_suppkey % 4 WHEN 1 THEN 'ashby' ELSE 'lever' END AS source,
+ CASE s_suppkey % 3 WHEN 0 THEN 'EGYPT' ELSE 'INTERNATIONAL' END AS target_region, true AS active, 0 AS n_config
+ FROM supplier WHERE s_suppkey % 4 <> 0""",
+    "j06_active_keys": served(
+        """SELECT company_slug, fp AS fingerprint FROM served WHERE lifecycle = 'ACTIVE' AND company_slug =
+ (SELECT company_slug FROM served GROUP BY 1 ORDER BY count(*) DESC, company_slug LIMIT 1)"""
+    ),
+    "k07_log_export": merged(
+        3, f"""SELECT run_id, source, company_slug, status, {ts('started_at')}, strftime(started_at, {TS}) AS finished_at, jobs_seen, jobs_new,
+ jobs_updated, jobs_closed, CASE WHEN status = 'failed' THEN source || ': nothing captured for ' || company_slug END AS error_message,
+ CASE WHEN status = 'failed' THEN 'ScraperError' END AS error_kind FROM logs""", _LOGS
+    ),
+    "f12_strict": served(
+        "SELECT lifecycle, count(*) AS n_jobs, true AS refused FROM served WHERE lifecycle IN ('CLOSED', 'ARCHIVED') GROUP BY 1"
+    ),
     "s01_greenhouse": listed(
-        _remote(*L.GREENHOUSE_REMOTE_WORDS), "'HQ'", "'Engineering' AS department", ts("posted_at")
+        _remote(*L.GREENHOUSE_REMOTE_WORDS), "'HQ'", "'Engineering' AS department", ts("posted_at"), external_id=_ID
     ),
     "s02_lever": listed(
         f"{_remote('remote')} OR doc_id % 8 = 0 OR doc_id % 9 = 0", "location", "'Full-time' AS employment_type",
-        "'Core' AS team", ts("posted_at"),
+        "'Core' AS team", ts("posted_at"), external_id=_ID,
         description_text=collapsed("coalesce(description_text, '') || ' About We hire'"),
     ),
     "s03_ashby": listed(
@@ -395,6 +416,10 @@ ORACLES: dict[str, str] = {
     "s17_bad_payload": plain(
         """SELECT DISTINCT company_slug, 'greenhouse: unexpected payload for ' || company_slug AS error_message
  FROM postings WHERE company_slug > 'local-shop'"""
+    ),
+    "s17_wrong_list": plain(
+        """SELECT DISTINCT company_slug, board || ': unexpected payload for ' || company_slug AS error_message
+ FROM postings, (VALUES ('greenhouse'), ('ashby')) AS b(board) WHERE length(company_slug) % 4 <> 0"""
     ),
     "s18_bad_config": plain(
         "SELECT DISTINCT company_slug, source || ': company ' || company_slug || ' missing ' || CASE source "

@@ -14,6 +14,7 @@ from .postings import companies as pool_companies
 # fixed values of the derived payloads
 PAGE = 200
 BROKEN_EVERY = 37
+EMPTY_ID_EVERY = 41
 REPEATED_EVERY = 11
 DETAIL_MISSING_EVERY = 3
 FETCHED_AT = "2024-02-01 06:00:00"
@@ -69,21 +70,37 @@ def _good_id() -> Column:
     return F.when(F.col("doc_id") % BROKEN_EVERY != 0, F.col("external_id"))
 
 
+def _id_or_empty() -> Column:
+    return F.when((F.col("doc_id") % EMPTY_ID_EVERY == 0) & _good_id().isNotNull(), "").otherwise(_good_id())
+
+
+def captured_twice(pages: DataFrame, empty: str) -> DataFrame:
+    """Every page with an older, empty capture, and every other page stored twice."""
+    older = pages.withColumns(
+        {"payload": F.lit(empty), "fetched_at": F.col("fetched_at") - F.expr("INTERVAL 1 HOUR")}
+    )
+    return pages.unionByName(older).unionByName(pages.where("page % 2 = 0"))
+
+
 def greenhouse(df: DataFrame) -> DataFrame:
-    item = F.struct(
-        _good_id().cast("long").alias("id"), F.concat(F.lit(" "), "title", F.lit(" ")).alias("title"),
+    more = [
+        F.concat(F.lit(" "), "title", F.lit(" ")).alias("title"),
         F.col("apply_url").alias("absolute_url"), F.struct(F.col("location").alias("name")).alias("location"),
         escape(paragraph(F.col("description_text"))).alias("content"),
         F.array(F.struct(F.lit("Engineering").alias("name"))).alias("departments"),
         F.array(F.struct(F.lit("HQ").alias("name"))).alias("offices"),
         _iso(F.col("posted_at")).alias("updated_at"),
+    ]
+    # ids are numbers where there are any
+    item = F.when(_id_or_empty() == "", F.to_json(F.struct(F.lit("").alias("id"), *more))).otherwise(
+        F.to_json(F.struct(_good_id().cast("long").alias("id"), *more))
     )
-    return _pages(df, "greenhouse", F.to_json(item), '{"jobs":[', "]}")
+    return _pages(df, "greenhouse", item, '{"jobs":[', "]}")
 
 
 def lever(df: DataFrame) -> DataFrame:
     item = F.struct(
-        _good_id().alias("id"), F.col("title").alias("text"), F.col("apply_url").alias("hostedUrl"),
+        _id_or_empty().alias("id"), F.col("title").alias("text"), F.col("apply_url").alias("hostedUrl"),
         F.struct(
             "location", F.lit("Full-time").alias("commitment"), F.lit("Core").alias("team"),
             F.array(F.when(F.col("doc_id") % 8 == 0, "REMOTE (EU)").otherwise("Office")).alias("allLocations"),

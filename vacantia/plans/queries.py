@@ -160,8 +160,8 @@ def _(spark, sf):
     folded = fold(F.coalesce("description_text", F.lit("")))
     return worked(spark, sf).select(
         "doc_id",
-        F.length(text.section(folded, lexicon.PREFERRED_HEADINGS)).alias("preferred_chars"),
-        F.substring(text.section(folded, lexicon.REQUIRED_HEADINGS), 1, 20).alias("required_starts"),
+        text.section(folded, lexicon.PREFERRED_HEADINGS).alias("preferred"),
+        text.section(folded, lexicon.REQUIRED_HEADINGS).alias("required"),
     )
 
 
@@ -187,7 +187,7 @@ def _(spark, sf):
 @query("x24_location_list")
 def _(spark, sf):
     places = F.array("lang", F.when(F.col("doc_id") % 3 == 0, ""), "source")
-    rows = table(spark, sf, "documents").select(F.array_join(F.filter(places, lambda p: p != ""), ", ").alias("places"))
+    rows = table(spark, sf, "documents").select(embedded.place_list(places).alias("places"))
     return rows.groupBy("places").agg(F.count("*").alias("n_rows"))
 
 
@@ -481,8 +481,8 @@ def _(spark, sf):
 
 @query("a09_rescore_summary")
 def _(spark, sf):
-    """Rescoring right after an insert changes nothing."""
-    jobs = merged(spark, sf, 1)[0].jobs.where("company_slug <> 'zz-search'")
+    """Rescoring right after an insert changes only what a second company's sighting had scored."""
+    jobs = merged(spark, sf, 1)[0].jobs
     return merge.rescore_summary(merge.rescore(jobs, runs.companies(spark), runs.clock_of(1)))
 
 
@@ -686,8 +686,9 @@ def _(spark, sf):
 
 @query("s15_point_lookup")
 def _(spark, sf):
-    key = keys.fingerprint(F.lit("ashby"), F.lit("2"))
-    row = serving.with_company(served(spark, sf).where(F.col("fingerprint") == key), _companies(spark))
+    """The least key that a job of one board is stored under."""
+    key = served(spark, sf).where("source = 'ashby'").agg(F.min("fingerprint")).first()[0]
+    row = serving.with_company(serving.by_fingerprint(served(spark, sf), key), _companies(spark))
     return row.select("fingerprint", "title", "company")
 
 
@@ -711,19 +712,46 @@ def _(spark, sf):
     return rows.select("run_id", "company_slug", "status", "jobs_seen", "jobs_new", "jobs_updated", "jobs_closed")
 
 
+def _states(spark, sf) -> dict[str, DataFrame]:
+    """State tables: the runs' last success as stored, none yet, and one that cannot be read."""
+    last = serving.last_success(run_logs(spark, sf))
+    stored = last.select(
+        F.lit(lexicon.LAST_SUCCESS_KEY).alias("key"), F.date_format("last_success", "yyyy-MM-dd HH:mm:ss").alias("value"),
+        F.col("last_success").alias("updated_at"),
+    )
+    return {
+        "stored": stored, "absent": stored.withColumn("key", F.lit("another")),
+        "unreadable": stored.withColumn("value", F.lit("soon")),
+    }
+
+
 @query("a10_last_success")
 def _(spark, sf):
-    return serving.last_success(run_logs(spark, sf)).select(ts_text("last_success").alias("last_success"))
+    """The stored time in each case of the state table."""
+    parts = [
+        serving.state_value(state).select(F.lit(case).alias("state"), ts_text("last_success").alias("last_success"))
+        for case, state in _states(spark, sf).items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("x23_stale")
 def _(spark, sf):
-    last = serving.last_success(run_logs(spark, sf))
+    """Whether a run is due: by time, by state, and never without active companies."""
+    states, pool = _states(spark, sf), _companies(spark)
+    cases = [("stored", pool, "2024-02-04 07:59:59"), ("stored", pool, "2024-02-04 08:00:00")]
+    cases += [(state, pool, "2024-02-04 07:59:59") for state in ("absent", "unreadable")]
+    cases += [("no company", pool.withColumn("active", F.lit(False)), "2024-02-04 08:00:00")]
     flags = [
-        serving.is_stale(_companies(spark), last, at).select(F.lit(at).alias("as_of"), "stale")
-        for at in ("2024-02-04 07:59:59", "2024-02-04 08:00:00")
+        serving.is_stale(some, serving.state_value(states.get(case, states["stored"])), at).select(
+            F.lit(case).alias("state"), F.lit(at).alias("as_of"), "stale"
+        )
+        for case, some, at in cases
     ]
-    return flags[0].unionByName(flags[1])
+    out = flags[0]
+    for flag in flags[1:]:
+        out = out.unionByName(flag)
+    return out
 
 
 @query("m01_company_upsert")
@@ -737,9 +765,56 @@ def _(spark, sf):
     stored = rows.where("s_suppkey % 3 <> 0").withColumns(
         {"active": F.col("s_suppkey") % 2 == 0, "created_at": F.lit("2024-01-01").cast("timestamp")}
     )
-    seed = rows.where("s_suppkey % 5 <> 0").withColumn("name", F.concat("name", F.lit(" Inc.")))
-    out = merge.upsert_companies(stored.drop("s_suppkey"), seed.drop("s_suppkey"))
-    return out.select("slug", "name", "source", "target_region", "active", F.size("config").alias("n_config"))
+    seed = rows.where("s_suppkey % 5 <> 0").withColumn("name", F.concat("name", F.lit(" Inc."))).withColumn("position", F.col("s_suppkey"))
+    later = seed.where("s_suppkey % 4 = 0").withColumns({"name": F.concat("name", F.lit(" & Co.")), "position": F.col("position") + 1_000_000_000})
+    out = merge.upsert_companies(stored.drop("s_suppkey"), later.unionByName(seed).drop("s_suppkey"), "2024-02-01")
+    return out.select(
+        "slug", "name", "source", "target_region", "active", F.size("config").alias("n_config"), ts_text("created_at").alias("created_at")
+    )
+
+
+@query("s12_seed")
+def _(spark, sf):
+    """Suppliers as a seed list: sources that no reader has are left out, regions are made known ones."""
+    n = F.col("s_suppkey")
+    rows = table(spark, sf, "supplier").select(
+        F.concat(F.lit("s-"), n).alias("slug"), F.col("s_name").alias("name"),
+        F.when(n % 4 == 0, "carrier-pigeon").when(n % 4 == 1, "ashby").otherwise("lever").alias("source"),
+        F.lit(None).cast("map<string,string>").alias("config"),
+        F.when(n % 3 == 0, "EGYPT").when(n % 3 == 1, "MARS").alias("target_region"),
+    )
+    return landing.seed_rules(rows).select("slug", "name", "source", "target_region", "active", F.size("config").alias("n_config"))
+
+
+@query("j06_active_keys")
+def _(spark, sf):
+    """The keys of a company's open jobs, for the company that has most jobs."""
+    jobs = served(spark, sf)
+    most = jobs.groupBy("company_slug").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "company_slug").first()[0]
+    return serving.keys_of_company(jobs, most, active_only=True).select(F.lit(most).alias("company_slug"), "fingerprint")
+
+
+@query("k07_log_export")
+def _(spark, sf):
+    """Every run's log lines as they are exported, with how a failed company failed."""
+    rows = run_logs(spark, sf).withColumns({
+        "error_message": F.when(F.col("status") == "failed", F.concat("source", F.lit(": nothing captured for "), "company_slug")),
+        "error_kind": F.when(F.col("status") == "failed", "ScraperError"),
+    })
+    return serving.log_record(rows).withColumns({c: ts_text(c) for c in ("started_at", "finished_at")})
+
+
+@query("f12_strict")
+def _(spark, sf):
+    """Jobs by a strict list of life cycles, and whether an unknown one is refused."""
+    chosen = serving.parse_list("CLOSED, ARCHIVED", ["ACTIVE", "CLOSED", "ARCHIVED"], strict=True)
+    try:
+        serving.parse_list("CLOSED,LOST", ["ACTIVE", "CLOSED", "ARCHIVED"], strict=True)
+        refused = False
+    except ValueError:
+        refused = True
+    found = serving.search(served(spark, sf), lifecycles=chosen).groupBy("lifecycle").agg(F.count("*").alias("n_jobs"))
+    return found.withColumn("refused", F.lit(refused))
 
 
 # ------------------------------------------------------------------- sources
@@ -752,13 +827,14 @@ def _good(items: DataFrame, *more) -> DataFrame:
 
 @query("s01_greenhouse")
 def _(spark, sf):
-    items = boards.greenhouse(payloads.greenhouse(worked(spark, sf)))
+    """Ids may be empty, and pages captured more than once."""
+    items = boards.greenhouse(payloads.captured_twice(payloads.greenhouse(worked(spark, sf)), '{"jobs":[]}'))
     return _good(items, "department", ts_text("posted_at").alias("posted_at"))
 
 
 @query("s02_lever")
 def _(spark, sf):
-    items = boards.lever(payloads.lever(worked(spark, sf)))
+    items = boards.lever(payloads.captured_twice(payloads.lever(worked(spark, sf)), "[]"))
     return _good(items, "employment_type", "team", ts_text("posted_at").alias("posted_at"))
 
 
@@ -814,6 +890,20 @@ def _(spark, sf):
     return landing.payload_errors(pages.withColumn("payload", odd))
 
 
+@query("s17_wrong_list")
+def _(spark, sf):
+    """Where the list of postings is an object, a text or a number, the company has failed."""
+    odd = F.when(F.length("company_slug") % 4 == 1, '{"jobs":{"error":"rate limited"}}').when(
+        F.length("company_slug") % 4 == 2, '{"jobs":"none"}'
+    ).when(F.length("company_slug") % 4 == 3, '{"jobs":7}')
+    out = None
+    for board in (payloads.greenhouse, payloads.ashby):
+        pages = board(posts(spark, sf)).withColumn("payload", F.coalesce(odd, "payload"))
+        bad = landing.payload_errors(pages)
+        out = bad if out is None else out.unionByName(bad)
+    return out
+
+
 @query("s18_bad_config")
 def _(spark, sf):
     used = posts(spark, sf).select(F.col("company_slug").alias("slug")).distinct()

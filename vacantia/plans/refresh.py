@@ -102,5 +102,5 @@ def rescore_all(store: Store, as_of: str, batch_id: str) -> DataFrame:
     return merge.rescore_summary(again)
 
 
-def seed_companies(store: Store, seed: DataFrame) -> None:
-    store.write_companies(merge.upsert_companies(store.companies(), seed))
+def seed_companies(store: Store, seed: DataFrame, as_of: str | None = None) -> None:
+    store.write_companies(merge.upsert_companies(store.companies(), seed, as_of))

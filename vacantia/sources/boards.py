@@ -38,6 +38,11 @@ def _no_id(external_id: Column) -> Column:
     return F.when(F.coalesce(external_id, F.lit("")) == "", "item without id")
 
 
+def _null_id(external_id: Column) -> Column:
+    """Boards that key an item with an empty id by its link reject only a missing one."""
+    return F.when(external_id.isNull(), "item without id")
+
+
 def _any_remote(place: Column, places: Column) -> Column:
     more = F.exists(F.coalesce(places, F.array().cast("array<string>")), lambda p: looks_remote(p))
     return looks_remote(place) | more
@@ -48,7 +53,7 @@ def greenhouse(landing: DataFrame) -> DataFrame:
     df = df.withColumn("html", F.nullif(unescape_if_escaped(F.col("j.content")), F.lit("")))
     place = F.col("j.location.name")
     return observed(
-        df, "greenhouse", _no_id(F.col("j.id")),
+        df, "greenhouse", _null_id(F.col("j.id")),
         external_id=F.col("j.id"),
         title=strip(F.coalesce("j.title", F.lit(""))),
         apply_url=F.coalesce("j.absolute_url", F.lit("")),
@@ -79,7 +84,7 @@ def lever(landing: DataFrame) -> DataFrame:
     place = F.col("j.categories.location")
     at_home = F.coalesce(F.lower("j.workplaceType") == "remote", F.lit(False))
     return observed(
-        df, "lever", _no_id(F.col("j.id")),
+        df, "lever", _null_id(F.col("j.id")),
         external_id=F.col("j.id"),
         title=strip(F.coalesce("j.text", F.lit(""))),
         apply_url=F.coalesce(filled(F.col("j.hostedUrl"), F.col("j.applyUrl")), F.lit("")),

@@ -48,6 +48,11 @@ def _truthy(value: Column) -> Column:
     return ~F.coalesce(value, F.lit("")).isin("", "false", "0", "[]", "{}", "0.0")
 
 
+def place_list(places: Column) -> Column:
+    """The places of an array that are not empty, as one text."""
+    return F.array_join(F.filter(places, lambda s: F.coalesce(s, F.lit("")) != ""), ", ")
+
+
 def wellfound(landing: DataFrame) -> DataFrame:
     """Objects that look like a posting: an id, a title, and a slug or public id."""
     pages = listings(landing, "wellfound").withColumn("blob", F.regexp_extract("payload", _BLOB, 1))
@@ -64,8 +69,8 @@ def wellfound(landing: DataFrame) -> DataFrame:
             "html": filled(_field("description"), _field("jobDescription")),
         }
     ).where("jid IS NOT NULL AND (slug IS NOT NULL OR public_id IS NOT NULL)")
-    names = F.filter(F.from_json("place", "array<string>"), lambda s: F.coalesce(s, F.lit("")) != "")
-    place = F.when(F.col("place").startswith("["), F.array_join(names, ", ")).otherwise(F.col("place"))
+    names = place_list(F.from_json("place", "array<string>"))
+    place = F.when(F.col("place").startswith("["), names).otherwise(F.col("place"))
     df = df.withColumn("location", F.nullif(place, F.lit("")))
     link = F.concat(F.lit("https://wellfound.com/jobs/"), F.coalesce("slug", "public_id"))
     company = F.coalesce(truthy("startupName"), _field("startup.name"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from ..session import settled, small_side
 
 # fixed values: what a board's listing must be, and what a search must be configured with
 PAYLOAD_OPENS = {"greenhouse": "{", "lever": "[", "ashby": "{", "workday": "{"}
+LIST_FIELDS = {"greenhouse": "jobs", "ashby": "jobs", "workday": "jobPostings"}
+EMPTY_JSON = ["{}", '""', "0", "false"]
 REQUIRED_CONFIG = {
     "workday": ["host", "tenant", "site"],
     "linkedin": ["keywords", "location"],
@@ -38,8 +43,13 @@ def stream_landing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_seed(spark: SparkSession, path: str) -> DataFrame:
-    """Companies from JSON lines: unknown sources are left out, unknown regions are international."""
-    seed = spark.read.schema(COMPANY).json(path).where(F.col("source").isin(*lexicon.SOURCES))
+    """Companies from JSON lines, with their ``position``: unknown sources are left out, unknown
+    regions are international."""
+    return seed_rules(spark.read.schema(COMPANY).json(path).withColumn("position", F.monotonically_increasing_id()))
+
+
+def seed_rules(seed: DataFrame) -> DataFrame:
+    seed = seed.where(F.col("source").isin(*lexicon.SOURCES))
     region = F.when(F.col("target_region").isin(*lexicon.REGIONS), F.col("target_region"))
     config = F.coalesce("config", F.create_map().cast("map<string,string>"))
     return seed.withColumns(
@@ -53,7 +63,22 @@ def filled(*values: Column) -> Column:
 
 
 def listings(landing: DataFrame, source: str) -> DataFrame:
-    return landing.where((F.col("source") == source) & (F.col("kind") == "listing"))
+    """Captured listing pages, the latest capture of each page.
+
+    Pages captured once stay where they are; only those captured again are grouped.  A
+    stream sees one capture at a time and takes it as it is.
+    """
+    rows = landing.where((F.col("source") == source) & (F.col("kind") == "listing"))
+    if landing.isStreaming:
+        return rows
+    page = ["run_id", "company_slug", "page"]
+    again = rows.groupBy(*page).agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(c).alias(f"of_{c}") for c in page])
+    again = small_side(again)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in page])
+    latest = rows.join(again, same, "left_semi").groupBy(*page).agg(
+        F.max_by(F.struct(*rows.columns), F.struct("fetched_at", "payload")).alias("row")
+    )
+    return rows.join(again, same, "left_anti").unionByName(latest.select("row.*"))
 
 
 def details(landing: DataFrame, source: str) -> DataFrame:
@@ -79,7 +104,8 @@ def observed(df: DataFrame, source: str, reject: Column, **columns: Column) -> D
     given = {
         "run_id": F.col("run_id"),
         "company_slug": F.col("company_slug"),
-        "seq": F.coalesce("page", F.lit(0)).cast("long") * 1_000_000 + F.col("pos"),
+        # page and place are 32 bits each, so no page runs into the next
+        "seq": F.shiftleft(F.coalesce("page", F.lit(0)).cast("long"), 32) + F.col("pos"),
         "source": F.lit(source),
         "remote": F.lit(False),
         **columns,
@@ -99,13 +125,28 @@ def rejects(items: DataFrame) -> DataFrame:
     return items.where("reject IS NOT NULL").select("run_id", "company_slug", "source", "seq", "reject", "raw_payload")
 
 
+def _wrong_list() -> Column:
+    """Whether the field that should list postings holds something else.
+
+    Absent, null and empty values list nothing.  Anything else is no listing: taking it
+    for an empty one would close all jobs of the company.  (All boards are held to this.)
+    """
+    wrong = F.lit(False)
+    for source, name in LIST_FIELDS.items():
+        value = F.try_variant_get(F.try_parse_json("payload"), f"$.{name}", "variant")
+        is_list = F.try_variant_get(F.try_parse_json("payload"), f"$.{name}", "array<variant>").isNotNull()
+        empty = value.isNull() | F.is_variant_null(value) | F.to_json(value).isin(*EMPTY_JSON)
+        wrong = wrong | ((F.col("source") == source) & ~(empty | is_list))
+    return wrong
+
+
 def payload_errors(landing: DataFrame) -> DataFrame:
     """Companies that got a listing of the wrong shape: their run has failed."""
     opens = F.substring(F.ltrim("payload"), 1, 1)
     expected = F.create_map(*[F.lit(x) for kv in PAYLOAD_OPENS.items() for x in kv])
     readable = F.try_parse_json("payload").isNotNull()
     wrong = F.when(
-        F.col("source").isin(*PAYLOAD_OPENS), ~((opens == F.try_element_at(expected, F.col("source"))) & readable)
+        F.col("source").isin(*PAYLOAD_OPENS), ~((opens == F.try_element_at(expected, F.col("source"))) & readable) | _wrong_list()
     ).otherwise(F.col("payload").isNull())
     bad = landing.where("kind = 'listing'").where(F.coalesce(wrong, F.lit(True)))
     message = F.concat("source", F.lit(": unexpected payload for "), "company_slug")
