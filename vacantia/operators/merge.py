@@ -88,6 +88,14 @@ def unseen(jobs: DataFrame, observations: DataFrame, companies: DataFrame) -> Da
     )
 
 
+def known_flag(cards: DataFrame, jobs: DataFrame | None) -> DataFrame:
+    """Cards with ``known``: whether the company has the job stored."""
+    if jobs is None:
+        return cards.withColumn("known", F.lit(False))
+    keys = jobs.select("company_slug", "fingerprint").distinct().withColumn("known", F.lit(True))
+    return cards.join(keys, ["company_slug", "fingerprint"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def known_split(cards: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cards whose details are still needed, and cards of stored jobs, which go on as stubs."""
     known = jobs.select("company_slug", "fingerprint")

@@ -395,6 +395,11 @@ ORACLES: dict[str, str] = {
         apply_url="'https://www.linkedin.com/jobs/view/a-job-' || external_id",
         description_text=collapsed("coalesce(description_text, '') || ' tail'"),
     ),
+    "j05_hydrate": listed(
+        _remote("remote"), _LOC, ts("posted_at"), where=_CARD, location=_LOC,
+        apply_url="'https://www.linkedin.com/jobs/view/a-job-' || external_id",
+        description_text="CASE WHEN doc_id % 4 <> 0 THEN " + collapsed("coalesce(description_text, '') || ' tail'") + " END",
+    ),
     "s07_wuzzuf": listed(
         _remote("remote"), _placed(L.WUZZUF_PLACES), where=_CARD, location=_placed(L.WUZZUF_PLACES),
         external_id="external_id || '-' || company_slug",

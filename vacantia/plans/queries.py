@@ -858,6 +858,15 @@ def _(spark, sf):
     return _good(_fetched(spark, sf, "linkedin").items, ts_text("posted_at").alias("posted_at"))
 
 
+@query("j05_hydrate")
+def _(spark, sf):
+    """Cards with their details, but for those of stored jobs."""
+    pages = payloads.linkedin(worked(spark, sf))
+    stored = cards.fetch(pages, _companies(spark), None, "linkedin").cards.where("external_id % 4 = 0")
+    items = cards.fetch(pages, _companies(spark), stored.select("company_slug", "fingerprint"), "linkedin").items
+    return _good(items, ts_text("posted_at").alias("posted_at"))
+
+
 @query("s07_wuzzuf")
 def _(spark, sf):
     return _good(_fetched(spark, sf, "wuzzuf").items)

@@ -83,10 +83,12 @@ def spread(df: DataFrame, *keys: str, min_bytes_per_task: int = 128 << 20) -> Da
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one where none is set (tests)."""
+    """The cluster's shared checkpoint folder; a temporary one where none is set on a local master."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(path)
     return path

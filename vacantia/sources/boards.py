@@ -135,7 +135,7 @@ def workday(landing: DataFrame, companies: DataFrame) -> DataFrame:
     """Listing joined with the details captured by path; host and site are in the company's config."""
     df = json_items(landing, "workday", "jobPostings").withColumn("j", F.from_json("item", _WORKDAY))
     df = df.withColumn("path", F.coalesce("j.externalPath", F.lit("")))
-    detail = details(landing, "workday").withColumnRenamed("ref", "path")
+    detail = details(landing, "workday", df.select("company_slug", F.col("path").alias("ref"))).withColumnRenamed("ref", "path")
     df = df.join(detail, ["company_slug", "path"], "left")
     df = df.withColumn("d", F.from_json("detail", _WORKDAY_DETAIL)["jobPostingInfo"])
     config = companies.select(

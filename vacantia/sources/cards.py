@@ -17,9 +17,9 @@ from ..functions.patterns import has_any
 from ..functions.text import html_to_text, strip_query
 from ..functions.times import parse_dt
 from ..operators.filters import looks_remote, title_matches
-from ..operators.merge import known_split
+from ..operators.merge import known_flag
 from ..operators.ordered import first_per_key
-from ..session import small_side
+from ..session import small_side, staged
 from .landing import details, listings, observed
 from .markup import attribute, element, inner, node_text, opening_tag, text_nodes
 
@@ -154,23 +154,18 @@ def distinct_cards(cards: DataFrame) -> DataFrame:
 def fetch(landing: DataFrame, companies: DataFrame, jobs: DataFrame | None, source: str) -> Fetched:
     """Cards of one board as observations.
 
-    The title check comes before the join with the detail pages, which holds the
-    bulk of the bytes; cards of stored jobs pass by it as stubs without text.
+    Cards are parsed once and written.  The title check and the stored keys come before
+    the detail pages, which hold the bulk of the bytes: only pages of cards that still
+    need them are read on.  Cards of stored jobs go on as stubs without text.
     """
     parse, detail, default_place = _BOARDS[source]
     cards = distinct_cards(parse(landing)).withColumns(
         {"fingerprint": fingerprint(F.lit(source), F.col("external_id")), "title_ok": title_matches(F.col("title"))}
     )
-    wanted = cards.where("title_ok")
-    pages = details(landing, source).withColumnRenamed("ref", "external_id")
-    if jobs is None:
-        needed, stubs = wanted, None
-    else:
-        needed, stubs = known_split(wanted, jobs)
-    html = detail(F.col("detail"))
-    full = needed.join(pages, ["company_slug", "external_id"], "left").withColumn("html", html).drop("detail")
-    if stubs is not None:
-        full = full.unionByName(stubs.withColumn("html", F.lit(None).cast("string")))
+    cards = staged(known_flag(cards, jobs))
+    wanted = cards.where("title_ok").withColumn("ref", F.when(~F.col("known"), F.col("external_id")))
+    pages = details(landing, source, wanted)
+    full = wanted.join(pages, ["company_slug", "ref"], "left").withColumn("html", detail(F.col("detail"))).drop("detail")
 
     setting = lambda key: F.try_element_at("config", F.lit(key))
     config = companies.select(
@@ -189,7 +184,7 @@ def fetch(landing: DataFrame, companies: DataFrame, jobs: DataFrame | None, sour
         posted_at=F.col("posted_at"), updated_at_source=F.col("posted_at"),
         raw_payload=F.to_json(F.struct(*payload)),
     )
-    return Fetched(items, cards)
+    return Fetched(items, cards.drop("known"))
 
 
 def fetch_tallies(cards: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -62,30 +62,35 @@ def filled(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
 
 
-def listings(landing: DataFrame, source: str) -> DataFrame:
-    """Captured listing pages, the latest capture of each page.
-
-    Pages captured once stay where they are; only those captured again are grouped.  A
-    stream sees one capture at a time and takes it as it is.
-    """
-    rows = landing.where((F.col("source") == source) & (F.col("kind") == "listing"))
-    if landing.isStreaming:
-        return rows
-    page = ["run_id", "company_slug", "page"]
-    again = rows.groupBy(*page).agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(c).alias(f"of_{c}") for c in page])
-    again = small_side(again)
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in page])
-    latest = rows.join(again, same, "left_semi").groupBy(*page).agg(
+def _latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The latest capture of each page.  Pages captured once stay where they are; keys are
+    counted without their payloads, and only pages captured again are grouped."""
+    again = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    again = small_side(again.select(*[F.col(c).alias(f"of_{c}") for c in keys]))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in keys])
+    latest = rows.join(again, same, "left_semi").groupBy(*keys).agg(
         F.max_by(F.struct(*rows.columns), F.struct("fetched_at", "payload")).alias("row")
     )
     return rows.join(again, same, "left_anti").unionByName(latest.select("row.*"))
 
 
-def details(landing: DataFrame, source: str) -> DataFrame:
-    """Captured detail pages, the latest per posting; repeats are dropped before the shuffle."""
+def listings(landing: DataFrame, source: str) -> DataFrame:
+    """Captured listing pages, the latest of each.  A stream takes each capture as it comes."""
+    rows = landing.where((F.col("source") == source) & (F.col("kind") == "listing"))
+    return rows if landing.isStreaming else _latest(rows, ["run_id", "company_slug", "page"])
+
+
+def details(landing: DataFrame, source: str, wanted: DataFrame) -> DataFrame:
+    """Captured detail pages of the ``wanted`` (company_slug, ref), the latest of each.
+
+    Pages that nobody asks for are dropped before anything is grouped or joined: they hold
+    most of the bytes.
+    """
     rows = landing.where((F.col("source") == source) & (F.col("kind") == "detail"))
-    latest = F.max_by("payload", F.struct("fetched_at", "payload")).alias("detail")
-    return rows.groupBy("company_slug", "ref").agg(latest)
+    rows = rows.select("company_slug", "ref", "fetched_at", "payload")
+    keys = small_side(wanted.select("company_slug", "ref").where("ref IS NOT NULL").distinct())
+    asked = rows.join(keys, ["company_slug", "ref"], "left_semi")
+    return _latest(asked, ["company_slug", "ref"]).select("company_slug", "ref", F.col("payload").alias("detail"))
 
 
 def json_items(landing: DataFrame, source: str, path: str | None) -> DataFrame:
