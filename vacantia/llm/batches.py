@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
+from .memory import give_back
 from .words import slices, text_bytes
 
 BATCH_BYTES = 4 << 20
@@ -42,6 +43,7 @@ def packed(docs: DataFrame) -> DataFrame:
                     ]
                     yield pa.record_batch(row, ["batch", "n_bytes", "data", "sizes", "doc_ids"])
                     n += 1
+            give_back()
 
     return staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, BATCHES))
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import by_batch
 from .pretokens import CACHED_WORDS, Encoder, Segments, mixed
 
 LONG_BYTES = 128
@@ -235,21 +236,20 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids
     kept = docs.drop(*[f.name for f in added if f.name != text])
     schema = T.StructType([*kept.schema.fields, *added])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = coder(ranks_path)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for at, end in _slices(sizes):
-                part = batch.slice(at, end - at)
-                got = own.encoder.encode([t or "" for t in column.slice(at, end - at).to_pylist()])
-                columns = [*part.columns, _lists(got)]
-                if decoded:
-                    ends = np.cumsum([len(g) for g in got])
-                    columns.append(pa.array(own.decode(np.concatenate(got), ends), pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
+        column = batch.column(batch.schema.get_field_index(text))
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for at, end in _slices(sizes):
+            part = batch.slice(at, end - at)
+            got = own.encoder.encode([t or "" for t in column.slice(at, end - at).to_pylist()])
+            columns = [*part.columns, _lists(got)]
+            if decoded:
+                ends = np.cumsum([len(g) for g in got])
+                columns.append(pa.array(own.decode(np.concatenate(got), ends), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(by_batch(run), schema)
 
 
 def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -257,18 +257,17 @@ def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "d
     kept = docs.drop(decoded)
     schema = T.StructType([*kept.schema.fields, T.StructField(decoded, T.BinaryType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = coder(ranks_path)
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for at, end in _slices(4 * sizes):
-                part = batch.slice(at, end - at)
-                flat = lists.slice(at, end - at).flatten().to_numpy(zero_copy_only=False)
-                got = own.decode(flat, np.cumsum(sizes[at:end]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], schema.names)
-
-    return kept.mapInArrow(run, schema)
+        lists = batch.column(batch.schema.get_field_index(ids))
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for at, end in _slices(4 * sizes):
+            part = batch.slice(at, end - at)
+            flat = lists.slice(at, end - at).flatten().to_numpy(zero_copy_only=False)
+            got = own.decode(flat, np.cumsum(sizes[at:end]))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], schema.names)
+
+    return kept.mapInArrow(by_batch(run), schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:

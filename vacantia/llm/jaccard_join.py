@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from ..session import staged
 from .batches import BATCH_ROWS, NO_ID, packed, unpacked
 from .components import components
+from .memory import give_back, rows_of
 from .pretokens import mixed
 from .words import from_planes, lowered, planes, words_of
 
@@ -98,25 +99,24 @@ def _frequencies(batches: DataFrame, k: int, bits: int) -> DataFrame:
     """For each batch and bucket of shingles: a byte per shingle, the rank of its document count."""
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for row in batch.to_pylist():
-                data, sizes, _ = unpacked(row)
-                text, values = sets_of(data, sizes, k)
-                alone = _first_of_set(*_digests(text, values, len(sizes)))
-                shingles, count = np.unique(_counted(values[alone[text]]), return_counts=True)
-                count = np.minimum(count, 0xFFFF).astype(np.uint16)
-                bounds = np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(8 * COUNTED_BYTES - bits)
-                cuts = np.searchsorted(shingles, bounds)
-                for bucket in np.flatnonzero(np.diff(cuts)).tolist():
-                    part = slice(cuts[bucket], cuts[bucket + 1])
-                    yield pa.record_batch(
-                        [
-                            pa.array([bucket], pa.int32()), pa.array([row["batch"]], pa.int64()),
-                            pa.array([planes(shingles[part], COUNTED_BYTES)], pa.binary()),
-                            pa.array([planes(count[part], 2)], pa.binary()),
-                        ],
-                        ["bucket", "batch", "shingles", "count"],
-                    )
+        for row in rows_of(rows):
+            data, sizes, _ = unpacked(row)
+            text, values = sets_of(data, sizes, k)
+            alone = _first_of_set(*_digests(text, values, len(sizes)))
+            shingles, count = np.unique(_counted(values[alone[text]]), return_counts=True)
+            count = np.minimum(count, 0xFFFF).astype(np.uint16)
+            bounds = np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(8 * COUNTED_BYTES - bits)
+            cuts = np.searchsorted(shingles, bounds)
+            for bucket in np.flatnonzero(np.diff(cuts)).tolist():
+                part = slice(cuts[bucket], cuts[bucket + 1])
+                yield pa.record_batch(
+                    [
+                        pa.array([bucket], pa.int32()), pa.array([row["batch"]], pa.int64()),
+                        pa.array([planes(shingles[part], COUNTED_BYTES)], pa.binary()),
+                        pa.array([planes(count[part], 2)], pa.binary()),
+                    ],
+                    ["bucket", "batch", "shingles", "count"],
+                )
 
     def rank(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -127,6 +127,7 @@ def _frequencies(batches: DataFrame, k: int, bits: int) -> DataFrame:
         # 0: in one set only; then by quarters of a doubling
         ranks = np.where(total == 1, 0, np.minimum(255, 1 + 4 * np.log2(total))).astype(np.uint8)[back]
         cuts = np.cumsum([len(p) for p in parts])[:-1]
+        give_back()
         return pa.table({
             "batch": pa.array([r["batch"] for r in rows], pa.int64()),
             "bucket": pa.array([r["bucket"] for r in rows], pa.int32()),
@@ -182,6 +183,7 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 "size": pa.array(size, pa.int64()), "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)),
                 "shingles": lists, "leading": pa.array(leading, pa.int32(), mask=~candidate),
             }))
+        give_back()
         return pa.concat_tables(out)
 
     return staged(batches.groupBy("batch").cogroup(ranks.groupBy("batch")).applyInArrow(build, SETS))

@@ -19,7 +19,7 @@ WHITE_SPACE = [
 ]
 LETTER, NUMBER, OTHER, SPACE, END = 1, 2, 3, 4, 5
 CHUNK_CHARS = 1 << 20
-CACHED_WORDS = 2_000_000
+CACHED_WORDS = 700_000
 
 _classes = np.zeros(0x110000 + 1, np.uint8)
 

@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 from .batches import NO_ID, packed, unpacked
+from .memory import give_back, rows_of
 from .words import Words, from_planes, planes, words_of
 
 LEVELS = 4  # words that lead a suffix, a byte each
-GROUP_SUFFIXES = 2_000_000
+GROUP_SUFFIXES = 1_000_000
 FOLLOWED_SHARE = 1 / 1024  # a batch counts below a prefix that has this share of its suffixes
 
 
@@ -52,18 +53,17 @@ def prefix_counts(batches: DataFrame, depth: int) -> DataFrame:
     """How many suffixes lie below each prefix: (length in words, prefix, n)."""
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for row in batch.to_pylist():
-                words = words_of(*unpacked(row)[:2])
-                codes = leading_codes(words, words.windows(depth)[1])
-                out, followed = [], codes
-                for level in range(1, LEVELS + 1):
-                    values, n = np.unique(followed >> np.uint32(8 * (LEVELS - level)), return_counts=True)
-                    out.append((np.full(len(values), level), values, n))
-                    large = values[n >= len(codes) * FOLLOWED_SHARE]
-                    followed = followed[np.isin(followed >> np.uint32(8 * (LEVELS - level)), large)]
-                level, value, n = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
-                yield pa.record_batch([pa.array(level), pa.array(value), pa.array(n)], ["length", "prefix", "n"])
+        for row in rows_of(rows):
+            words = words_of(*unpacked(row)[:2])
+            codes = leading_codes(words, words.windows(depth)[1])
+            out, followed = [], codes
+            for level in range(1, LEVELS + 1):
+                values, n = np.unique(followed >> np.uint32(8 * (LEVELS - level)), return_counts=True)
+                out.append((np.full(len(values), level), values, n))
+                large = values[n >= len(codes) * FOLLOWED_SHARE]
+                followed = followed[np.isin(followed >> np.uint32(8 * (LEVELS - level)), large)]
+            level, value, n = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
+            yield pa.record_batch([pa.array(level), pa.array(value), pa.array(n)], ["length", "prefix", "n"])
 
     counted = batches.mapInArrow(count, "length long, prefix long, n long")
     return counted.groupBy("length", "prefix").agg(F.sum("n").alias("n"))
@@ -127,25 +127,24 @@ def suffixes(batches: DataFrame, depth: int, digest_bytes: int, bounds: np.ndarr
     """A row per batch and group: the batch's leaves in the group, packed."""
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for row in batch.to_pylist():
-                data, sizes, doc_ids = unpacked(row)
-                words = words_of(data, sizes)
-                codes, digest, _, _, first, _, begin, text = _leaves(words, depth, digest_bytes, bounds, _ranks(doc_ids))
-                ends, of = np.append(begin[1:], len(codes)), text[first]
-                for group in np.flatnonzero(ends > begin).tolist():
-                    part = slice(begin[group], ends[group])
-                    texts, local = np.unique(of[part], return_inverse=True)
-                    yield pa.record_batch(
-                        [
-                            pa.array([group], pa.int32()), pa.array([row["batch"]], pa.int64()),
-                            pa.array([planes(codes[part], 4)], pa.binary()),
-                            pa.array([planes(digest[part], digest_bytes)], pa.binary()),
-                            pa.array([planes(local.astype(np.uint32), 4)], pa.binary()),
-                            pa.array([planes(doc_ids[texts], 8)], pa.binary()),
-                        ],
-                        ["group", "batch", "codes", "digest", "text", "doc_ids"],
-                    )
+        for row in rows_of(rows):
+            data, sizes, doc_ids = unpacked(row)
+            words = words_of(data, sizes)
+            codes, digest, _, _, first, _, begin, text = _leaves(words, depth, digest_bytes, bounds, _ranks(doc_ids))
+            ends, of = np.append(begin[1:], len(codes)), text[first]
+            for group in np.flatnonzero(ends > begin).tolist():
+                part = slice(begin[group], ends[group])
+                texts, local = np.unique(of[part], return_inverse=True)
+                yield pa.record_batch(
+                    [
+                        pa.array([group], pa.int32()), pa.array([row["batch"]], pa.int64()),
+                        pa.array([planes(codes[part], 4)], pa.binary()),
+                        pa.array([planes(digest[part], digest_bytes)], pa.binary()),
+                        pa.array([planes(local.astype(np.uint32), 4)], pa.binary()),
+                        pa.array([planes(doc_ids[texts], 8)], pa.binary()),
+                    ],
+                    ["group", "batch", "codes", "digest", "text", "doc_ids"],
+                )
 
     return batches.mapInArrow(emit, "group int, batch long, codes binary, digest binary, text binary, doc_ids binary")
 
@@ -178,6 +177,7 @@ def _answers(digest_bytes: int):
         earliest[1:] = node[1:] != node[:-1]
         later = np.zeros(len(order), bool)
         later[order[position[~earliest]]] = True
+        give_back()
         bits = [np.packbits(part).tobytes() for part in np.split(later, np.cumsum(sizes)[:-1])]
         return pa.table({
             "batch": pa.array([r["batch"] for r in rows], pa.int64()),
@@ -257,6 +257,7 @@ def remove_repeats(
                 "doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_gone, pa.int64()),
                 "kept": kept, "removed": pa.ListArray.from_arrays(pa.array(runs), spans),
             }))
+        give_back()
         return pa.concat_tables(out) if out else _EMPTY
 
     result = "doc_id long, n_words long, n_removed long, kept string, removed array<struct<first:long,n:long>>"

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 from .files import new_folder, opened, own_name
+from .memory import give_back
 from .pretokens import Encoder
 
 _encoders: dict[str, Encoder] = {}
@@ -182,6 +183,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, layout: Layout = Layout(
                 if writer.n_ids >= layout.file_ids:
                     yield finished()
                     writer, doc_ids, counts, seq = None, [], [], seq + 1
+            give_back()
         if writer is not None:
             yield finished()
 
