@@ -35,13 +35,14 @@ from .components import components
 SAMPLE = 20_000
 CELL_VECTORS = 4096
 MOST_CELLS = 1024
-BLOCK = 1024
+BLOCK = 4096
+STRIP = 512  # rows of a product at a time
 ROUNDS = 12
 SLACK = 1e-4  # of single precision
 
 
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
-    """One row per distinct valid vector: rep (its least vec_id), copies, v (doubles of length 1)."""
+    """One row per distinct valid vector: rep (its least vec_id), copies, dims."""
     whole = F.size("embedding") > 0
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     nonzero = F.exists("embedding", lambda x: x != 0)
@@ -91,18 +92,18 @@ def assigned(one: DataFrame, centroids: np.ndarray, sure: float) -> DataFrame:
             visits &= np.arange(len(centroids))[None] < home[:, None]
             row, cell = np.nonzero(visits)
             rows = np.concatenate([np.arange(len(x)), row])
-            vectors = [v.tobytes() for v in x]
             yield pa.record_batch(
                 [
                     pa.array(np.concatenate([home, cell]), pa.int32()), pa.array(np.arange(len(rows)) >= len(x)),
                     batch.column(1).take(pa.array(rows)), batch.column(2).take(pa.array(rows)),
-                    pa.array([vectors[i] for i in rows.tolist()], pa.binary()),
+                    batch.column(0).take(pa.array(rows)),
                 ],
                 ["cell", "guest", "node", "copies", "v"],
             )
 
+    kind = one.schema["embedding"].dataType.simpleString()
     return one.select("embedding", "node", "copies").mapInArrow(
-        assign, "cell int, guest boolean, node long, copies long, v binary"
+        assign, f"cell int, guest boolean, node long, copies long, v {kind}"
     )
 
 
@@ -124,26 +125,31 @@ def _products(dims: int, threshold: float):
         table = table.combine_chunks()
         right = table["right"].to_numpy(zero_copy_only=False).astype(bool)
         alone = bool(table["alone"][0].as_py())
-        x = np.frombuffer(b"".join(table["v"].to_pylist()), np.float64).reshape(-1, dims)
+        x = _unit(table["v"].combine_chunks(), dims)
         node = table["node"].to_numpy(zero_copy_only=False)
         copies = table["copies"].to_numpy(zero_copy_only=False)
         left_rows = np.flatnonzero(~right)
         right_rows = left_rows if alone else np.flatnonzero(right)
-        rough = x[left_rows].astype(np.float32) @ x[right_rows].astype(np.float32).T
-        i, j = np.nonzero(rough >= threshold - SLACK)
-        if alone:
-            i, j = i[i < j], j[i < j]
-        a, b = left_rows[i], right_rows[j]
-        keep = np.zeros(len(a), bool)
-        for at in range(0, len(a), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            keep[part] = np.einsum("ij,ij->i", x[a[part]], x[b[part]]) >= threshold
-        a, b = a[keep], b[keep]
-        links = np.bincount(a, copies[b], len(x)) + np.bincount(b, copies[a], len(x))
-        root = _local_components(len(x), a, b)
+        rough = x.astype(np.float32)
+        links = np.zeros(len(x), np.int64)
+        root = np.arange(len(x))
+        for strip in range(0, len(left_rows), STRIP):
+            own = left_rows[strip : strip + STRIP]
+            i, j = np.nonzero(rough[own] @ rough[right_rows].T >= threshold - SLACK)
+            if alone:
+                i, j = i[i + strip < j], j[i + strip < j]
+            a, b = own[i], right_rows[j]
+            keep = np.zeros(len(a), bool)
+            for at in range(0, len(a), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                keep[part] = np.einsum("ij,ij->i", x[a[part]], x[b[part]]) >= threshold
+            a, b = a[keep], b[keep]
+            links += (np.bincount(a, copies[b], len(x)) + np.bincount(b, copies[a], len(x))).astype(np.int64)
+            # what a strip links is joined with what the strips before have linked
+            root = _local_components(len(x), np.append(a, np.arange(len(x))), np.append(b, root))
         hit = np.flatnonzero(links > 0)
         return pa.table({
-            "node": pa.array(node[hit], pa.int64()), "links": pa.array(links[hit].astype(np.int64)),
+            "node": pa.array(node[hit], pa.int64()), "links": pa.array(links[hit]),
             "root": pa.array(node[root[hit]], pa.int64()),
         })
 
