@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +56,16 @@ def search(
     query: str | None = None,
 ) -> DataFrame:
     """Jobs that meet all given conditions.  Cheap ones go first, text search last."""
+    for test in conditions(region, lifecycles, statuses, sources, countries, remote_only, favorites_only, min_score, query):
+        jobs = jobs.where(test)
+    return jobs
+
+
+def conditions(
+    region=None, lifecycles=None, statuses=None, sources=None, countries=None, remote_only=False, favorites_only=False,
+    min_score=None, query=None,
+) -> list[Column]:
+    """The tests of a search, cheap ones first."""
     tests: list[Column] = []
     if region is not None:
         tests.append(F.col("region") == region)
@@ -70,9 +82,7 @@ def search(
         tests.append(F.col("heuristic_score") >= min_score)
     if query:
         tests.append(text_matches(query))
-    for test in tests:
-        jobs = jobs.where(test)
-    return jobs
+    return tests
 
 
 def ordering(order_by: str = "score") -> list[Column]:
@@ -96,6 +106,15 @@ def saved_view(jobs: DataFrame, name: str, region: str | None = None) -> DataFra
     return search(jobs, region=region, **{**_VIEW_DEFAULTS, **SAVED_VIEWS[name]})
 
 
+def views_of(jobs: DataFrame, region: str | None = None) -> DataFrame:
+    """A row per job and saved view that shows it, with ``view``; the table is read once."""
+    shown = [
+        F.when(reduce(and_, conditions(region=region, **{**_VIEW_DEFAULTS, **view}), F.lit(True)), F.lit(name))
+        for name, view in SAVED_VIEWS.items()
+    ]
+    return jobs.select("fingerprint", F.explode(F.filter(F.array(*shown), lambda v: v.isNotNull())).alias("view"))
+
+
 def with_company(jobs: DataFrame, companies: DataFrame) -> DataFrame:
     """Add the company's name; a job without a company keeps null."""
     names = companies.select(F.col("slug").alias("company_slug"), F.col("name").alias("company"))

@@ -354,6 +354,16 @@ ORACLES: dict[str, str] = {
  CASE WHEN s_suppkey % 3 <> 0 THEN '2024-01-01 00:00:00' ELSE '2024-02-01 00:00:00' END AS created_at,
  'lever' AS source, 'EGYPT' AS target_region, s_suppkey % 5 <> 0 OR s_suppkey % 2 = 0 AS active,
  CASE WHEN s_suppkey % 5 <> 0 THEN 0 END AS n_config FROM supplier WHERE s_suppkey % 3 <> 0 OR s_suppkey % 5 <> 0""",
+    "k01_commit": merged(2, _STATE.replace("jobs3", "jobs2").replace("SELECT", "SELECT 2 AS version,", 1)),
+    "k02_run_log": merged(
+        2, f"SELECT '2' AS run_id, company_slug, source, status, jobs_seen, jobs_new, jobs_updated, jobs_closed FROM ({M.counters(2)})"
+    ),
+    "k03_state": f"SELECT '{L.LAST_SUCCESS_KEY}' AS key, '{runs.clock_of(2)}' AS value, '{runs.clock_of(2)}' AS updated_at",
+    "s13_registry": plain(
+        f"""SELECT board AS source, company_slug, count(*) AS n_items FROM postings,
+ (VALUES ('greenhouse'), ('lever'), ('ashby'), ('workday'), ('wellfound'), ('linkedin'), ('wuzzuf'), ('bayt')) AS b(board)
+ WHERE CASE WHEN board IN ('linkedin', 'wuzzuf', 'bayt') THEN {_CARD} ELSE {_OK} END GROUP BY 1, 2"""
+    ),
     "s12_seed": """SELECT 's-' || s_suppkey AS slug, s_name AS name, CASE s_suppkey % 4 WHEN 1 THEN 'ashby' ELSE 'lever' END AS source,
  CASE s_suppkey % 3 WHEN 0 THEN 'EGYPT' ELSE 'INTERNATIONAL' END AS target_region, true AS active, 0 AS n_config
  FROM supplier WHERE s_suppkey % 4 <> 0""",

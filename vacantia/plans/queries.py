@@ -6,6 +6,7 @@ joined text, so that results compare across engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -17,8 +18,9 @@ from ..functions import keys, text, times
 from ..functions.patterns import fold
 from ..operators import actions as acts
 from ..operators import constraints, features, filters, merge, ordered, scoring, serving
-from ..session import pin_utc, spread
-from ..sources import boards, cards, embedded, landing
+from ..session import checkpoint_dir, pin_utc, spread, staged
+from ..sinks.store import Store
+from ..sources import boards, cards, embedded, landing, registry
 from . import payloads, runs
 from .postings import AS_OF, postings
 
@@ -608,12 +610,8 @@ def _(spark, sf):
 
 @query("f15_saved_views")
 def _(spark, sf):
-    df = served(spark, sf).select("fingerprint", "lifecycle", "application_status", "favorite")
-    parts = [serving.saved_view(df, v).select(F.lit(v).alias("view"), "fingerprint") for v in serving.SAVED_VIEWS]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Every job under the views that show it, in one pass over the table."""
+    return serving.views_of(served(spark, sf)).select("view", "fingerprint")
 
 
 @query("t01_top_by_score")
@@ -817,6 +815,50 @@ def _(spark, sf):
     return found.withColumn("refused", F.lit(refused))
 
 
+# ------------------------------------------------------------------- sinks
+def _stored(spark, sf) -> Store:
+    """A store of its own with runs 1 and 2 committed, and a replay of run 2 that must do nothing."""
+    store = Store(spark, f"{checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    for run in (1, 2, 2):
+        at = runs.clock_of(run)
+        if store.is_committed(str(run), "all"):
+            continue
+        result, seen, went = merged(spark, sf, run)
+        log = merge.run_counters(result, seen, went).select(
+            F.lit(str(run)).alias("run_id"), times.clock(at).alias("started_at"), times.clock(at).alias("finished_at"), "*",
+            F.lit(None).cast("string").alias("error_message"), F.lit(None).cast("string").alias("error_kind"),
+        )
+        store.write_run_log(log, str(run), "all")
+        store.commit_jobs(result.jobs, str(run), "all", at)
+        store.mark_success(at)
+    return store
+
+
+@query("k01_commit")
+def _(spark, sf):
+    """The table read back after two commits and a replay, with the number of its version."""
+    store = _stored(spark, sf)
+    return _state(store.jobs()).withColumn("version", F.lit(store.current()))
+
+
+@query("k02_run_log")
+def _(spark, sf):
+    """The log read back: a replay replaces its lines, a run that is not committed shows none."""
+    store = _stored(spark, sf)
+    log = staged(store.run_log())
+    store.write_run_log(log.where("run_id = '2'"), "2", "all")
+    store.write_run_log(log, "3", "all")
+    return store.run_log().where("run_id = '2'").select(
+        "run_id", "company_slug", "source", "status", "jobs_seen", "jobs_new", "jobs_updated", "jobs_closed"
+    )
+
+
+@query("k03_state")
+def _(spark, sf):
+    """The state after two successes: the last one counts."""
+    return _stored(spark, sf).state().select("key", "value", ts_text("updated_at").alias("updated_at"))
+
+
 # ------------------------------------------------------------------- sources
 _ITEM = ["company_slug", "external_id", "title", "apply_url", "location", "country", "remote", "description_text"]
 
@@ -867,6 +909,18 @@ def _(spark, sf):
     return _good(items, ts_text("posted_at").alias("posted_at"))
 
 
+@query("s13_registry")
+def _(spark, sf):
+    """All eight boards through the registry: what each lists for each company."""
+    df = worked(spark, sf)
+    pages = None
+    for board in registry.READERS:
+        more = getattr(payloads, board)(df)
+        pages = more if pages is None else pages.unionByName(more)
+    seen = registry.read_observations(staged(pages), _companies(spark))
+    return seen.groupBy("source", "company_slug").agg(F.count("*").alias("n_items"))
+
+
 @query("s07_wuzzuf")
 def _(spark, sf):
     return _good(_fetched(spark, sf, "wuzzuf").items)
