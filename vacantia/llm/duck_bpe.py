@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .memory import by_batch
+from .memory import by_batch, give_back
 from .pretokens import CACHED_WORDS, Encoder, Segments, mixed
 
 LONG_BYTES = 128
 STATE_ROWS = 1_000_000  # rows that one recursive query may make
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 RUN_IDS = 64
 
 MERGE = """
@@ -248,6 +248,8 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids
                 ends = np.cumsum([len(g) for g in got])
                 columns.append(pa.array(own.decode(np.concatenate(got), ends), pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
+            del part, got, columns
+            give_back()
 
     return kept.mapInArrow(by_batch(run), schema)
 

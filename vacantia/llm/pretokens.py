@@ -18,7 +18,7 @@ WHITE_SPACE = [
     *range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 ]
 LETTER, NUMBER, OTHER, SPACE, END = 1, 2, 3, 4, 5
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 CACHED_WORDS = 700_000
 
 _classes = np.zeros(0x110000 + 1, np.uint8)
