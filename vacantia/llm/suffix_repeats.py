@@ -15,10 +15,9 @@ A group answers each batch with one bit per leaf: whether the node has an earlie
 
 Cases: a null or empty text has no words; texts shorter than ``depth`` words lose none; a
 null doc_id comes before all others; rows that share a doc_id are ordered as they are
-packed; an empty table gives no rows; other columns are not read.  Digests have 48 bits
-beside the 32 of the codes: among a billion different windows of a language about one
-pair in a thousand runs would be taken as equal; ``digest_bytes=8`` leaves none to be
-expected at 100 TB.
+packed; an empty table gives no rows; other columns are not read.  Windows are told apart
+by 32 bits of codes and 48 of digest: among a billion different ones no two are to be
+expected alike (4 in 10 million); ``digest_bytes=8`` gives that bound at 100 TB.
 """
 
 from __future__ import annotations
