@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .memory import give_back
+from .memory import forget, give_back
 from .words import slices, text_bytes
 
 BATCH_BYTES = 4 << 20
@@ -28,6 +28,7 @@ def packed(docs: DataFrame) -> DataFrame:
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         n = TaskContext.get().partitionId() << 20
         for rows in batches:
             sizes = text_bytes(rows.column(1))[1]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .memory import by_batch, give_back
+from .memory import by_batch, give_back, kept
 from .pretokens import CACHED_WORDS, Encoder, Segments, mixed
 
 LONG_BYTES = 128
@@ -73,7 +73,7 @@ DECODE = """
 SELECT run, string_agg(token, '' ORDER BY pos) AS text FROM given JOIN vocabulary USING (id) GROUP BY run ORDER BY run
 """
 
-_coders: dict[str, Coder] = {}
+_coders: dict[str, Coder] = kept({})
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -19,8 +19,25 @@ def give_back() -> None:
         trim(0)
 
 
+_caches: list[dict] = []
+
+
+def kept(cache: dict) -> dict:
+    """Register what an operator keeps in a worker from task to task."""
+    _caches.append(cache)
+    return cache
+
+
+def forget() -> None:
+    """Drop what other operators have kept: the worker has gone over to another one."""
+    for cache in _caches:
+        cache.clear()
+    give_back()
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """The rows of batches of a few large rows each, one at a time."""
+    forget()
     for batch in batches:
         for at in range(batch.num_rows):
             yield from batch.slice(at, 1).to_pylist()

@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 from .files import new_folder, opened, own_name
-from .memory import give_back
+from .memory import give_back, kept
 from .pretokens import Encoder
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = kept({})
 MANIFEST = "part int, seq int, file string, n_ids long, doc_id array<long>, n_tokens array<long>"
 
 
