@@ -24,12 +24,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ).select("doc.*")
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without line runs that start earlier (operator 9); a document that loses all its lines goes.
+def _lines_left(docs: DataFrame, words: int | None = None) -> DataFrame:
+    """Documents after line dedup; one that loses all its lines goes.
 
     ``n_chars``, where documents have it, follows the text that is left.
     """
-    left = line_dedup.dedup(docs)
+    left = line_dedup.dedup(docs, words=words)
     left = left.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     columns = [F.col("doc")[c].alias(c) for c in docs.columns]
     if "n_chars" in docs.columns:
@@ -38,8 +38,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select(*columns)
 
 
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without line runs that start earlier (operator 9)."""
+    return _lines_left(docs)
+
+
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the least doc_id (operator 8)."""
+    """One document of each group of near duplicates, that of the least doc_id (operator 8).
+
+    What is left then loses long passages of one or two lines that start earlier (operator 9
+    by words): stage line_dedup goes by three lines only, as its SQL does.
+    """
     placed = jaccard_join.join(docs)
     # rows of one doc_id are told apart by their text, as the operator groups them
     copies = staged(
@@ -47,9 +56,10 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         .select(F.col("doc_id").alias("copy_id")).distinct()
     )
     rows = docs.select(F.struct("*").alias("doc"))
-    return rows.join(
+    left = rows.join(
         small_side(copies), F.col("doc.doc_id").cast("long").eqNullSafe(F.col("copy_id")), "left_anti"
     ).select("doc.*")
+    return _lines_left(staged(left), line_dedup.PASSAGE_WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -201,3 +201,16 @@ def test_pipeline(spark):
     assert steps["tokens"](spark, docs, folder).count() == docs.count()
     assert 0 < corpus_pipeline.run(spark, folder).count() < docs.count()
     assert all(f(spark, docs.limit(0), folder).count() == 0 for f in steps.values())
+
+
+def test_pipeline_drops_long_passages(spark):
+    import corpus_pipeline
+
+    passage, far = (" ".join(f"{k}{i}" for i in range(60)) for k in "pq")
+    own = [" ".join(f"{k}{i}" for i in range(200)) for k in "abc"]
+    rows = [(1, f"{own[0]}\n{passage}"), (2, f"{passage}\n{own[1]}"), (3, f"{own[2]}\n{passage}\n{far}"), (4, "")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars int")
+    steps = dict(corpus_pipeline.STAGES)
+    left = steps["near_duplicates"](spark, steps["line_dedup"](spark, docs, ""), "")
+    want = {1: rows[0][1], 2: own[1], 3: f"{own[2]}\n{far}", 4: ""}
+    assert {r.doc_id: (r.text, r.n_chars) for r in left.collect()} == {i: (t, len(t)) for i, t in want.items()}

@@ -74,6 +74,39 @@ def test_lines_of_one_text_twice(spark):
     assert got == [(0, 0), (1, 3), (1, 3), (2, 3)]
 
 
+def lines_with_words(rows, words, run=3):
+    """As brute.lines, and without repeated runs of fewer lines that hold ``words`` words."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows):
+        if text is None:
+            out[doc_id] = (0, 0, None)
+            continue
+        each, gone = text.split("\n"), set()
+        for n in range(1, run + 1):
+            for i in range(len(each) - n + 1):
+                window = tuple(each[i : i + n])
+                if n < run and sum(len(brute.WORD.findall(x)) for x in window) < words:
+                    continue
+                if window in seen:
+                    gone.update(range(i, i + n))
+                seen.add(window)
+        out[doc_id] = (len(each), len(gone), "\n".join(x for i, x in enumerate(each) if i not in gone))
+    return out
+
+
+@pytest.mark.parametrize("seed", [8, 9])
+def test_long_passages_of_few_lines(spark, seed):
+    pick = random.Random(seed)
+    some = [" ".join(f"w{k}x{i}" for i in range(n)) for k, n in enumerate([1, 2, 4, 5, 6, 9, 10, 11, 30, 49, 50, 51])]
+    rows = [(i, "\n".join(pick.choice([*some, f"own{i}"]) for _ in range(pick.randint(0, 6)))) for i in range(60)]
+    rows += [(900, None), (901, ""), (902, some[-1]), (903, f"{some[8]}\n{some[9]}"), (904, f"{some[-1]}\t\n" * 40)]
+    for words in (10, line_dedup.PASSAGE_WORDS):
+        got = line_dedup.dedup(frame(spark, rows), words=words).collect()
+        want = lines_with_words(rows, words)
+        assert {r.doc.doc_id: (r.n_lines, r.n_removed, r.doc.text) for r in got} == want != brute.lines(rows)
+    assert want[902][1] == 1
+
+
 def test_items(spark):
     pick = random.Random(7)
     words = [f"w{i}" for i in range(40)]
