@@ -14,14 +14,24 @@ from vacantia.llm.queries import table, tokenizer_file
 from vacantia.session import small_side, staged
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with what decisions go by: doc_id and the hash of the text."""
+    return docs.select(
+        F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_tie")
+    )
+
+
+def _met(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``rows`` of ``_keyed`` joined to distinct (doc_id, tie)."""
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_tie") == F.col("tie"))
+    return rows.join(small_side(keys.select("doc_id", "tie")), same, how)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the clause grammar predicts to be toxic (operator 4)."""
     scores = toxic_grammar.score(docs, table(spark, sf_dir, "labels"))
-    toxic = staged(scores.where("predicted = 1").select(F.col("doc_id").alias("toxic_id")).distinct())
-    rows = docs.select(F.struct("*").alias("doc"))
-    return rows.join(
-        small_side(toxic), F.col("doc.doc_id").cast("long").eqNullSafe(F.col("toxic_id")), "left_anti"
-    ).select("doc.*")
+    toxic = staged(scores.where("predicted = 1").select("doc_id", "tie").distinct())
+    return _met(_keyed(docs), toxic, "left_anti").select("doc.*")
 
 
 def _lines_left(docs: DataFrame, words: int | None = None) -> DataFrame:
@@ -46,19 +56,23 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the least doc_id (operator 8).
 
+    Among rows of one doc_id it is that of the least text hash; null is the last doc_id; of
+    rows that agree in both one stays.  Texts without words are in no group and all stay.
     What is left then loses long passages of one or two lines that start earlier (operator 9
     by words): stage line_dedup goes by three lines only, as its SQL does.
     """
-    placed = jaccard_join.join(docs)
-    # rows of one doc_id are told apart by their text, as the operator groups them
-    copies = staged(
-        placed.where(~F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("component_id").isNotNull())
-        .select(F.col("doc_id").alias("copy_id")).distinct()
-    )
-    rows = docs.select(F.struct("*").alias("doc"))
-    left = rows.join(
-        small_side(copies), F.col("doc.doc_id").cast("long").eqNullSafe(F.col("copy_id")), "left_anti"
-    ).select("doc.*")
+    placed = jaccard_join.join(docs).where("n_shingles > 0")
+    # rows that agree in doc_id and text are in one group, and go or stay together but for repeats
+    keys = placed.groupBy("doc_id", "tie").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    keys = staged(keys.where("NOT kept OR n > 1"))
+    left = _met(_keyed(docs), keys.where("NOT kept"), "left_anti")
+    again = keys.where("kept")
+    if not again.isEmpty():
+        one = _met(left, again, "left_semi").groupBy("own_id", "own_tie").agg(
+            F.min_by("doc", F.to_json("doc")).alias("doc")
+        )
+        left = _met(left, again, "left_anti").select("doc").unionByName(one.select("doc"))
+    left = left.select("doc.*")
     return _lines_left(staged(left), line_dedup.PASSAGE_WORDS)
 
 

@@ -214,3 +214,26 @@ def test_pipeline_drops_long_passages(spark):
     left = steps["near_duplicates"](spark, steps["line_dedup"](spark, docs, ""), "")
     want = {1: rows[0][1], 2: own[1], 3: f"{own[2]}\n{far}", 4: ""}
     assert {r.doc_id: (r.text, r.n_chars) for r in left.collect()} == {i: (t, len(t)) for i, t in want.items()}
+
+
+def test_pipeline_stages_go_by_rows(spark, monkeypatch):
+    """Null and repeated doc_ids: what holds for one text does not hold for others of its doc_id."""
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    near = a + " more"
+    steps = dict(corpus_pipeline.STAGES)
+
+    def left(stage, rows):
+        docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+        return sorted(((r.doc_id, r.text) for r in steps[stage](spark, docs, "").collect()), key=str)
+
+    rows = [(1, a), (None, near), (None, b), (2, a), (2, c), (3, d), (3, d), (3, d), (4, None), (4, None), (None, ""), (None, "")]
+    want = [(1, a), (None, b), (2, c), (3, d), (4, None), (4, None), (None, ""), (None, "")]
+    assert left("near_duplicates", rows) == sorted(want, key=str)
+    assert len(left("near_duplicates", [(None, b), (None, b), (None, b + " x"), (7, c + " y"), (7, c)])) == 2
+
+    bad = "you are an idiot, you idiot, you moron. "
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: spark.createDataFrame([], "doc_id long, toxic int"))
+    rows = [(None, bad * 5), (None, b), (5, bad * 4), (5, c), (5, c), (6, d), (None, None)]
+    assert left("toxicity", rows) == sorted([(None, b), (5, c), (5, c), (6, d), (None, None)], key=str)

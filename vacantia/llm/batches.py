@@ -18,13 +18,15 @@ BATCH_BYTES = 4 << 20
 BATCH_ROWS = 1 << 20
 NO_ID = -(1 << 63)
 BATCHES = "batch long, n_bytes long, data binary, sizes binary, doc_ids binary"
+TIES = "ties binary"
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, ties: bool = False) -> DataFrame:
     """doc_id and text of all rows, in batches of about ``BATCH_BYTES`` that are written once.
 
     Every later step sees the same batches, whatever is lost and run again.  A row is known
-    by its batch's number times ``BATCH_ROWS`` plus its place.
+    by its batch's number times ``BATCH_ROWS`` plus its place.  With ``ties`` a batch also has
+    the hashes of its texts.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,11 +44,16 @@ def packed(docs: DataFrame) -> DataFrame:
                         pa.array([pa.compress(data.tobytes(), "zstd", asbytes=True)], pa.binary()),
                         pa.array([own.tobytes()], pa.binary()), pa.array([ids.tobytes()], pa.binary()),
                     ]
-                    yield pa.record_batch(row, ["batch", "n_bytes", "data", "sizes", "doc_ids"])
+                    names = ["batch", "n_bytes", "data", "sizes", "doc_ids"]
+                    if ties:
+                        row.append(pa.array([part.column(2).to_numpy(zero_copy_only=False).tobytes()], pa.binary()))
+                        names.append("ties")
+                    yield pa.record_batch(row, names)
                     n += 1
             give_back()
 
-    return staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, BATCHES))
+    columns = [F.col("doc_id").cast("long"), F.col("text").cast("string"), *([F.xxhash64("text")] if ties else [])]
+    return staged(docs.select(*columns).mapInArrow(pack, f"{BATCHES}, {TIES}" if ties else BATCHES))
 
 
 def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

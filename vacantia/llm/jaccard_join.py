@@ -138,7 +138,7 @@ def _frequencies(batches: DataFrame, k: int, bits: int) -> DataFrame:
     return staged(counted.groupBy("bucket").applyInArrow(rank, "batch long, bucket int, ranks binary"))
 
 
-SETS = "row long, doc_id long, size long, a long, b long, shingles array<long>, leading int"
+SETS = "row long, doc_id long, tie long, size long, a long, b long, shingles array<long>, leading int"
 
 
 def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -148,7 +148,7 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     them lie in the prefix.  Both are null where the prefix has none, since then no other
     set links, and for all but one row of equal sets in a batch.
     """
-    batches = packed(docs)
+    batches = packed(docs, ties=True)
     total = batches.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(1, int(np.ceil(np.log2(max(2, total / BYTES_PER_WORD / GROUP_SHINGLES)))))
     ranks = _frequencies(batches, k, bits)
@@ -180,6 +180,7 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
             out.append(pa.table({
                 "row": pa.array(row["batch"] * BATCH_ROWS + np.arange(len(sizes)), pa.int64()),
                 "doc_id": pa.array(doc_ids, pa.int64(), mask=doc_ids == NO_ID),
+                "tie": pa.array(np.frombuffer(row["ties"], np.int64)),
                 "size": pa.array(size, pa.int64()), "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)),
                 "shingles": lists, "leading": pa.array(leading, pa.int32(), mask=~candidate),
             }))
@@ -281,7 +282,11 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row; ``row`` tells rows of one id apart."""
+    """doc_id, n_shingles and component_id of every row; ``row`` tells rows of one id apart.
+
+    ``tie`` is the hash of the text; ``kept`` names one row of each component, the least by
+    doc_id (null last), tie and row.
+    """
     if percent * SIZE_STEP < 100 - 1e-9:
         raise ValueError("blocks of sizes are too narrow for this similarity")
     sets = shingle_sets(docs, words, percent)
@@ -295,11 +300,13 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     )
     of_class = components(links(one, percent)).withColumnRenamed("node", "class")
     placed = (
-        sets.select("row", "doc_id", *digest).join(classes, digest, "left").join(of_class, "class", "left")
-        .select("row", "doc_id", "size", F.coalesce("component", "class", "row").alias("component"))
+        sets.select("row", "doc_id", "tie", *digest).join(classes, digest, "left").join(of_class, "class", "left")
+        .select("row", "doc_id", "tie", "size", F.coalesce("component", "class", "row").alias("component"))
     )
     placed = staged(placed)
-    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie", "row")
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("first"))
     return placed.join(least, "component").select(
-        "row", "doc_id", F.col("size").alias("n_shingles"), "component_id"
+        "row", "doc_id", "tie", F.col("size").alias("n_shingles"), "component_id",
+        (F.col("row") == F.col("first.row")).alias("kept"),
     )

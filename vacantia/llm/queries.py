@@ -54,7 +54,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score by the clause grammar, learnt from the labels of four folds."""
-    return toxic_grammar.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxic_grammar.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("tie")
 
 
 def op5_duck_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document among those that share four fifths of their shingles."""
-    return jaccard_join.join(table(spark, sf_dir, "documents")).drop("row")
+    return jaccard_join.join(table(spark, sf_dir, "documents")).drop("row", "tie", "kept")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,7 +200,7 @@ def learn_insults(train: DataFrame, most_entries: int = 5000, margin: float = 3.
 
 
 def matched(docs: DataFrame, beginnings: dict[str, float]) -> DataFrame:
-    """Per text, from the composed grammar: doc_id, steps of weight and density, pattern bits."""
+    """Per text, from the composed grammar: doc_id, tie (hash of the text), steps of weight and density, pattern bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(beginnings)
@@ -211,12 +211,13 @@ def matched(docs: DataFrame, beginnings: dict[str, float]) -> DataFrame:
                 weight, mask = matcher.clauses(text)
                 density = 1000 * weight / (len(text) + 50)
                 rows.append((int(STEPS * math.log2(1 + weight)), int(STEPS * math.log2(1 + density)), mask))
-            names = ["doc_id", "weight", "density", "patterns"]
+            names = ["doc_id", "tie", "weight", "density", "patterns"]
             columns = zip(*rows, strict=True) if rows else ([], [], [])
-            yield pa.record_batch([batch.column(0), *(pa.array(c, pa.int32()) for c in columns)], names)
+            yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array(c, pa.int32()) for c in columns)], names)
 
-    fields = "doc_id long, weight int, density int, patterns int"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, fields)
+    fields = "doc_id long, tie long, weight int, density int, patterns int"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    return rows.mapInArrow(run, fields)
 
 
 def fit(train: DataFrame, ridge: float = 0.5) -> list[float]:
@@ -247,7 +248,7 @@ def fit(train: DataFrame, ridge: float = 0.5) -> list[float]:
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted for every text; labels of fold 0 are not looked at."""
+    """doc_id, tie, held_out, score and predicted for every text; labels of fold 0 are not looked at."""
     known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", "toxic").distinct()
     known = small_side(staged(known))
     beginnings = learn_insults(docs.select("doc_id", "text").where("text IS NOT NULL").join(known, "doc_id"))
@@ -257,6 +258,6 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     terms = [F.lit(beta[0]), beta[1] * F.col("weight") / STEPS, beta[2] * F.col("density") / STEPS]
     terms += [F.when(bit, F.lit(b)).otherwise(0.0) for bit, b in zip(bits, beta[3:], strict=True)]
     scored = found.select(
-        "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), (1 / (1 + F.exp(-reduce(add, terms)))).alias("score")
+        "doc_id", "tie", (fold(F.col("doc_id")) == 0).alias("held_out"), (1 / (1 + F.exp(-reduce(add, terms)))).alias("score")
     )
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
