@@ -101,6 +101,21 @@ def test_token_files(spark):
     one.close()
 
 
+def test_added_tokens(spark, tmp_path):
+    """The query's ids are those of the library in its default state, also where a text holds an added token."""
+    from vacantia.llm.queries import op10_token_files
+
+    end = "<|endoftext|>"
+    texts = [*odd_texts(100), f"a {end} b", end, end * 3, f" {end} \n {end}x", f"don{end}'t  {end[:-1]}", f"{'a b ' * 400}{end}  "]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in op10_token_files(spark, str(tmp_path)).collect()}
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for i, text in [*enumerate(texts), (None, "no id"), (10_000, "")]:
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        assert got[i] == (len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes())), text
+    assert len(tokenizer.encode(end, add_special_tokens=False).ids) == 1
+
+
 def test_no_documents_no_files(spark):
     manifest = token_files.write(docs(spark, []).limit(0), P.path("byte_bpe_50k.json"), 2)
     assert manifest.count() == 0 and token_files.read_documents(spark, manifest, len, "n long").count() == 0

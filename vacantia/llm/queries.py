@@ -91,7 +91,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from the token files."""
-    manifest = token_files.write(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), END_ID)
+    docs = table(spark, sf_dir, "documents")
+    manifest = token_files.write(docs, tokenizer_file("byte_bpe_50k.json"), END_ID, added_tokens=True)
     return token_files.read_documents(
         spark, manifest, lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), "ids_crc32 long"
     )

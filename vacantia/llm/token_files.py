@@ -9,12 +9,15 @@ division and read without a copy.
 
 Cases: a null text is empty (the end id alone); a null doc_id sorts first; repeated
 doc_ids follow each other in the order of a hash of their text; an empty table gives
-no file and no row; other columns are not read.
+no file and no row; other columns are not read.  The tokenizer's added tokens (such as
+``<|endoftext|>``) in a text are ordinary text, or with ``added_tokens`` their ids, as the
+library has it by default.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +32,7 @@ from .files import new_folder, opened, own_name
 from .memory import give_back, kept
 from .pretokens import Encoder
 
-_encoders: dict[str, Encoder] = kept({})
+_encoders: dict[tuple[str, bool], Encoder | AddedTokens] = kept({})
 MANIFEST = "part int, seq int, file string, n_ids long, doc_id array<long>, n_tokens array<long>"
 
 
@@ -44,18 +47,49 @@ class Layout:
     wide: bool = False
 
 
-def hf_encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizers file; special strings in a text are ordinary text."""
-    if path not in _encoders:
+class AddedTokens:
+    """Texts to ids where added tokens in a text become their ids; what lies between them is encoded by itself."""
+
+    def __init__(self, encoder: Encoder, tokenizer):
+        self.encoder, self.tokenizer = encoder, tokenizer
+        added = tokenizer.get_added_tokens_decoder()
+        self.ids = {t.content: i for i, t in added.items() if t.content}
+        # at one place the library takes the longest
+        longest = sorted(self.ids, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+        # tokens that look at what is beside them, and texts that are changed first, are left to the library
+        self.plain = tokenizer.normalizer is None and not any(
+            t.single_word or t.lstrip or t.rstrip for t in added.values()
+        )
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.cut is None:
+            return self.encoder.encode(texts)
+        if not self.plain:
+            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) for t in texts]
+        split = [self.cut.split(t) for t in texts]
+        # parts at even places are text, those at odd places added tokens
+        between = iter(self.encoder.encode([p for parts in split for p in parts[::2]]))
+        out = []
+        for parts in split:
+            ids = [np.array([self.ids[p]], np.int32) if i % 2 else next(between) for i, p in enumerate(parts)]
+            out.append(ids[0] if len(ids) == 1 else np.concatenate(ids))
+        return out
+
+
+def hf_encoder(path: str, added_tokens: bool = False) -> Encoder | AddedTokens:
+    """The worker's encoder for a tokenizers file; see ``added_tokens`` above."""
+    if (path, added_tokens) not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _encoders[path] = Encoder(
+        tokenizer.encode_special_tokens = not added_tokens
+        encoder = Encoder(
             lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         )
-    return _encoders[path]
+        _encoders[path, added_tokens] = AddedTokens(encoder, tokenizer) if added_tokens else encoder
+    return _encoders[path, added_tokens]
 
 
 class TokenWriter:
@@ -147,7 +181,10 @@ class TokenFile:
         self.source.close()
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int, layout: Layout = Layout(), folder: str | None = None) -> DataFrame:
+def write(
+    docs: DataFrame, tokenizer: str, end_id: int, layout: Layout = Layout(), folder: str | None = None,
+    added_tokens: bool = False,
+) -> DataFrame:
     """Write all documents; returns the manifest, a row per file with its documents in order.
 
     Only files that the manifest names count: a task that is run again writes others.
@@ -162,7 +199,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, layout: Layout = Layout(
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = hf_encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, seq = hf_encoder(tokenizer, added_tokens), TaskContext.get().partitionId(), 0
         writer, doc_ids, counts = None, [], []
 
         def finished() -> pa.RecordBatch:
