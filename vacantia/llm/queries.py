@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 
-from . import decontaminate, duck_bpe, host_reputation, jaccard_join, line_dedup, suffix_repeats, token_files, toxic_grammar, vector_cells, warc
+from . import (
+    chunk_recipes, decontaminate, duck_bpe, host_reputation, jaccard_join, line_dedup, pivot_clusters, ranked_search,
+    suffix_repeats, token_files, toxic_grammar, vector_cells, warc,
+)
 from .host_reputation import Rule
 from .queries_sql import ORACLES as ORACLES
 
@@ -98,6 +101,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding's cluster after three rounds over 16 centroids, in exact integers."""
+    return pivot_clusters.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, steps=64, seed=1)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), limit=50)
+
+
+def op13_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the row of equal text that stays."""
+    return chunk_recipes.exact_groups(table(spark, sf_dir, "documents")).drop("row")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_host_reputation": op2_host_reputation,
@@ -109,4 +127,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
+    "op11_pivot_clusters": op11_pivot_clusters,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_chunk_recipes": op13_chunk_recipes,
 }

@@ -172,6 +172,72 @@ SELECT d.doc_id, coalesce(max(n), 0) AS n_shingles, min(other) AS component_id
 FROM documents d JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id
 """
 
+def _round(n: int) -> str:
+    """Centroids after round ``n``, from those before it; squares of small integers are exact in doubles."""
+    return f"""
+near{n} AS (
+  SELECT vec_id, q, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (
+    SELECT v.vec_id, v.q, c.cluster,
+      list_dot_product(v.q, v.q) + list_dot_product(c.q, c.q) - 2 * list_dot_product(v.q, c.q) AS d
+    FROM whole v CROSS JOIN c{n - 1} c) GROUP BY vec_id, q
+), sums{n} AS (
+  SELECT cluster, i, sum(x)::BIGINT AS s, count(*) AS n FROM (
+    SELECT cluster, unnest(range(0, 64)) AS i, unnest(q)::BIGINT AS x FROM near{n}) GROUP BY cluster, i
+), moved{n} AS (
+  SELECT cluster, list((((s - ((s % n + n) % n)) // n))::DOUBLE ORDER BY i) AS q FROM sums{n} GROUP BY cluster
+), c{n} AS (SELECT o.cluster, coalesce(m.q, o.q) AS q FROM c{n - 1} o LEFT JOIN moved{n} m USING (cluster))"""
+
+
+_CLUSTERS_SQL = f"""
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, q
+  FROM (SELECT q, sha256('1:' || vec_id) AS h FROM whole ORDER BY h LIMIT 16)
+), {", ".join(map(_round, range(1, 5)))},
+named AS (
+  SELECT cluster, sha256(array_to_string(list_transform(q, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256 FROM c3
+)
+SELECT vec_id, cluster::INTEGER AS cluster, d::BIGINT AS distance,
+  (sum(d::BIGINT) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(d::BIGINT) OVER ())::BIGINT AS inertia,
+  centroid_sha256
+FROM near4 JOIN named USING (cluster)
+"""
+
+_TERMS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+_SEARCH_SQL = f"""
+WITH texts AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+sizes AS (SELECT doc_id, len(w) AS n FROM texts WHERE len(w) > 0),
+told AS (SELECT count(*)::HUGEINT AS docs, sum(n)::HUGEINT AS terms FROM sizes),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM texts) GROUP BY doc_id, term),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM counts, told GROUP BY term, docs
+), placed AS (SELECT doc_id, 100 - 50 + ((50 * n * docs) // terms)::BIGINT AS m FROM sizes, told),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN placed USING (doc_id) GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 50
+"""
+
+_EXACT_SQL = """
+WITH told AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+  FROM documents
+)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, text_sha256
+FROM told WINDOW same AS (PARTITION BY text_sha256)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": _DECONTAMINATE_SQL,
     "op2_host_reputation": _HOST_SQL,
@@ -180,4 +246,7 @@ ORACLES: dict[str, str] = {
     "op7_suffix_repeats": _REPEATS_SQL,
     "op8_jaccard_join": _JACCARD_SQL,
     "op9_line_dedup": _LINE_DEDUP_SQL,
+    "op11_pivot_clusters": _CLUSTERS_SQL,
+    "op12_ranked_search": _SEARCH_SQL,
+    "op13_chunk_recipes": _EXACT_SQL,
 }
