@@ -1,6 +1,9 @@
 """Plain single-process versions of the operators, for comparison."""
 
+import hashlib
+import math
 import re
+from collections import Counter
 from itertools import combinations
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -84,3 +87,50 @@ def items_found(docs, items, k=5, percent=80):
             if need and 100 * shared >= percent * len(need):
                 out.add((doc_id, i, len(need), shared))
     return out
+
+
+def clusters(rows, k=16, rounds=3, dims=64, steps=64, seed=1):
+    """(vec_id, cluster, distance) of every vector that counts, and the centroids."""
+    kept = [
+        (i, [math.floor(steps * x) for x in v]) for i, v in rows
+        if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    order = sorted(kept, key=lambda r: (hashlib.sha256(f"{seed}:{r[0]}".encode()).hexdigest(), r[1]))
+    centroids = [v for _, v in order[:k]]
+
+    def nearest(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c)), n) for n, c in enumerate(centroids))
+
+    for _ in range(rounds):
+        members = {}
+        for _, v in kept:
+            members.setdefault(nearest(v)[1], []).append(v)
+        for n, vectors in members.items():
+            centroids[n] = [sum(x) // len(vectors) for x in zip(*vectors)]
+    return [(i, nearest(v)[1], nearest(v)[0]) for i, v in kept], centroids
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs, items, limit=50):
+    """(item_id, rank, doc_id, score) of each item's best rows."""
+    bags = [(i, Counter(TERM.findall((t or "").translate(LOWER)))) for i, t in docs]
+    size = [sum(b.values()) for _, b in bags]
+    n_docs, length = sum(s > 0 for s in size), sum(size)
+    asked, out = {}, []
+    for i, t in items:
+        asked.setdefault(i, set()).update(TERM.findall((t or "").translate(LOWER)))
+    for item, terms in asked.items():
+        df = {t: sum(t in b for _, b in bags) for t in terms}
+        scores = []
+        for (doc, bag), n in zip(bags, size):
+            if n:
+                m = 50 + (50 * n * n_docs) // length
+                scores.append((sum(
+                    math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * bag[t]) // (1000 * bag[t] + 20 * m))
+                    for t in terms if t in bag
+                ), doc))
+        best = sorted((s for s in scores if s[0] > 0), key=lambda s: (-s[0], s[1] is None, s[1] or 0))[:limit]
+        out += [(item, k + 1, doc, score) for k, (score, doc) in enumerate(best)]
+    return out

@@ -45,7 +45,7 @@ MEAN_LENGTH, LENGTH_SHARE, SCALE = 100, 50, 1_000_000_000
 TF_FACTOR, M_FACTOR = 1000, 20
 
 PART_POSTINGS = 1 << 18
-UNIT_PARTS = 8
+GROUPS_PER_CORE = 16
 TABLE_CELLS = 2 << 20
 SLICE_BYTES = 2 << 20
 TASK_BYTES = 8 << 20  # a smaller index is spread over the cores
@@ -151,7 +151,8 @@ def index(every: DataFrame, documents: int, length: int, part_postings: int = PA
     # a stratum is a length: a narrow table, but with no bound that would allow a broadcast
     strata = staged(strata)
     cores = every.sparkSession.sparkContext.defaultParallelism
-    units = max(cores, math.ceil((strata.agg(F.sum("postings")).first()[0] or 0) / (part_postings * UNIT_PARTS)))
+    # about one part a group, and enough groups that small inputs use all cores alike
+    units = max(GROUPS_PER_CORE * cores, math.ceil((strata.agg(F.sum("postings")).first()[0] or 0) / part_postings))
     placed = _with_parts(whole, strata).withColumn("unit", F.pmod(F.xxhash64("m", "part"), F.lit(units)))
 
     def build(table: pa.Table) -> pa.Table:
@@ -209,7 +210,7 @@ class Items:
         sums = np.append(0, np.cumsum((most * self.weight)[self.terms]))
         return sums[self.first[1:]] - sums[self.first[:-1]]
 
-    def scores(self, part: dict, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def scores(self, part: dict, asked: np.ndarray, cells: int = TABLE_CELLS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Items of ``asked``, a few at a time, with the scores of all documents of the part.
 
         What an occurrence adds is worked out once for each run.  Items together are rows of a
@@ -221,7 +222,7 @@ class Items:
         begins = np.append(0, ends[:-1])
         present, row_of_run = np.unique(runs, return_inverse=True)
         n = part["n_docs"]
-        if (len(present) + 1) * n > TABLE_CELLS:
+        if (len(present) + 1) * n > cells:
             for item in asked.tolist():
                 out = np.zeros(n, np.int64)
                 for term in self.terms[self.first[item] : self.first[item + 1]].tolist():
@@ -235,7 +236,7 @@ class Items:
         row_of_term = np.full(len(self.weight), len(present))
         row_of_term[present] = np.arange(len(present))
         count = self.first[asked + 1] - self.first[asked]
-        for at, end in slices(count * n, TABLE_CELLS):
+        for at, end in slices(count * n, cells):
             upto = np.cumsum(count[at:end])
             begin = upto - count[at:end]
             place = np.arange(upto[-1]) + np.repeat(self.first[asked[at:end]] - begin, count[at:end])
