@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicon
-from ..schemas import JOB, TOMBSTONE
+from ..schemas import TOMBSTONE
 
 
 def fold_actions(actions: DataFrame) -> DataFrame:
@@ -32,10 +32,23 @@ def fold_actions(actions: DataFrame) -> DataFrame:
 def apply_actions(jobs: DataFrame, actions: DataFrame) -> DataFrame:
     """The job table after status, favorite, archive and notes actions; deleted jobs are gone.
 
-    The first APPLIED sets applied_at, nothing clears it.
+    The first APPLIED sets applied_at, nothing clears it.  ``jobs`` may be any columns of
+    the table that include those that actions change.
     """
+    done = fold_actions(actions)
+    return _acted(jobs.join(done.withColumnRenamed("notes", "new_notes"), "fingerprint", "left"), jobs.columns).where(
+        "deleted_at IS NULL"
+    ).drop("deleted_at")
+
+
+def acted_rows(state: DataFrame, actions: DataFrame) -> DataFrame:
+    """Only the rows that the actions are about, as they are after them; ``deleted`` marks those that go."""
     done = fold_actions(actions).withColumnRenamed("notes", "new_notes")
-    joined = jobs.join(done, "fingerprint", "left").where("deleted_at IS NULL")
+    rows = _acted(state.join(done, "fingerprint"), state.columns)
+    return rows.withColumn("deleted", F.col("deleted_at").isNotNull()).drop("deleted_at")
+
+
+def _acted(joined: DataFrame, columns: list[str]) -> DataFrame:
     new = {
         "application_status": F.coalesce("status", "application_status"),
         "applied_at": F.coalesce("applied_at", "applied_first"),
@@ -43,7 +56,7 @@ def apply_actions(jobs: DataFrame, actions: DataFrame) -> DataFrame:
         "lifecycle": F.when(F.col("archived"), "ARCHIVED").otherwise(F.col("lifecycle")),
         "notes": F.when(F.col("new_notes").isNotNull(), F.col("new_notes.text")).otherwise(F.col("notes")),
     }
-    return joined.select(*[new.get(f.name, F.col(f.name)).alias(f.name) for f in JOB.fields])
+    return joined.select(*[new.get(c, F.col(c)).alias(c) for c in columns], "deleted_at")
 
 
 def add_tombstones(tombstones: DataFrame, jobs: DataFrame, actions: DataFrame) -> DataFrame:

@@ -5,10 +5,15 @@ stored row, then company by company (by slug) its accepted sightings, and after
 a company's sightings the closing of those of its jobs that it no longer lists.
 The order replaces the arrival order of concurrent companies, so a key listed
 twice ends up the same way in every run, and no two writers can collide.
+
+Events are narrow: the long columns take part as content hashes and references
+(``jobtable``), so neither HTML nor text nor payload is ever shuffled, and only keys that
+a run touches are folded.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -21,8 +26,9 @@ from ..functions.times import clock
 from ..schemas import JOB
 from ..session import small_side, staged
 from .filters import accepted
+from .jobtable import STATE, WIDE, JobTable, keys_and_refs, scoring_columns, sifted, with_features
 from .ordered import HOT_ROWS, hot_keys, running
-from .scoring import breakdown, score
+from .scoring import apply_rules, breakdown, score
 
 # fixed values: which columns a later sighting may change (a null never does) ...
 VOLATILE = [
@@ -34,6 +40,11 @@ ON_INSERT = ["company_slug", "source", "external_id", "region", "posted_at", "ra
 USER_OWNED = ["application_status", "applied_at", "favorite", "notes"]
 _STORED = USER_OWNED + ["lifecycle", "closed_at", "first_seen_at", "last_seen_at"]
 _SCORED = ["heuristic_score", "heuristic_confidence", "score_breakdown"]
+# The same without long columns: hashes are compared, references go along with them.
+_KEYS = [f"{WIDE[c]}_key" if c in WIDE else c for c in VOLATILE]
+_REFS = [f"{WIDE[c]}_ref" for c in VOLATILE if c in WIDE]
+_FIXED = [c for c in ON_INSERT if c not in WIDE] + [f"{WIDE[c]}_{x}" for c in ON_INSERT if c in WIDE for x in ("key", "ref")]
+_KNOWN = ["title", *[c for c in _KEYS if c.endswith("_key")], *_REFS, "features"]
 
 _ORDER = ["slug", "phase", "seq"]
 # Blocks of a hot key along that order: companies by range, a company, its rows by thousands.
@@ -43,10 +54,26 @@ _SLUG_RANGE_CHARS, _SEQ_BLOCK_ROWS = 3, 10_000
 
 @dataclass(frozen=True)
 class Merged:
-    """``jobs`` is the next job table, ``events`` what each sighting and closing did."""
+    """``table`` is the next job table, ``events`` what each sighting and closing did.
+
+    ``delta`` are the state rows that the run has touched, ``texts`` the texts they point to
+    that were not in the table before: what has to be written.
+    """
 
-    jobs: DataFrame
+    table: JobTable
     events: DataFrame
+    delta: DataFrame
+    texts: DataFrame
+
+    @property
+    def jobs(self) -> DataFrame:
+        """The whole job table, its texts joined."""
+        return self.table.jobs()
+
+    @property
+    def slim(self) -> DataFrame:
+        """The job table without its long columns."""
+        return self.table.slim()
 
 
 def with_fingerprint(observations: DataFrame) -> DataFrame:
@@ -104,41 +131,41 @@ def known_split(cards: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def _origin(**given: Column) -> Column:
-    """What the first event of a key fixes; types as in the job table."""
-    types = {f.name: f.dataType for f in JOB.fields}
-    names = ON_INSERT + _STORED
-    return F.struct(*[given.get(n, F.lit(None)).cast(types[n]).alias(n) for n in names])
+    """What the first event of a key fixes; types as in the state."""
+    names = _FIXED + _STORED
+    return F.struct(*[given.get(n, F.lit(None)).cast(STATE[n].dataType).alias(n) for n in names])
 
 
-def _events(jobs: DataFrame, sightings: DataFrame, closings: DataFrame) -> DataFrame:
-    base = jobs.select(
-        "fingerprint", F.lit("base").alias("kind"), F.lit("").alias("slug"), F.lit(0).alias("phase"),
-        F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("string").alias("company_name"),
-        *VOLATILE, _origin(**{c: F.col(c) for c in ON_INSERT + _STORED}).alias("origin"), *_SCORED,
-    )
-    new = _origin(**{c: F.col(c) for c in ON_INSERT})
+def _events(state: DataFrame, sightings: DataFrame, closings: DataFrame) -> DataFrame:
+    new = _origin(**{c: F.col(c) for c in _FIXED})
     sighted = sightings.select(
         "fingerprint", F.lit("sighting").alias("kind"), F.col("company_slug").alias("slug"),
-        F.lit(0).alias("phase"), "seq", "company_name", *VOLATILE, new.alias("origin"),
+        F.lit(0).alias("phase"), "seq", "company_name", *_KEYS, *_REFS, new.alias("origin"),
     )
     closed = closings.select(
         "fingerprint", F.lit("close").alias("kind"), F.col("company_slug").alias("slug"),
         F.lit(1).alias("phase"), F.lit(0).cast("long").alias("seq"),
     )
+    # stored rows that nothing happens to stay as they are
+    touched = sighted.select("fingerprint").unionByName(closed.select("fingerprint")).distinct()
+    base = state.join(touched, "fingerprint", "left_semi").select(
+        "fingerprint", F.lit("base").alias("kind"), F.lit("").alias("slug"), F.lit(0).alias("phase"),
+        F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("string").alias("company_name"),
+        *_KEYS, *_REFS, _origin(**{c: F.col(c) for c in _FIXED + _STORED}).alias("origin"), *_SCORED,
+        F.struct(*_KNOWN).alias("known"),
+    )
     return base.unionByName(sighted, allowMissingColumns=True).unionByName(closed, allowMissingColumns=True)
 
 
-def _fold(events: DataFrame, as_of, blocks) -> DataFrame:
-    """Per event: the row before and after it, its score, and what it did."""
+def _after(events: DataFrame, blocks) -> DataFrame:
+    """Per event: the row after it, what it was before, and the features kept for it, if any."""
     key = "fingerprint"
     marked = events.withColumn("happened", F.when(F.col("kind") != "base", F.col("kind")))
-    run = running(marked, key, _ORDER, [*VOLATILE, "happened"], ["origin", "kind"], blocks)
+    run = running(marked, key, _ORDER, [*_KEYS, *_REFS, "happened"], ["origin", "kind", "known"], blocks)
 
     is_sighting = F.col("kind") == "sighting"
     is_new = is_sighting & (F.col("first_kind") == "sighting") & F.col("prior_happened").isNull()
-    field_changed = reduce(
-        or_, [F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"prior_{c}")) for c in VOLATILE]
-    )
+    field_changed = reduce(or_, [F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"prior_{c}")) for c in _KEYS])
     stored = F.col("first_origin.lifecycle")
     before = (
         F.when(stored == "ARCHIVED", stored)
@@ -146,22 +173,30 @@ def _fold(events: DataFrame, as_of, blocks) -> DataFrame:
         .when(F.col("prior_happened") == "close", "CLOSED")
         .otherwise(stored)
     )
-    run = run.withColumns({"is_new": is_new, "field_changed": field_changed, "lifecycle_before": before})
-    # stored rows and closings are not scored: with nothing to read, rules cost next to nothing
-    after = {c: F.coalesce(c, f"prior_{c}") for c in VOLATILE}
+    after = {c: F.coalesce(c, f"prior_{c}") for c in [*_KEYS, *_REFS]}
     run = run.select(
-        key, *_ORDER, *[c for c in blocks if c not in _ORDER],
-        "kind", "company_name", "is_new", "field_changed", "lifecycle_before", "first_origin",
-        *[F.col(c).alias(f"stored_{c}") for c in _SCORED],
-        F.struct(*[v.alias(c) for c, v in after.items()]).alias("after"),
+        key, *_ORDER, *[c for c in blocks if c not in _ORDER], "kind", "company_name",
+        is_new.alias("is_new"), field_changed.alias("field_changed"), before.alias("lifecycle_before"),
+        "first_origin", "first_known", *[F.col(c).alias(f"stored_{c}") for c in _SCORED],
+        F.struct(*[v.alias(c) for c, v in after.items()]).alias("after"), is_sighting.alias("wanted"),
     )
-    for c in ("title", "description_text", "remote", "country"):
-        run = run.withColumn(c, F.when(is_sighting, F.col(f"after.{c}")))
+    of_after = ("title", "text_key", "text_ref", "remote", "country")
+    run = run.withColumns({c: F.when(is_sighting, F.col(f"after.{c}")) for c in of_after})
     run = run.withColumns({"region": F.col("first_origin.region"), "posted_at": F.col("first_origin.posted_at")})
-    scored = score(run, as_of).withColumn("breakdown", F.when(is_sighting, breakdown()))
+    same = (F.col("title") == F.col("first_known.title")) & F.col("text_key").eqNullSafe(F.col("first_known.text_key"))
+    return run.withColumn("features", F.when(is_sighting & same, F.col("first_known.features")))
+
+
+def _fold(run: DataFrame, as_of, blocks) -> DataFrame:
+    """Per event of ``_after`` with its features: its score, and what it did."""
+    key, is_sighting = "fingerprint", F.col("kind") == "sighting"
+    # stored rows and closings are not scored: with nothing to read, rules cost next to nothing
+    scored = apply_rules(scoring_columns(run, is_sighting), as_of)
+    scored = scored.withColumn("breakdown", F.when(is_sighting, breakdown()))
     scored = scored.withColumn(
         "known_score", F.when(is_sighting, F.col("score").cast("double")).otherwise(F.col("stored_heuristic_score"))
     )
+    scored = scored.select(*run.columns, "breakdown", "confidence", "known_score")
 
     run = running(scored, key, _ORDER, ["known_score"], (), blocks)
     moved = is_sighting & ~F.col("known_score").eqNullSafe(F.col("prior_known_score"))
@@ -182,7 +217,8 @@ def _fold(events: DataFrame, as_of, blocks) -> DataFrame:
         {"outcome": outcome, "lifecycle_after": lifecycle_after}
     )
     return run.select(
-        key, *_ORDER, "kind", "outcome", "lifecycle_after", "score_moved", "after", "first_origin",
+        key, *_ORDER, "kind", "outcome", "lifecycle_after", "score_moved", "after", "first_origin", "first_known",
+        "features",
         # a score is stored when it moves; the stored row brings its own
         F.when(is_sighting, F.col("known_score")).otherwise(F.col("stored_heuristic_score")).alias("heuristic_score"),
         F.when(is_sighting, F.col("confidence").cast("double"))
@@ -191,14 +227,17 @@ def _fold(events: DataFrame, as_of, blocks) -> DataFrame:
     )
 
 
-def _next_jobs(events: DataFrame, as_of) -> DataFrame:
+def _next_rows(events: DataFrame, as_of) -> DataFrame:
+    """The state rows of all keys that something happened to."""
     at = F.struct(*_ORDER)
     kept_score = F.when((F.col("kind") == "base") | F.col("score_moved"), at)
     rows = events.groupBy("fingerprint").agg(
         F.max_by("after", at).alias("after"),
         F.max_by("first_origin", at).alias("origin"),
+        F.max_by("first_known", at).alias("known"),
         F.max_by("lifecycle_after", at).alias("lifecycle"),
         F.max_by(F.struct(*_SCORED), kept_score).alias("scored"),
+        F.max_by("features", F.when(F.col("kind") == "sighting", at)).alias("features"),
         F.bool_or(F.col("outcome") == "closed").alias("closed_now"),
         F.bool_or(F.col("kind") == "sighting").alias("sighted"),
         F.bool_or(F.col("outcome") == "new").alias("is_new"),
@@ -210,8 +249,13 @@ def _next_jobs(events: DataFrame, as_of) -> DataFrame:
         .when((F.col("lifecycle") == "ACTIVE") & reopened, None)
         .otherwise(o("closed_at"))
     )
-    out = {c: F.col(f"after.{c}") for c in VOLATILE}
-    out |= {c: o(c) for c in ON_INSERT + USER_OWNED}
+    out = {c: F.col(f"after.{c}") for c in _KEYS}
+    # what is as it was stays where it was
+    for ref in _REFS:
+        k = ref.replace("_ref", "_key")
+        same = F.col(f"after.{k}") == F.col(f"known.{k}")
+        out[ref] = F.when(same, F.col(f"known.{ref}")).otherwise(F.col(f"after.{ref}"))
+    out |= {c: o(c) for c in _FIXED + USER_OWNED}
     out |= {c: F.col(f"scored.{c}") for c in _SCORED}
     out |= {
         "fingerprint": F.col("fingerprint"),
@@ -221,39 +265,55 @@ def _next_jobs(events: DataFrame, as_of) -> DataFrame:
         "closed_at": closed_at,
         "first_seen_at": F.when(F.col("is_new"), now).otherwise(o("first_seen_at")),
         "last_seen_at": F.when(F.col("sighted"), now).otherwise(o("last_seen_at")),
+        "features": F.when(F.col("sighted"), F.col("features")).otherwise(F.col("known.features")),
     }
-    return rows.select(*[out[f.name].alias(f.name) for f in JOB.fields])
+    return rows.select(*[out[f.name].alias(f.name) for f in STATE.fields])
 
 
 def merge(
-    jobs: DataFrame, observations: DataFrame, companies: DataFrame, tombstones: DataFrame, as_of,
+    jobs: DataFrame | JobTable, observations: DataFrame, companies: DataFrame, tombstones: DataFrame, as_of,
     hot_rows: int = HOT_ROWS,
 ) -> Merged:
-    """Fold a run into the job table.
+    """Fold a run into the job table (or into whole jobs, which are taken apart first).
 
     ``companies`` are those whose run succeeded; others' sightings are ignored and
-    their jobs stay as they are.  Events are written out once before and once after
-    the fold: the check for hot keys and the two results read a few columns each.
+    their jobs stay as they are.  Accepted sightings are written out once, with their texts,
+    where they lie; of all that follows only hashes, references and features are shuffled.
     """
+    table = jobs if isinstance(jobs, JobTable) else JobTable.of(jobs)
+    batch = uuid.uuid4().hex
     seen = with_fingerprint(of_companies(observations, companies))
-    sightings = accepted(seen)
-    events = staged(_events(jobs, drop_tombstoned(sightings, tombstones), unseen(jobs, seen, companies)))
+    ref = F.concat(F.lit(f"{batch}/"), F.monotonically_increasing_id().cast("string"))
+    rows = accepted(seen).withColumn("ref", ref)
+    sightings = staged(rows.select("*", *keys_and_refs(F.col("ref"))))
 
+    closings = unseen(table.state, seen, companies)
+    events = staged(_events(table.state, drop_tombstoned(sightings.drop(*WIDE), tombstones), closings))
+    parts = [(events, ())]
     hot = hot_keys(events, "fingerprint", hot_rows)
-    if hot.isEmpty():
-        folded = _fold(events, as_of, ())
-    else:
+    if not hot.isEmpty():
         blocked = events.withColumn("slug_range", F.substring("slug", 1, _SLUG_RANGE_CHARS)).withColumn(
             "seq_block", F.floor(F.col("seq") / _SEQ_BLOCK_ROWS)
         )
-        cold = _fold(events.join(hot, "fingerprint", "left_anti"), as_of, ())
-        folded = cold.unionByName(_fold(blocked.join(hot, "fingerprint", "left_semi"), as_of, _BLOCKS))
+        parts = [
+            (events.join(hot, "fingerprint", "left_anti"), ()), (blocked.join(hot, "fingerprint", "left_semi"), _BLOCKS)
+        ]
+    contents = table.texts.unionByName(sightings.select("ref", *WIDE))
+    folded = None
+    for part, blocks in parts:
+        after = staged(_after(part, blocks))
+        more = _fold(with_features(after, contents, sightings), as_of, blocks)
+        folded = more if folded is None else folded.unionByName(more)
     folded = staged(folded)
     outcomes = folded.where("kind <> 'base'").select(
         "fingerprint", F.col("slug").alias("company_slug"), "seq", "kind", "outcome",
         F.col("heuristic_score").alias("score"),
     )
-    return Merged(_next_jobs(folded, as_of), outcomes)
+    delta = staged(_next_rows(folded, as_of))
+    pointed = F.explode(F.array(*[f"{p}_ref" for p in WIDE.values()]))
+    fresh = delta.select(pointed.alias("ref")).where(F.startswith("ref", F.lit(batch))).distinct()
+    texts = staged(sifted(sightings.select("ref", *WIDE), fresh, ["ref"]))
+    return Merged(table.changed(delta, texts), outcomes, delta, texts)
 
 
 def run_counters(merged: Merged, observations: DataFrame, companies: DataFrame) -> DataFrame:
@@ -298,7 +358,10 @@ def rescore(jobs: DataFrame, companies: DataFrame, as_of) -> DataFrame:
     """
     names = companies.select(F.col("slug").alias("company_slug"), F.col("name").alias("company_name"))
     scored = score(jobs.join(small_side(names), "company_slug", "left"), as_of)
-    fresh = scored.withColumn("new_breakdown", breakdown())
+    return _with_changes(scored.withColumn("new_breakdown", breakdown()), JOB.names)
+
+
+def _with_changes(fresh: DataFrame, columns) -> DataFrame:
     changed = ~(
         F.col("heuristic_score").eqNullSafe(F.col("score").cast("double"))
         & F.col("heuristic_confidence").eqNullSafe(F.col("confidence").cast("double"))
@@ -309,13 +372,20 @@ def rescore(jobs: DataFrame, companies: DataFrame, as_of) -> DataFrame:
         "heuristic_confidence": F.col("confidence").cast("double"),
         "score_breakdown": F.col("new_breakdown"),
     }
-    return fresh.withColumn("changed", changed).select(
-        *[new.get(f.name, F.col(f.name)).alias(f.name) for f in JOB.fields], "changed"
-    )
+    return fresh.withColumn("changed", changed).select(*[new.get(c, F.col(c)).alias(c) for c in columns], "changed")
+
+
+def rescored(table: JobTable, companies: DataFrame, as_of) -> DataFrame:
+    """The state rows of all jobs, scored anew from their kept features; ``changed`` as in ``rescore``."""
+    names = companies.select(F.col("slug").alias("company_slug"), F.col("name").alias("company_name"))
+    rows = table.state.withColumn("wanted", F.lit(True))
+    rows = with_features(rows, table.texts).join(small_side(names), "company_slug", "left")
+    scored = apply_rules(scoring_columns(rows, F.lit(True)), as_of).withColumn("new_breakdown", breakdown())
+    return _with_changes(scored, STATE.names)
 
 
-def rescore_summary(rescored: DataFrame) -> DataFrame:
-    return rescored.agg(
+def rescore_summary(again: DataFrame) -> DataFrame:
+    return again.agg(
         F.count("*").alias("scanned"),
         F.count_if("changed").alias("updated"),
         F.count_if(~F.col("changed")).alias("unchanged"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .. import lexicon as L
+from ..operators.scoring import DEFAULT_REGION
 from ..plans import payloads as P
 from ..plans import runs
 from ..plans.postings import AS_OF
@@ -116,6 +117,21 @@ for _ref, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''
 
 _EPOCH = "CAST(epoch(date_trunc('second', ts)) AS BIGINT)"
 
+
+def why() -> str:
+    """Everything a breakdown says, from ``scored s`` and its rules."""
+    said = "name || '|' || category || '|' || base_points::VARCHAR || '|' || round_even(final_points, 2)::VARCHAR || '|' || reason"
+    regions = ", ".join(S.q(r) for r in L.STRATEGIES)
+
+    def all_of(what: str, which: str) -> str:
+        return f"coalesce((SELECT string_agg({what}, ' ; ' ORDER BY n) FROM rules r WHERE r.k = s.k AND {which}), '')"
+
+    return f"""round_even(raw_score, 2) AS raw_score, quality_label,
+ CASE WHEN region IN ({regions}) THEN region ELSE {S.q(DEFAULT_REGION)} END AS strategy,
+ {all_of(said, 'final_points <> 0')} AS rules, {all_of('reason', 'final_points > 0')} AS positives,
+ {all_of('reason', 'final_points < 0')} AS negatives"""
+
+
 ORACLES: dict[str, str] = {
     "f01_title_match": plain(f"SELECT doc_id, {S.title_matches('title')} AS matches FROM postings"),
     "f03_loc_international": plain(f"SELECT doc_id, {S.country_international()} AS country FROM postings"),
@@ -188,11 +204,7 @@ ORACLES: dict[str, str] = {
  FROM rules JOIN src USING (k) WHERE NOT (region = 'EGYPT' AND name = 'stack_java_title') GROUP BY name"""
     ),
     "x18_quality_label": scored("SELECT quality_label, count(*) AS n_postings FROM scored GROUP BY 1"),
-    "x20_breakdown_json": scored(
-        """SELECT doc_id, score, round_even(raw_score, 2) AS raw_score, quality_label,
- (SELECT arg_min(name, n) FROM rules r WHERE r.k = s.k) AS first_rule,
- (SELECT arg_min(reason, n) FROM rules r WHERE r.k = s.k AND final_points < 0) AS first_negative FROM scored s"""
-    ),
+    "x20_breakdown_json": scored(f"SELECT doc_id, score, confidence, {why()} FROM scored s"),
     "p05_summary": scored(
         """SELECT doc_id,
  coalesce((SELECT array_to_string(list(reason ORDER BY n)[1:4], ' | ') FROM rules r WHERE r.k = s.k AND final_points > 0), '') AS top_positives,
@@ -258,7 +270,7 @@ ORACLES: dict[str, str] = {
     "a04_run_totals": merged(2, f"SELECT count(*) AS companies, {_FAILED}, {_SUM} FROM ({M.counters(2)})"),
     "a05_source_tallies": merged(3, f"SELECT source, {_SUM}, {_FAILED} FROM ({M.counters(3)}) GROUP BY source"),
     "m13_rescore_all": merged(
-        3, "SELECT fp AS fingerprint, score, confidence FROM scored",
+        3, f"SELECT fp AS fingerprint, score, confidence, {why()} FROM scored s",
         "src AS (SELECT j.* EXCLUDE (score, confidence), fp AS k, c.name AS company_name FROM jobs3 j JOIN companies c ON c.slug = j.company_slug)",
         *S.score_ctes("src", as_of="2024-03-03 12:00:00"),
     ),
@@ -314,13 +326,15 @@ ORACLES: dict[str, str] = {
  strftime(posted_at, '%Y-%m-%d') AS posted_date FROM served s JOIN companies c ON c.slug = s.company_slug"""
     ),
     "k05_list_export": served(
-        f"""SELECT fp AS fingerprint, c.name AS company, country, {labelled('score')} AS quality_label, application_status, score
- FROM served s JOIN companies c ON c.slug = s.company_slug"""
+        f"""SELECT fp AS fingerprint, title, c.name AS company, location, country, remote, s.source, apply_url, {ts('posted_at')},
+ score, confidence, {labelled('score')} AS quality_label, lifecycle, application_status, favorite
+FROM served s JOIN companies c ON c.slug = s.company_slug"""
     ),
     "k06_detail_export": served(
-        f"""SELECT fp AS fingerprint, c.name AS company, department, notes, description_text, {ts('first_seen_at')},
- {labelled('score')} AS quality_label, score AS breakdown_score
- FROM served s JOIN companies c ON c.slug = s.company_slug"""
+        f"""SELECT fp AS fingerprint, title, c.name AS company, location, country, remote, CAST(NULL AS VARCHAR) AS employment_type,
+ department, s.source, apply_url, {ts('posted_at')}, {ts('first_seen_at')}, score, confidence, {labelled('score')} AS quality_label,
+ score AS score_breakdown, lifecycle, application_status, favorite, notes, description_text
+FROM served s JOIN companies c ON c.slug = s.company_slug"""
     ),
     "k07_company_export": served(
         """SELECT slug, name, source, slug AS external_id, 'https://jobs.example.com/' || slug AS careers_url, true AS active

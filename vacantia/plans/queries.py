@@ -18,7 +18,9 @@ from ..functions import keys, text, times
 from ..functions.patterns import fold
 from ..operators import actions as acts
 from ..operators import constraints, features, filters, merge, ordered, scoring, serving
+from ..operators.jobtable import JobTable
 from ..session import checkpoint_dir, pin_utc, spread, staged
+from ..schemas import BREAKDOWN
 from ..sinks.store import Store
 from ..sources import boards, cards, embedded, landing, registry
 from . import payloads, runs
@@ -273,17 +275,25 @@ def _(spark, sf):
     return scored(spark, sf).groupBy("quality_label").agg(F.count("*").alias("n_postings"))
 
 
+def _why(breakdown: str) -> list[Column]:
+    """Everything a breakdown says, its rules in their order, as text."""
+    said = ("name", "category", "base_points", "final_points", "reason")
+    rules = F.transform(
+        F.col(f"{breakdown}.triggered_rules"), lambda r: F.concat_ws("|", *[r[f].cast("string") for f in said])
+    )
+    return [
+        F.col(f"{breakdown}.raw_score").alias("raw_score"), F.col(f"{breakdown}.quality_label").alias("quality_label"),
+        F.col(f"{breakdown}.strategy").alias("strategy"), F.array_join(rules, " ; ").alias("rules"),
+        *[F.array_join(f"{breakdown}.{c}", " ; ").alias(c) for c in ("positives", "negatives")],
+    ]
+
+
 @query("x20_breakdown_json")
 def _(spark, sf):
-    js = F.to_json(scoring.breakdown())
-    return scored(spark, sf).select(
-        "doc_id",
-        F.get_json_object(js, "$.score").cast("int").alias("score"),
-        F.get_json_object(js, "$.raw_score").cast("double").alias("raw_score"),
-        F.get_json_object(js, "$.quality_label").alias("quality_label"),
-        F.get_json_object(js, "$.triggered_rules[0].name").alias("first_rule"),
-        F.get_json_object(js, "$.negatives[0]").alias("first_negative"),
-    )
+    """The whole breakdown, written as JSON and read back."""
+    rows = scored(spark, sf).select("doc_id", F.to_json(scoring.breakdown()).alias("json"))
+    rows = rows.select("doc_id", F.from_json("json", BREAKDOWN).alias("b"))
+    return rows.select("doc_id", F.col("b.score").alias("score"), F.col("b.confidence").alias("confidence"), *_why("b"))
 
 
 @query("p05_summary")
@@ -314,12 +324,12 @@ _MERGED: dict = {}
 def merged(spark: SparkSession, sf: str, upto: int):
     """Runs 1 to upto merged one after another; the last merge, its sightings and companies.
 
-    Each run is merged once per session and folder, as a job table is: its result
-    is written out and later runs and queries read it.
+    Each run is merged once per session and folder: the rows it changed and its texts are
+    written out, and later runs and queries read the tables that result.
     """
     key = (spark.sparkContext.applicationId, sf, upto)
     if key not in _MERGED:
-        before = merged(spark, sf, upto - 1)[0].jobs if upto > 1 else None
+        before = merged(spark, sf, upto - 1)[0].table if upto > 1 else None
         _MERGED[key] = runs.step(spark, sf, before, upto)
     return _MERGED[key]
 
@@ -352,7 +362,7 @@ def _(spark, sf):
 
 @query("m04_rescore_on_update")
 def _(spark, sf):
-    jobs = merged(spark, sf, 2)[0].jobs
+    jobs = merged(spark, sf, 2)[0].slim
     return jobs.select(
         "fingerprint", F.col("heuristic_score").cast("int").alias("score"),
         F.col("heuristic_confidence").cast("int").alias("confidence"),
@@ -363,14 +373,14 @@ def _(spark, sf):
 @query("m05_reactivate")
 def _(spark, sf):
     """Jobs closed in run 2 and open again after run 3."""
-    was = merged(spark, sf, 2)[0].jobs.where("lifecycle = 'CLOSED'").select("fingerprint")
-    now = merged(spark, sf, 3)[0].jobs.where("lifecycle = 'ACTIVE'")
+    was = merged(spark, sf, 2)[0].slim.where("lifecycle = 'CLOSED'").select("fingerprint")
+    now = merged(spark, sf, 3)[0].slim.where("lifecycle = 'ACTIVE'")
     return now.join(was, "fingerprint", "left_semi").select("fingerprint", "title", ts_text("closed_at").alias("closed_at"))
 
 
 @query("m06_close_unseen")
 def _(spark, sf):
-    jobs = merged(spark, sf, 2)[0].jobs
+    jobs = merged(spark, sf, 2)[0].slim
     return jobs.where("lifecycle = 'CLOSED'").select(
         "fingerprint", "company_slug", ts_text("closed_at").alias("closed_at")
     )
@@ -378,14 +388,14 @@ def _(spark, sf):
 
 @query("m07_last_seen")
 def _(spark, sf):
-    jobs = merged(spark, sf, 3)[0].jobs
+    jobs = merged(spark, sf, 3)[0].slim
     return jobs.groupBy(ts_text("last_seen_at").alias("last_seen_at")).agg(F.count("*").alias("n_jobs"))
 
 
 @query("m08_failed_company")
 def _(spark, sf):
     """Jobs of the company whose second run failed: as they were."""
-    jobs = merged(spark, sf, 2)[0].jobs.where("company_slug = 'asana'")
+    jobs = merged(spark, sf, 2)[0].slim.where("company_slug = 'asana'")
     return jobs.select("fingerprint", "lifecycle", ts_text("last_seen_at").alias("last_seen_at"))
 
 
@@ -417,14 +427,14 @@ def _(spark, sf):
 
 @query("j04_unseen")
 def _(spark, sf):
-    jobs = merged(spark, sf, 2)[0].jobs
+    jobs = merged(spark, sf, 2)[0].slim
     ok = runs.ran(spark, 3).where("status = 'ok'")
     return merge.unseen(jobs, _seen(spark, sf, 3), ok).select("fingerprint", "company_slug")
 
 
 @query("j05_known_split")
 def _(spark, sf):
-    jobs = merged(spark, sf, 1)[0].jobs
+    jobs = merged(spark, sf, 1)[0].slim
     needed, stubs = merge.known_split(_seen(spark, sf, 2), jobs)
     both = needed.withColumn("known", F.lit(False)).unionByName(stubs.withColumn("known", F.lit(True)))
     return both.groupBy("company_slug", "known").agg(F.count("*").alias("n_cards"))
@@ -472,20 +482,19 @@ def _(spark, sf):
 
 @query("m13_rescore_all")
 def _(spark, sf):
-    """Every job scored anew a month later."""
-    jobs = merged(spark, sf, 3)[0].jobs
-    again = merge.rescore(jobs, runs.companies(spark), "2024-03-03 12:00:00")
+    """Every job scored anew a month later, with all that is stored of why."""
+    again = merge.rescored(merged(spark, sf, 3)[0].table, runs.companies(spark), "2024-03-03 12:00:00")
     return again.select(
         "fingerprint", F.col("heuristic_score").cast("int").alias("score"),
-        F.col("heuristic_confidence").cast("int").alias("confidence"),
+        F.col("heuristic_confidence").cast("int").alias("confidence"), *_why("score_breakdown"),
     )
 
 
 @query("a09_rescore_summary")
 def _(spark, sf):
     """Rescoring right after an insert changes only what a second company's sighting had scored."""
-    jobs = merged(spark, sf, 1)[0].jobs
-    return merge.rescore_summary(merge.rescore(jobs, runs.companies(spark), runs.clock_of(1)))
+    table = merged(spark, sf, 1)[0].table
+    return merge.rescore_summary(merge.rescored(table, runs.companies(spark), runs.clock_of(1)))
 
 
 @query("m14_source_run")
@@ -494,8 +503,7 @@ def _(spark, sf):
     went = runs.ran(spark, 1).where("source = 'lever'")
     source = spread(posts(spark, sf))
     seen = runs.observations(spark, source, 1)
-    empty = merged(spark, sf, 1)[0].jobs.where("false")
-    result = merge.merge(empty, seen, went, runs.tombstones(source), runs.clock_of(1))
+    result = merge.merge(JobTable.empty(spark), seen, went, runs.tombstones(source), runs.clock_of(1))
     return merge.run_counters(result, seen, went)
 
 
@@ -530,9 +538,10 @@ def user_actions(df: DataFrame) -> DataFrame:
     return rows.select("fingerprint", "a.*")
 
 
-def served(spark, sf) -> DataFrame:
-    """The job table after three runs and the user's actions."""
-    return acts.apply_actions(merged(spark, sf, 3)[0].jobs, user_actions(posts(spark, sf)))
+def served(spark, sf, texts: bool = False) -> DataFrame:
+    """The job table after three runs and the user's actions; with its long columns where they are asked for."""
+    result = merged(spark, sf, 3)[0]
+    return acts.apply_actions(result.jobs if texts else result.slim, user_actions(posts(spark, sf)))
 
 
 def _companies(spark) -> DataFrame:
@@ -556,7 +565,7 @@ def _(spark, sf):
 
 @query("m12_tombstone")
 def _(spark, sf):
-    jobs, todo = merged(spark, sf, 3)[0].jobs, user_actions(posts(spark, sf))
+    jobs, todo = merged(spark, sf, 3)[0].slim, user_actions(posts(spark, sf))
     gone = acts.add_tombstones(runs.tombstones(posts(spark, sf)), jobs, todo)
     return gone.select("fingerprint", ts_text("deleted_at").alias("deleted_at"), "title", "source")
 
@@ -585,7 +594,7 @@ def _(spark, sf):
 
 @query("f11_text_search")
 def _(spark, sf):
-    return _lines(serving.search(served(spark, sf), query="VISA Sp_nsor"))
+    return _lines(serving.search(served(spark, sf, texts=True), query="VISA Sp_nsor"))
 
 
 @query("f12_filter_lists")
@@ -649,24 +658,25 @@ def _(spark, sf):
     return serving.serving_row(served(spark, sf), _companies(spark))
 
 
+def _exported(record: DataFrame) -> DataFrame:
+    """Records as they come back from their JSON, whole, times as text."""
+    rows = serving.as_json(record).select(F.from_json("json", record.schema).alias("r")).select("r.*")
+    times_ = [f.name for f in record.schema.fields if f.dataType.typeName() == "timestamp"]
+    return rows.withColumns({c: ts_text(c) for c in times_}).withColumns(
+        {c: F.col(c).cast("int") for c in ("score", "confidence")}
+    )
+
+
 @query("k05_list_export")
 def _(spark, sf):
-    record = serving.list_record(served(spark, sf), _companies(spark))
-    js = serving.as_json(record)
-    fields = ["fingerprint", "company", "country", "quality_label", "application_status"]
-    return js.select(
-        *[F.get_json_object("json", f"$.{f}").alias(f) for f in fields],
-        F.get_json_object("json", "$.score").cast("double").cast("int").alias("score"),
-    )
+    return _exported(serving.list_record(served(spark, sf), _companies(spark)))
 
 
 @query("k06_detail_export")
 def _(spark, sf):
-    record = serving.detail_record(served(spark, sf), _companies(spark))
-    return record.select(
-        "fingerprint", "company", "department", "notes", "description_text", ts_text("first_seen_at").alias("first_seen_at"),
-        "quality_label", F.col("score_breakdown.score").alias("breakdown_score"),
-    )
+    """All fields of the detail; of the breakdown the score (m13 and x20 have it whole)."""
+    rows = _exported(serving.detail_record(served(spark, sf, texts=True), _companies(spark)))
+    return rows.withColumn("score_breakdown", F.col("score_breakdown.score"))
 
 
 @query("k07_company_export")
@@ -829,7 +839,7 @@ def _stored(spark, sf) -> Store:
             F.lit(None).cast("string").alias("error_message"), F.lit(None).cast("string").alias("error_kind"),
         )
         store.write_run_log(log, str(run), "all")
-        store.commit_jobs(result.jobs, str(run), "all", at)
+        store.commit_delta(result.delta, result.texts, str(run), "all", at)
         store.mark_success(at)
     return store
 

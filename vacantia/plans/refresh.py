@@ -46,15 +46,15 @@ def refresh(
     went = staged(run_status(chosen, landed))
     ok = went.where("status = 'ok'")
 
-    jobs = store.jobs()
+    table = store.table()
     pages = landed.join(ok.select(F.col("slug").alias("company_slug")), "company_slug", "left_semi")
     # the sources in play are at most the eight that exist
     sources = [r[0] for r in ok.select("source").distinct().orderBy("source").collect()]
     items = (
-        staged(read_items(pages.select(*landed.columns), ok, jobs, sources)) if sources else no_items(store.spark)
+        staged(read_items(pages.select(*landed.columns), ok, table.slim(), sources)) if sources else no_items(store.spark)
     )
     seen = good(items).select(*OBSERVATION.names)
-    merged = merge.merge(jobs, seen, ok, store.tombstones(), as_of)
+    merged = merge.merge(table, seen, ok, store.tombstones(), as_of)
     counters = merge.run_counters(merged, seen, went)
     notes = went.select(F.col("slug").alias("company_slug"), "error_message", "error_kind")
     log = counters.join(notes, "company_slug", "left").select(
@@ -62,7 +62,7 @@ def refresh(
         "company_slug", "status", "jobs_seen", "jobs_new", "jobs_updated", "jobs_closed", "error_message", "error_kind",
     )
     store.write_run_log(log.select(*RUN_LOG.names), run_id, part)
-    version = store.commit_jobs(merged.jobs, run_id, part, as_of)
+    version = store.commit_delta(merged.delta, merged.texts, run_id, part, as_of)
     if not ok.isEmpty():
         store.mark_success(as_of)
     return Refreshed(True, version, counters, rejects(items))
@@ -90,15 +90,18 @@ def apply_user_actions(store: Store, actions: DataFrame, batch_id: str, as_of: s
     part = f"actions-{batch_id}"
     if store.is_committed(batch_id, part):
         return store.current()
-    jobs = store.jobs()
-    store.write_tombstones(acts.add_tombstones(store.tombstones(), jobs, actions))
-    return store.commit_jobs(acts.apply_actions(jobs, actions), batch_id, part, as_of)
+    table = store.table()
+    store.write_tombstones(acts.add_tombstones(store.tombstones(), table.slim(), actions))
+    return store.commit_delta(staged(acts.acted_rows(table.state, actions)), None, batch_id, part, as_of)
 
 
 def rescore_all(store: Store, as_of: str, batch_id: str) -> DataFrame:
-    """Score the whole table anew, for new weights; returns scanned, updated and unchanged."""
-    again = staged(merge.rescore(store.jobs(), store.companies(), as_of))
-    store.commit_jobs(again, batch_id, "rescore", as_of)
+    """Score the whole table anew, for new weights; returns scanned, updated and unchanged.
+
+    Only rows whose score, confidence or reasons have changed are written.
+    """
+    again = staged(merge.rescored(store.table(), store.companies(), as_of))
+    store.commit_delta(again.where("changed").drop("changed"), None, batch_id, "rescore", as_of)
     return merge.rescore_summary(again)
 
 

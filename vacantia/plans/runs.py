@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import job_fingerprint
+from ..operators.jobtable import JobTable
 from ..operators.merge import Merged, merge
-from ..schemas import JOB, TOMBSTONE
+from ..schemas import TOMBSTONE
 from ..session import pin_utc, spread
 from .postings import companies, postings
 
@@ -69,12 +70,12 @@ def ran(spark: SparkSession, run: int) -> DataFrame:
     return companies(spark).withColumn("status", F.when(failed, "failed").otherwise("ok"))
 
 
-def step(spark: SparkSession, sf_dir: str, jobs: DataFrame | None, run: int) -> tuple[Merged, DataFrame, DataFrame]:
+def step(spark: SparkSession, sf_dir: str, table: JobTable | None, run: int) -> tuple[Merged, DataFrame, DataFrame]:
     """One run merged into the jobs of the run before: the merge, its sightings, its companies."""
     pin_utc(spark)
     source = spread(postings(spark, sf_dir))
     went = ran(spark, run)
     seen = observations(spark, source, run)
-    before = spark.createDataFrame([], JOB) if jobs is None else jobs
+    before = JobTable.empty(spark) if table is None else table
     result = merge(before, seen, went.where("status = 'ok'"), tombstones(source), clock_of(run))
     return result, seen, went

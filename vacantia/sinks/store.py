@@ -1,9 +1,10 @@
-"""The job store: versioned snapshots, a run log, tombstones and state, all Parquet.
+"""The job store: a versioned job table, a run log, tombstones and state, all Parquet.
 
-A new job table is written beside the old ones, and becomes current when one row
-that names it is appended to the version table.  A job that dies in between
-leaves the old version current; readers never see half a table.  One writer at a
-time is assumed.
+A version of the job table is a base and the deltas since: a commit writes the state rows
+that have changed, and the texts they point to that are new, and becomes current when one
+row that names it is appended to the version table.  Readers take each key's latest row.
+After ``deltas`` of them the next commit writes a base.  A job that dies in between leaves
+the old version current; readers never see half a table.  One writer at a time is assumed.
 """
 
 from __future__ import annotations
@@ -14,18 +15,21 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from .. import lexicon
-from ..schemas import COMPANY, JOB, RUN_LOG, STATE, TOMBSTONE
+from ..operators.jobtable import STATE as JOB_STATE
+from ..operators.jobtable import TEXTS, JobTable
+from ..schemas import COMPANY, RUN_LOG, STATE, TOMBSTONE
 
-VERSIONS = "version long, run_id string, companies string, committed_at timestamp"
+VERSIONS = "version long, run_id string, companies string, committed_at timestamp, base long"
 PARTITIONS = ["region", "lifecycle"]
-_LOG = list(RUN_LOG.names)
+DELTAS = 8
+_ROWS = T.StructType([*JOB_STATE.fields, T.StructField("deleted", T.BooleanType())])
 
 
 class Store:
     """Tables under one folder of a shared file system."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, deltas: int = DELTAS):
+        self.spark, self.path, self.deltas = spark, path.rstrip("/"), deltas
 
     def _read(self, name: str, schema) -> DataFrame:
         try:
@@ -35,7 +39,7 @@ class Store:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    # ---- job snapshots
+    # ---- the job table
     def versions(self) -> DataFrame:
         return self._read("versions", VERSIONS)
 
@@ -43,26 +47,57 @@ class Store:
         """The current version, 0 before the first."""
         return self.versions().agg(F.max("version")).first()[0] or 0
 
-    def jobs(self, version: int | None = None) -> DataFrame:
+    def _base(self, version: int) -> int:
+        """The version that holds the whole table as it was then; later ones up to ``version`` are deltas."""
+        return self.versions().where(F.col("version") == version).agg(F.max("base")).first()[0] or 0
+
+    def table(self, version: int | None = None) -> JobTable:
         version = self.current() if version is None else version
         if version == 0:
-            return self.spark.createDataFrame([], JOB)
-        return self._read(f"jobs/v={version}", JOB).select(*JOB.names)
+            return JobTable.empty(self.spark)
+        base = self._base(version)
+        rows = self._read(f"jobs/v={base}", _ROWS)
+        if version > base:
+            deltas = self._read_versions("jobs", base + 1, version, _ROWS)
+            last = deltas.groupBy("fingerprint").agg(F.max_by(F.struct(*_ROWS.names), "v").alias("row")).select("row.*")
+            rows = rows.join(last.select("fingerprint"), "fingerprint", "left_anti").unionByName(last)
+        state = rows.where(~F.coalesce("deleted", F.lit(False))).select(*JOB_STATE.names)
+        return JobTable(state, self._read_versions("texts", 1, version, TEXTS).select(*TEXTS.names))
+
+    def _read_versions(self, name: str, first: int, last: int, schema: T.StructType) -> DataFrame:
+        """The rows of committed versions, with their number ``v``; what a dead writer left is not among them."""
+        rows = self._read(name, T.StructType([*schema.fields, T.StructField("v", T.LongType())]))
+        return rows.where((F.col("v") >= first) & (F.col("v") <= last))
+
+    def jobs(self, version: int | None = None) -> DataFrame:
+        """The whole job table with its texts."""
+        return self.table(version).jobs()
 
-    def commit_jobs(self, jobs: DataFrame, run_id: str, companies: str, at) -> int:
-        """Write the next snapshot and make it current.
+    def commit_delta(
+        self, delta: DataFrame, texts: DataFrame | None, run_id: str, companies: str, at,
+    ) -> int:
+        """Make the rows of ``delta`` current: state rows, where ``deleted`` (if there) marks keys that go.
 
-        Partitioned as it is searched.  Rows go to files by key, so a partition that
-        holds most of the table is still written by many tasks.
+        ``texts`` are those the rows point to that the store does not have yet.
         """
         version = self.current() + 1
-        target = f"{self.path}/jobs/v={version}"
-        jobs.select(*JOB.names).sortWithinPartitions(*PARTITIONS, "fingerprint").write.mode("overwrite").partitionBy(
+        base = self._base(version - 1) if version > 1 else 0
+        if "deleted" not in delta.columns:
+            delta = delta.withColumn("deleted", F.lit(False))
+        if texts is not None:
+            # ordered by reference, so that a reader who wants few finds them in few files
+            texts.sortWithinPartitions("ref").write.mode("overwrite").parquet(f"{self.path}/texts/v={version}")
+        if not base or version - base > self.deltas:
+            kept = self.table(version - 1).state.join(delta.select("fingerprint"), "fingerprint", "left_anti")
+            delta = kept.withColumn("deleted", F.lit(False)).unionByName(delta.where("NOT deleted").select(*_ROWS.names))
+            base = version
+        delta.select(*_ROWS.names).sortWithinPartitions(*PARTITIONS, "fingerprint").write.mode("overwrite").partitionBy(
             *PARTITIONS
-        ).parquet(target)
+        ).parquet(f"{self.path}/jobs/v={version}")
         row = self.spark.range(1).select(
             F.lit(version).cast("long").alias("version"), F.lit(run_id).alias("run_id"),
             F.lit(companies).alias("companies"), F.lit(at).cast("timestamp").alias("committed_at"),
+            F.lit(base).cast("long").alias("base"),
         )
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
         return version
@@ -78,9 +113,9 @@ class Store:
 
     def run_log(self) -> DataFrame:
         """Log lines of committed runs; the log is written just before the commit."""
-        rows = self._read("run_log", T.StructType(RUN_LOG.fields).add("run", "string").add("part", "string"))
+        rows = self._read("run_log", T.StructType([*RUN_LOG.fields, *[T.StructField(c, T.StringType()) for c in ("run", "part")]]))
         done = self.versions().select(F.col("run_id").alias("run"), F.col("companies").alias("part")).distinct()
-        return rows.join(done, ["run", "part"], "left_semi").select(*_LOG)
+        return rows.join(done, ["run", "part"], "left_semi").select(*RUN_LOG.names)
 
     # ---- small tables, replaced as a whole under the next number
     def _replace(self, name: str, df: DataFrame) -> None:

@@ -47,7 +47,7 @@ def read_items(landing: DataFrame, companies: DataFrame, jobs: DataFrame | None
 
 
 def no_items(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], T.StructType(OBSERVATION.fields).add("reject", "string"))
+    return spark.createDataFrame([], T.StructType([*OBSERVATION.fields, T.StructField("reject", T.StringType())]))
 
 
 def read_observations(landing, companies, jobs=None, sources=None) -> DataFrame:
