@@ -145,7 +145,7 @@ def test_stream_merges_on_the_marker_only(spark, world, tmp_path):
 
     def pump():
         stream = landing.stream_landing(spark, str(folder))
-        q = incremental.merge_stream(store, stream, str(folder), clocks.__getitem__, ckpt)
+        q = incremental.merge_stream(store, stream, clocks.__getitem__, ckpt)
         q.awaitTermination()
         assert q.exception() is None
 
@@ -166,13 +166,18 @@ def test_stream_merges_on_the_marker_only(spark, world, tmp_path):
 
 def test_score_stream_equals_batch(spark, world, tmp_path):
     store, folder = world
-    write(folder / "1.json", RUN1[0])
+    older = {**RUN1[0], "payload": gh((1, "Software Engineer", ""), (9, "Java Developer", "")), "fetched_at": "2024-01-31T23:00:00.000Z"}
+    marker = {**row("r1", None, None, "end_of_run", ""), "fetched_at": "2024-02-02T00:00:00.000Z"}
+    write(folder / "1.json", RUN1[0], older, RUN1[0])
+    write(folder / "2.json", marker)
     out = str(tmp_path / "scored")
     companies = store.companies()
     stream = landing.stream_landing(spark, str(folder))
     q = incremental.write_scored(incremental.score_stream(stream, companies, T0), out, str(tmp_path / "c"))
     q.awaitTermination()
+    assert q.exception() is None
     batch = incremental.score_stream(landing.read_landing(spark, str(folder)), companies, T0)
+    assert {r["title"] for r in batch.collect()} == {"Software Engineer", "Backend Engineer"}
     cols = ["fingerprint", "title", "score", "confidence"]
     assert sorted(map(tuple, spark.read.parquet(out).select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon
 from ..functions.patterns import fold, found, found_caseless, has_any
+from ..session import settled
 
 
 def title_matches(title: Column) -> Column:
@@ -68,7 +69,7 @@ def _passes(country: Column) -> Column:
 def passes_for_region(df: DataFrame, region: str = "region") -> DataFrame:
     """Add ``passes`` and the filter's own ``country`` (a payload's country is not kept)."""
     country = region_country(F.col(region), F.col("location"), F.col("remote"))
-    return df.withColumn("passes", _passes(country)).withColumn("country", F.when(F.col("passes"), country))
+    return df.withColumn("passes", settled(_passes(country))).withColumn("country", F.when(F.col("passes"), country))
 
 
 def accepted(df: DataFrame, region: str = "region") -> DataFrame:

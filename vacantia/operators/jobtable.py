@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,23 +140,22 @@ def with_features(rows: DataFrame, texts: DataFrame, own: DataFrame | None = Non
     lacking = staged(lacking.agg(F.min("text_ref").alias("ref")))
     if lacking.isEmpty():
         return rows.drop("pair")
-    pair = ["title", "pair"]
-    found, rest = None, lacking
+    pair, columns = ["title", "pair"], ["title", "pair", "description_text"]
+    parts, rest = [], lacking
     if own is not None:
-        read = sifted(own.select("title", no_text.alias("pair"), "description_text"), lacking, pair)
-        found = staged(_taken(read, *pair).groupBy(*pair).agg(F.first("taken").alias("taken")))
-        rest = lacking.join(found.select(*pair), pair, "left_anti")
-    if not rest.isEmpty():
+        read = own.select("title", no_text.alias("pair"), "description_text")
+        parts.append(sifted(read, lacking, pair))
+        rest = lacking.join(read.select(*pair), pair, "left_anti")
+    few = rest.limit(BROADCAST_ROWS + 1).count()
+    if few:
         have = texts.select("ref", "description_text")
-        few = rest.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        if few:
-            # the texts stay where they are; a title without a text has no reference
-            told = have.join(F.broadcast(rest.where("ref IS NOT NULL")), "ref")
-        else:
-            told = rest.where("ref IS NOT NULL").join(have, "ref")
+        with_ref = rest.where("ref IS NOT NULL")
+        # few: the texts stay where they are; a title without a text has no reference
+        told = have.join(F.broadcast(with_ref), "ref") if few <= BROADCAST_ROWS else with_ref.join(have, "ref")
         bare = rest.where("ref IS NULL").withColumn("description_text", F.lit(None).cast("string"))
-        more = _taken(told.select(*pair, "description_text").unionByName(bare.select(*pair, "description_text")), *pair)
-        found = staged(more if found is None else found.unionByName(more))
+        parts += [told.select(*columns), bare.select(*columns)]
+    taken = _taken(reduce(DataFrame.unionByName, parts), *pair)
+    found = staged(taken.groupBy(*pair).agg(F.first("taken").alias("taken")))
     joined = rows.join(found, pair, "left")
     return joined.withColumn("features", F.coalesce("features", "taken")).drop("taken", "pair")
 

@@ -25,7 +25,7 @@ from ..functions.keys import job_fingerprint
 from ..functions.times import clock
 from ..schemas import JOB
 from ..session import small_side, staged
-from .filters import accepted
+from .filters import passes_for_region
 from .jobtable import STATE, WIDE, JobTable, keys_and_refs, scoring_columns, sifted, with_features
 from .ordered import HOT_ROWS, hot_keys, running
 from .scoring import apply_rules, breakdown, score
@@ -277,15 +277,18 @@ def merge(
     """Fold a run into the job table (or into whole jobs, which are taken apart first).
 
     ``companies`` are those whose run succeeded; others' sightings are ignored and
-    their jobs stay as they are.  Accepted sightings are written out once, with their texts,
+    their jobs stay as they are.  Sightings are written out once, accepted ones with their texts,
     where they lie; of all that follows only hashes, references and features are shuffled.
     """
     table = jobs if isinstance(jobs, JobTable) else JobTable.of(jobs)
     batch = uuid.uuid4().hex
-    seen = with_fingerprint(of_companies(observations, companies))
-    ref = F.concat(F.lit(f"{batch}/"), F.monotonically_increasing_id().cast("string"))
-    rows = accepted(seen).withColumn("ref", ref)
-    sightings = staged(rows.select("*", *keys_and_refs(F.col("ref"))))
+    rows = passes_for_region(with_fingerprint(of_companies(observations, companies)))
+    # one pass over the run: what the filter rejects counts as seen, but its texts are dropped here
+    rows = rows.withColumns({c: F.when(F.col("passes"), F.col(c)) for c in WIDE}).withColumn(
+        "ref", F.concat(F.lit(f"{batch}/"), F.monotonically_increasing_id().cast("string"))
+    )
+    seen = staged(rows.select("*", *keys_and_refs(F.col("ref"))))
+    sightings = seen.where("passes")
 
     closings = unseen(table.state, seen, companies)
     events = staged(_events(table.state, drop_tombstoned(sightings.drop(*WIDE), tombstones), closings))

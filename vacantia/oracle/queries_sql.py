@@ -132,6 +132,21 @@ def why() -> str:
  {all_of('reason', 'final_points < 0')} AS negatives"""
 
 
+
+def streamed() -> str:
+    """What the pages of one board come to, read, filtered and scored."""
+    rows = f"""SELECT company_slug, {_ID} AS external_id, title, apply_url, location, description, posted_at,
+ {_remote(*L.GREENHOUSE_REMOTE_WORDS)} AS remote, 'greenhouse' AS source
+ FROM (SELECT *, {_DESC} AS description FROM postings) WHERE {_OK}"""
+    named = f"""SELECT i.* EXCLUDE (description), description AS description_text, c.name AS company_name, c.target_region AS region
+ FROM ({rows}) i JOIN companies c ON c.slug = i.company_slug"""
+    return S.with_(
+        S.POSTINGS, M.COMPANY_CTE, f"listed AS ({named})",
+        f"src AS (SELECT *, {M.FP} AS k FROM ({S.filtered('listed')}))", *S.score_ctes("src"),
+        select="SELECT k AS fingerprint, company_slug, title, country, score, confidence, quality_label FROM scored",
+    )
+
+
 ORACLES: dict[str, str] = {
     "f01_title_match": plain(f"SELECT doc_id, {S.title_matches('title')} AS matches FROM postings"),
     "f03_loc_international": plain(f"SELECT doc_id, {S.country_international()} AS country FROM postings"),
@@ -393,6 +408,8 @@ FROM served s JOIN companies c ON c.slug = s.company_slug"""
     "f12_strict": served(
         "SELECT lifecycle, count(*) AS n_jobs, true AS refused FROM served WHERE lifecycle IN ('CLOSED', 'ARCHIVED') GROUP BY 1"
     ),
+    "r01_score_stream": streamed(),
+    "r02_merge_stream": streamed(),
     "s01_greenhouse": listed(
         _remote(*L.GREENHOUSE_REMOTE_WORDS), "'HQ'", "'Engineering' AS department", ts("posted_at"), external_id=_ID
     ),

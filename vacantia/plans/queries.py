@@ -23,6 +23,7 @@ from ..session import checkpoint_dir, pin_utc, spread, staged
 from ..schemas import BREAKDOWN
 from ..sinks.store import Store
 from ..sources import boards, cards, embedded, landing, registry
+from ..streaming import incremental
 from . import payloads, runs
 from .postings import AS_OF, postings
 
@@ -991,3 +992,54 @@ def _(spark, sf):
     got = _fetched(spark, sf, "linkedin")
     known = got.cards.where("external_id % 4 = 0").select("company_slug", "fingerprint")
     return cards.fetch_tallies(got.cards, known)
+
+
+# ------------------------------------------------------------------- streams
+def _landed_in_parts(spark, sf) -> tuple[str, list[DataFrame]]:
+    """A landing folder, and what lands in it: half of the pages, the others, end markers, and markers again.
+
+    Every page was captured before with nothing on it, and some are captured twice.
+    """
+    pages = payloads.captured_twice(payloads.greenhouse(worked(spark, sf)), '{"jobs":[]}')
+    nobody = F.lit(None).cast("string")
+    marker = spark.range(1).select(
+        F.lit("1").alias("run_id"), F.lit("greenhouse").alias("source"), nobody.alias("company_slug"),
+        F.lit("end_of_run").alias("kind"), nobody.alias("ref"), F.lit(0).alias("page"),
+        (F.lit(payloads.FETCHED_AT).cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias("fetched_at"), F.lit("").alias("payload"),
+    )
+    one = _companies(spark).limit(1).select("slug")
+    of_one = marker.drop("company_slug").join(one.withColumnRenamed("slug", "company_slug")).select(*marker.columns)
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/landing-{uuid.uuid4().hex}"
+    first, other = pages.where("page % 2 = 0"), pages.where("page % 2 = 1")
+    return folder, [first, other, of_one, marker, marker.unionByName(of_one)]
+
+
+@query("r01_score_stream")
+def _(spark, sf):
+    """Pages of a landing folder scored as they come: the latest capture of each, twice stopped and started."""
+    folder, parts = _landed_in_parts(spark, sf)
+    out, ckpt = f"{folder}-scored", f"{folder}-ckpt"
+    for part in (parts[0], parts[1], parts[3]):
+        part.write.mode("append").json(folder)
+        stream = landing.stream_landing(spark, folder)
+        scores = incremental.score_stream(stream, _companies(spark), AS_OF, ["greenhouse"])
+        incremental.write_scored(scores, out, ckpt).awaitTermination()
+    return spark.read.parquet(out).drop("run_id")
+
+
+@query("r02_merge_stream")
+def _(spark, sf):
+    """Runs merged when their markers come; stopped and started from the checkpoint, markers replayed."""
+    folder, parts = _landed_in_parts(spark, sf)
+    store = Store(spark, f"{folder}-store")
+    store.write_companies(_companies(spark).withColumn("source", F.lit("greenhouse")))
+    for part in parts:
+        part.write.mode("append").json(folder)
+        stream = landing.stream_landing(spark, folder)
+        incremental.merge_stream(store, stream, lambda run: AS_OF, f"{folder}-ckpt").awaitTermination()
+    jobs = store.table().slim()
+    return jobs.select(
+        "fingerprint", "company_slug", "title", "country", F.col("heuristic_score").cast("int").alias("score"),
+        F.col("heuristic_confidence").cast("int").alias("confidence"),
+        F.col("score_breakdown.quality_label").alias("quality_label"),
+    )

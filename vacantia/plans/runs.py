@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import job_fingerprint
 from ..operators.jobtable import JobTable
 from ..operators.merge import Merged, merge
-from ..schemas import TOMBSTONE
-from ..session import pin_utc, spread
+from ..session import pin_utc, spread, staged
 from .postings import companies, postings
 
 # fixed values of the derived runs
@@ -77,5 +76,6 @@ def step(spark: SparkSession, sf_dir: str, table: JobTable | None, run: int) ->
     went = ran(spark, run)
     seen = observations(spark, source, run)
     before = JobTable.empty(spark) if table is None else table
-    result = merge(before, seen, went.where("status = 'ok'"), tombstones(source), clock_of(run))
+    # tombstones are a stored table
+    result = merge(before, seen, went.where("status = 'ok'"), staged(tombstones(source)), clock_of(run))
     return result, seen, went

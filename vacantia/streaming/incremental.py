@@ -2,26 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.filters import accepted
 from ..operators.merge import of_companies, with_fingerprint
 from ..operators.scoring import score
 from ..plans.refresh import refresh
+from ..schemas import LANDING
+from ..session import staged
 from ..sinks.store import Store
-from ..sources.landing import read_landing
 from ..sources.registry import STATELESS, read_observations
 
+APART, LATE = "6 hours", "10 minutes"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A company's run is kept in so many groups, so that no task holds all pages of a large one.
+BUCKETS = 16
+
+
+def latest_captures(landing: DataFrame, apart: str = APART, late: str = LATE) -> DataFrame:
+    """The latest capture of each page, once no later one is to be expected.
+
+    Captures of a page less than ``apart`` from each other are one session; it is handed on
+    when the watermark, ``late`` behind the latest time seen, has passed its end, and its
+    state goes.  The end-of-run marker is what moves the watermark past the last pages.  A
+    capture without a time cannot be placed and is left out.
+    """
+    place = ["run_id", "company_slug", "ref", "page"]
+    rows = landing.withWatermark("fetched_at", late)
+    best = F.max_by(F.struct("source", "kind", "fetched_at", "payload"), F.struct("fetched_at", "payload")).alias("best")
+    # source and kind are read from the best row: a filter on grouping columns would be pushed
+    # below the watermark and keep the markers from moving it
+    what = [F.col("source").alias("of_source"), F.col("kind").alias("of_kind")]
+    sessions = rows.groupBy(F.session_window("fetched_at", apart), *place, *what).agg(best)
+    return sessions.select(*place, "best.*").select(*LANDING.names)
+
 
 def score_stream(landing: DataFrame, companies: DataFrame, as_of: str, sources=STATELESS) -> DataFrame:
-    """New payloads to accepted, scored postings.
+    """New payloads to accepted, scored postings: as in batch, the latest capture of a page counts.
 
-    Each payload stands for itself: no state, no watermark, one static join with
-    the companies.  Boards with detail pages need a whole run; see ``merge_stream``.
+    One static join with the companies.  Boards with detail pages need a whole run; see
+    ``merge_stream``.
     """
-    seen = with_fingerprint(of_companies(read_observations(landing, companies, sources=sources), companies))
+    parts = []
+    for source in sources:
+        pages = landing
+        if landing.isStreaming:
+            mine = (F.col("source") == source) & (F.col("kind") == "listing")
+            pages = latest_captures(landing.where(mine | (F.col("kind") == "end_of_run")))
+        parts.append(read_observations(pages, companies, sources=[source]))
+    seen = with_fingerprint(of_companies(reduce(DataFrame.unionByName, parts), companies))
     return score(accepted(seen), as_of)
 
 
@@ -34,31 +69,92 @@ def write_scored(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def merge_batch(store: Store, landing_path: str, as_of_by_run, batch: DataFrame, batch_id: int) -> None:
-    """Merge the runs whose end markers have arrived.
+def _named(values) -> Row:
+    return Row(**dict(zip(LANDING.names, values, strict=True)))
+
+
+class _UntilTheEnd(StatefulProcessor):
+    """Keeps what landed for a part of a company's run, and hands it on with the end marker.
+
+    Pages are appended to a list in the state store, never rewritten.  After the marker only
+    a flag is left: what comes later, markers again included, is not handed on.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._pages = handle.getListState("pages", LANDING)
+        self._ended = handle.getValueState("ended", "ended boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if self._ended.exists():
+            return
+        fresh, marker = [], None
+        for row in rows:
+            own = tuple(row[c] for c in LANDING.names)
+            if row["kind"] == "end_of_run":
+                marker = own
+            else:
+                fresh.append(own)
+        if marker is None:
+            self._pages.appendList(fresh)
+            return
+        for page in self._pages.get():
+            yield _named(page)
+        for page in fresh:
+            yield _named(page)
+        self._pages.clear()
+        self._ended.update((True,))
+        if key[2] == 0:
+            yield _named(marker)
+
+    def close(self) -> None:
+        pass
+
+
+def finished_runs(landing: DataFrame, companies: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """All pages of each company's run at once, when its end marker comes, and one marker with them.
+
+    A marker names a company, or none for all active ones of the run.
+    """
+    landing.sparkSession.conf.set(_STORE, _ROCKSDB)
+    ends = landing.where("kind = 'end_of_run'").select(*LANDING.names)
+    slugs = companies.where("active").select(F.col("slug").alias("of_slug"), F.lit("end_of_run").alias("kind"))
+    # a row a company for each run's end: joined on the kind, which all markers share
+    of_all = ends.where("company_slug IS NULL").join(slugs, "kind").withColumn("company_slug", F.col("of_slug"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
+    told = ends.where("company_slug IS NOT NULL").unionByName(of_all.select(*LANDING.names)).withColumn("bucket", every)
+    spot = F.pmod(F.xxhash64("kind", "ref", "page"), F.lit(buckets)).cast("int")
+    pages = landing.where("kind <> 'end_of_run'").select(*LANDING.names, spot.alias("bucket"))
+    return pages.unionByName(told).groupBy("run_id", "company_slug", "bucket").transformWithState(
+        statefulProcessor=_UntilTheEnd(), outputStructType=LANDING, outputMode="append", timeMode="None"
+    )
+
+
+def merge_batch(store: Store, as_of_by_run, batch: DataFrame, batch_id: int) -> None:
+    """Merge the runs that ``finished_runs`` has handed on.
 
-    A company's run is merged whole, from all that landed for it, once its marker is
-    there; a part of it would look as if postings had vanished.  A marker names a
-    company, or none for all of the run.  What is in the log of the run already is
-    left out, so replayed batches and repeated markers change nothing.
+    What is in the log of the run already is left out, and a batch that was committed is not
+    merged again, so replayed batches and repeated markers change nothing.
     """
-    markers = batch.where("kind = 'end_of_run'").select("run_id", "company_slug").distinct()
-    landed = read_landing(store.spark, landing_path).where("kind <> 'end_of_run'")
+    landed = staged(batch.select(*LANDING.names))  # read several times; the state is read once
+    markers = landed.where("kind = 'end_of_run'").select("run_id", "company_slug").distinct()
+    pages = landed.where("kind <> 'end_of_run'")
     # one merge per finished run, all its marked companies together; run ids only reach the driver
     for (run_id,) in markers.select("run_id").distinct().orderBy("run_id").toLocalIterator():
         marked = markers.where(F.col("run_id") == run_id).select(F.col("company_slug").alias("slug"))
-        active = store.companies().where("active")
-        whole = not marked.where("slug IS NULL").isEmpty()
-        chosen = active if whole else active.join(marked, "slug", "left_semi")
+        chosen = store.companies().where("active").join(marked, "slug", "left_semi")
         logged = store.run_log().where(F.col("run_id") == run_id).select(F.col("company_slug").alias("slug"))
         chosen = chosen.join(logged, "slug", "left_anti")
         if not chosen.isEmpty():
-            refresh(store, landed, run_id, as_of_by_run(run_id), chosen, part=f"batch-{batch_id}")
+            refresh(store, pages, run_id, as_of_by_run(run_id), chosen, part=f"batch-{batch_id}")
 
 
-def merge_stream(store: Store, landing: DataFrame, landing_path: str, as_of_by_run, checkpoint: str) -> StreamingQuery:
-    """Watch the landing folder and merge finished runs; ``as_of_by_run`` gives a run's clock."""
+def merge_stream(store: Store, landing: DataFrame, as_of_by_run, checkpoint: str) -> StreamingQuery:
+    """Merge runs as they end; ``as_of_by_run`` gives a run's clock.
+
+    What landed is read once and waits in the stream's state for its marker.
+    """
     return (
-        landing.writeStream.foreachBatch(lambda df, n: merge_batch(store, landing_path, as_of_by_run, df, n))
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        finished_runs(landing, store.companies()).writeStream
+        .foreachBatch(lambda df, n: merge_batch(store, as_of_by_run, df, n))
+        .outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
