@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon
 from ..schemas import COMPANY, LANDING, OBSERVATION
-from ..session import settled, small_side
+from ..session import settled, small_side, staged
 
 # fixed values: what a board's listing must be, and what a search must be configured with
 PAYLOAD_OPENS = {"greenhouse": "{", "lever": "[", "ashby": "{", "workday": "{"}
@@ -63,19 +63,22 @@ def filled(*values: Column) -> Column:
 
 
 def _latest(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The latest capture of each page.  Pages captured once stay where they are; keys are
-    counted without their payloads, and only pages captured again are grouped."""
-    again = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-    again = small_side(again.select(*[F.col(c).alias(f"of_{c}") for c in keys]))
+    """The latest capture of each page (of equally late ones that of the greatest hash).
+
+    Rows are read once and written with a number; which of them are stale is worked out from
+    keys and times alone, and no payload is shuffled while the stale ones are few.
+    """
+    whole = staged(rows.withColumn("landed_row", F.monotonically_increasing_id()))
+    narrow = whole.select(*keys, "landed_row", F.struct("fetched_at", F.xxhash64("payload").alias("h"), "landed_row").alias("at"))
+    best = narrow.groupBy(*keys).agg(F.max("at").alias("best"), F.count("*").alias("n"))
+    best = best.where("n > 1").select(*[F.col(c).alias(f"of_{c}") for c in keys], F.col("best.landed_row").alias("kept"))
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in keys])
-    latest = rows.join(again, same, "left_semi").groupBy(*keys).agg(
-        F.max_by(F.struct(*rows.columns), F.struct("fetched_at", "payload")).alias("row")
-    )
-    return rows.join(again, same, "left_anti").unionByName(latest.select("row.*"))
+    stale = narrow.join(small_side(best), same).where("landed_row <> kept").select("landed_row")
+    return whole.join(small_side(stale), "landed_row", "left_anti").drop("landed_row")
 
 
 def listings(landing: DataFrame, source: str) -> DataFrame:
-    """Captured listing pages, the latest of each.  A stream takes each capture as it comes."""
+    """Captured listing pages, the latest of each (of a stream: see ``streaming.latest_captures``)."""
     rows = landing.where((F.col("source") == source) & (F.col("kind") == "listing"))
     return rows if landing.isStreaming else _latest(rows, ["run_id", "company_slug", "page"])
 
