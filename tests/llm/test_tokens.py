@@ -48,6 +48,16 @@ def test_cache_is_dropped_when_full(reference):
         assert encoder.encode([text])[0].tolist() == reference.encode_ordinary(text)
 
 
+def test_very_long_pieces(reference):
+    """A piece may be a whole text: a run of letters, alike or not."""
+    own = duck_bpe.Coder(RANKS)
+    rng = random.Random(5)
+    for text in ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100_000)), "ab" * 40_001, "a" * 50_003):
+        assert own.encoder.encode([text])[0].tolist() == reference.encode_ordinary(text)
+    many = own.encoder.encode(["a" * 4_000_000])[0]
+    assert own.decode(many, np.array([len(many)])) == [b"a" * 4_000_000]
+
+
 def test_long_pieces(reference):
     own, pick = duck_bpe.Coder(RANKS), random.Random(3)
     for word in ["a" * 700, "ab" * 300, "".join(pick.choice("abcdetion") for _ in range(400)), " " * 900, "é" * 200]:

@@ -6,10 +6,12 @@ merge table, contracts each piece's leftmost pair of minimum rank and goes on un
 pair of any piece is in the table.  Decoding is the ordered aggregation of the tokens'
 bytes.  Pieces and runs of ids met before come from the worker's memory.
 
-Pieces of ``LONG_BYTES`` and more keep only their current rows: the step runs as one
-statement after another, and contracts all pairs of the minimum rank at once, from the
-left.  (A pair's merge never makes a pair of lower or equal rank that reaches further
-left, so this is what one contraction at a time would come to.)
+Pieces of ``LONG_BYTES`` and more do not go through the query, whose steps rewrite all
+rows of a piece: its work grows with the square of their length, and a piece may be a
+whole text.  They are lists of linked positions instead.  While many pairs have the
+minimum rank these are contracted at once, from the left; after that a heap gives the
+leftmost pair of minimum rank, one at a time.  (In a table made by merging, a pair's merge
+never makes a pair of lower or equal rank, so both orders come to the same.)
 
 Cases: a null text is empty; an empty text has no ids and decodes to nothing; null ids
 decode to nothing; repeated rows are rows of their own; other columns stay as they are;
@@ -19,7 +21,9 @@ an id that the vocabulary lacks raises an error.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,8 @@ from .memory import by_batch, give_back, kept
 from .pretokens import CACHED_WORDS, Encoder, Segments, mixed
 
 LONG_BYTES = 128
+NO_RANK = np.iinfo(np.int32).max
+FEW = 64  # pairs of minimum rank are few where they are fewer than one in so many
 STATE_ROWS = 1_000_000  # rows that one recursive query may make
 SLICE_BYTES = 2 << 20
 RUN_IDS = 64
@@ -54,21 +60,6 @@ SELECT s.word, s.id FROM state s JOIN (SELECT word, max(step) AS step FROM state
 ORDER BY s.word, s.pos
 """
 
-LONG_STEP = """
-CREATE OR REPLACE TEMP TABLE next_state AS
-WITH neighbours AS (
-  SELECT word, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next_id FROM state),
-ranked AS (SELECT n.word, n.pos, n.id, m.rank FROM neighbours n LEFT JOIN merges m ON n.id = m.a AND n.next_id = m.b),
-flagged AS (SELECT *, coalesce(rank = min(rank) OVER (PARTITION BY word), false) AS least FROM ranked),
-chains AS (SELECT *, pos - sum(least::INTEGER) OVER (PARTITION BY word ORDER BY pos) AS chain FROM flagged),
-taken AS (
-  SELECT *, least AND row_number() OVER (PARTITION BY word, chain, least ORDER BY pos) % 2 = 1 AS contracted FROM chains),
-kept AS (
-  SELECT word, pos, CASE WHEN contracted THEN rank ELSE id END AS id,
-    coalesce(lag(contracted) OVER (PARTITION BY word ORDER BY pos), false) AS swallowed FROM taken)
-SELECT word, (row_number() OVER (PARTITION BY word ORDER BY pos) - 1)::INTEGER AS pos, id FROM kept WHERE NOT swallowed
-"""
-
 DECODE = """
 SELECT run, string_agg(token, '' ORDER BY pos) AS text FROM given JOIN vocabulary USING (id) GROUP BY run ORDER BY run
 """
@@ -76,6 +67,45 @@ SELECT run, string_agg(token, '' ORDER BY pos) AS text FROM given JOIN vocabular
 _coders: dict[str, Coder] = kept({})
 
 
+def _ranks(ids: np.ndarray, pairs: np.ndarray, rank_of: np.ndarray) -> np.ndarray:
+    """The rank of each pair of neighbours, NO_RANK where they do not merge."""
+    keys = ids[:-1].astype(np.int64) << 32 | ids[1:]
+    at = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+    return np.where(pairs[at] == keys, rank_of[at], NO_RANK)
+
+
+def _linked(ids: np.ndarray, ranks: np.ndarray, rank_of: dict[int, int]) -> list[int]:
+    """The leftmost pair of minimum rank contracted again and again, over linked positions."""
+    n = len(ids)
+    own, after, before = array("q", ids.tolist()), array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+    at = np.flatnonzero(ranks != NO_RANK)
+    heap = (ranks[at].astype(np.int64) << 32 | at).tolist()
+    heapify(heap)
+
+    def meet(left: int) -> None:
+        right = after[left]
+        if right < n:
+            rank = rank_of.get(own[left] << 32 | own[right])
+            if rank is not None:
+                heappush(heap, rank << 32 | left)
+
+    while heap:
+        top = heappop(heap)
+        rank, left = top >> 32, top & 0xFFFFFFFF
+        right = after[left]
+        # a pair that a merge beside it has changed is in the heap no more than by its old rank
+        if own[left] < 0 or right >= n or rank_of.get(own[left] << 32 | own[right]) != rank:
+            continue
+        own[left], own[right] = rank, -1
+        after[left] = following = after[right]
+        if following < n:
+            before[following] = left
+        meet(left)
+        if before[left] >= 0:
+            meet(before[left])
+    return [x for x in own if x >= 0]
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -104,6 +134,7 @@ class Coder:
         self.word_start[[r for t, r in ranks.items() if t[:1] == b" "]] = True
         self.id_hash = mixed(np.arange(size))
         self.place_factor = mixed(np.arange(RUN_IDS) + size) | np.uint64(1)
+        self.pairs = None  # for long pieces only
         self.encoder = Encoder(self.encode_pieces)
         self.runs = Segments(np.uint8)
 
@@ -151,15 +182,25 @@ class Coder:
             at = end
 
     def _merge_long(self, word: bytes) -> list[int]:
-        self._table("state", self._positions([word]))
-        left = len(word)
+        if self.pairs is None:
+            rows = self.db.sql("SELECT a::BIGINT << 32 | b AS pair, rank FROM merges ORDER BY pair").to_arrow_table()
+            self.pairs = rows["pair"].to_numpy(), rows["rank"].to_numpy()
+        pairs, rank_of = self.pairs
+        ids = self.byte_ids[np.frombuffer(word, np.uint8)]
         while True:
-            self.db.execute(LONG_STEP).fetchall()
-            now = self.db.sql("SELECT count(*) FROM next_state").fetchall()[0][0]
-            if now == left:
-                return [r[0] for r in self.db.sql("SELECT id FROM state ORDER BY pos").fetchall()]
-            self.db.execute("CREATE OR REPLACE TEMP TABLE state AS SELECT * FROM next_state").fetchall()
-            left = now
+            ranks = _ranks(ids, pairs, rank_of)
+            least = np.flatnonzero(ranks == ranks.min(initial=NO_RANK)) if len(ranks) else ranks
+            if not len(least) or ranks[least[0]] == NO_RANK:
+                return ids.tolist()
+            if len(least) * FEW < len(ids):
+                return _linked(ids, ranks, dict(zip(pairs.tolist(), rank_of.tolist(), strict=True)))
+            # of pairs that overlap, every other one from the left
+            opens = np.append(True, np.diff(least) > 1)
+            start = np.maximum.accumulate(np.where(opens, np.arange(len(least)), 0))
+            taken = least[(np.arange(len(least)) - start) % 2 == 0]
+            ids = ids.copy()
+            ids[taken] = ranks[taken]
+            ids = np.delete(ids, taken + 1)
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The bytes of lists of ids, laid end to end; ``ends`` says where each list ends.
