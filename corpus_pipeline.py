@@ -28,18 +28,24 @@ def _met(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the clause grammar predicts to be toxic (operator 4)."""
+    """Without the documents that the clause grammar predicts to be toxic (operator 4).
+
+    The decision is one on rows (doc_id, null included, and text); null and empty texts are
+    scored like others.
+    """
     scores = toxic_grammar.score(docs, table(spark, sf_dir, "labels"))
     toxic = staged(scores.where("predicted = 1").select("doc_id", "tie").distinct())
     return _met(_keyed(docs), toxic, "left_anti").select("doc.*")
 
 
-def _lines_left(docs: DataFrame, words: int | None = None) -> DataFrame:
-    """Documents after line dedup; one that loses all its lines goes.
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without line runs and long passages of any number of lines that start earlier (operator 9).
 
-    ``n_chars``, where documents have it, follows the text that is left.
+    A document that loses all its lines goes; null and empty texts stay as they are, and
+    rows that agree in doc_id and text change alike.  ``n_chars``, where documents have it,
+    follows the text that is left.
     """
-    left = line_dedup.dedup(docs, words=words)
+    left = line_dedup.dedup(docs, words=line_dedup.PASSAGE_WORDS)
     left = left.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     columns = [F.col("doc")[c].alias(c) for c in docs.columns]
     if "n_chars" in docs.columns:
@@ -48,18 +54,11 @@ def _lines_left(docs: DataFrame, words: int | None = None) -> DataFrame:
     return left.select(*columns)
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without line runs that start earlier (operator 9)."""
-    return _lines_left(docs)
-
-
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the least doc_id (operator 8).
 
     Among rows of one doc_id it is that of the least text hash; null is the last doc_id; of
     rows that agree in both one stays.  Texts without words are in no group and all stay.
-    What is left then loses long passages of one or two lines that start earlier (operator 9
-    by words): stage line_dedup goes by three lines only, as its SQL does.
     """
     placed = jaccard_join.join(docs).where("n_shingles > 0")
     # rows that agree in doc_id and text are in one group, and go or stay together but for repeats
@@ -72,17 +71,16 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             F.min_by("doc", F.to_json("doc")).alias("doc")
         )
         left = _met(left, again, "left_anti").select("doc").unionByName(one.select("doc"))
-    left = left.select("doc.*")
-    return _lines_left(staged(left), line_dedup.PASSAGE_WORDS)
+    return left.select("doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that contain a benchmark item (operator 1)."""
+    """Without the documents that contain a benchmark item (operator 1); null and empty texts contain none."""
     return decontaminate.remove(docs, decontaminate.contained(docs, table(spark, sf_dir, "benchmark")))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is kept, as token ids, with the digests of its round trip (operator 5)."""
+    """What is kept, as token ids, with the digests of its round trip (operator 5); a null text has none."""
     ranks = tokenizer_file("byte_bpe_50k.tiktoken")
     return duck_bpe.digests(duck_bpe.encode(docs.select("doc_id", "text"), ranks, decoded="decoded"))
 
