@@ -56,19 +56,22 @@ def jaccard(rows, k=5, percent=80):
     return {i: (len(s), component[i]) for i, s in sets.items()}
 
 
-def lines(rows, run=3):
-    """doc_id: (lines, removed lines, text left)."""
+def lines(rows, run=3, words=None):
+    """doc_id: (lines, removed lines, text left); with ``words`` fewer lines that hold so many go as well."""
     seen, out = set(), {}
     for doc_id, text in sorted(rows):
         if text is None:
             out[doc_id] = (0, 0, None)
             continue
         each, gone = text.split("\n"), set()
-        for i in range(len(each) - run + 1):
-            window = tuple(each[i : i + run])
-            if window in seen:
-                gone.update(range(i, i + run))
-            seen.add(window)
+        for n in range(1 if words else run, run + 1):
+            for i in range(len(each) - n + 1):
+                window = tuple(each[i : i + n])
+                if n < run and len(WORD.findall("\n".join(window))) < words:
+                    continue
+                if window in seen:
+                    gone.update(range(i, i + n))
+                seen.add(window)
         out[doc_id] = (len(each), len(gone), "\n".join(x for i, x in enumerate(each) if i not in gone))
     return out
 
