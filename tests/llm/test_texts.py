@@ -148,3 +148,19 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontaminate.contained(none, items).count() == 0
     assert decontaminate.contained(frame(spark, ODD), items.limit(0)).count() == 0
+
+
+def test_jaccard_of_many_texts_that_overlap_by_a_half_or_nearly_link(spark):
+    draw = random.Random(12)
+    passages = [" ".join(f"p{p}w{w}" for w in range(8)) for p in range(20)]
+    halves = [" ".join(draw.sample(passages, 12)) for _ in range(60)]
+    base = [f"b{w}" for w in range(60)]
+    near = []
+    for n in range(60):
+        words = list(base)
+        for at in draw.sample(range(60), 1):
+            words[at] = f"c{n % 25}"
+        near.append(" ".join(words))
+    rows = list(enumerate(halves + near))
+    got = jaccard_join.join(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.jaccard(rows)

@@ -7,11 +7,12 @@ blocks of like size, each entry with the shingle's position in its set.
 
 * Skipping in the index: blocks more than one size step apart are never paired; a pair is
   skipped when what follows the two positions cannot hold the overlap it needs.
-* Skipping in the answers: in every block one set, the pivot, is compared with all others.
-  What that yields answers for the rest: sets that both overlap the pivot enough are linked
-  without a look at them, sets whose differences from it cannot make up the overlap they
-  need are skipped, and sets in one component already are not asked for again.  What is
-  left is compared set by set.
+* Skipping in the answers: in every block one set, the pivot, is compared with all others,
+  then some more in lists where several components still meet.  What that yields answers
+  for the rest: sets that both overlap a pivot enough are linked without a look at them,
+  sets whose differences from a pivot they share cannot make up the overlap they need are
+  skipped, and sets in one component already are not asked for again.  What is left is
+  compared set by set, each pair from one of its lists.
 
 Links found are exact and lose none: what is not compared is decided by bounds or joins
 two sets of one component.  Set cardinalities and overlaps are exact but for collisions of
@@ -43,6 +44,9 @@ COUNTED_BYTES = 5  # of a hash, for document counts: a collision there only chan
 GROUP_SHINGLES = 2_000_000
 BYTES_PER_WORD = 6
 SIZE_STEP = 1.25  # at most 1 / similarity: sets further apart in size cannot link
+HEAD = 16  # first prefix shingles by which a pair is taken from one list only
+PIVOTS = (8, 64)  # pivots that an open list gets on an average, round by round
+KNOWN = 64  # pivots' answers that a set carries; more would only skip more
 
 
 def sets_of(data: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,6 +211,57 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("x", "y", "x_size", "y_size", F.size(F.array_intersect("x_set", "y_set")).alias("overlap"))
 
 
+def _open_members(entries: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries of the lists in which more than one component meets, once for each such list.
+
+    A list goes by its upper block and holds that block's sets and those of the block below.
+    ``widest`` is the length of the longest open list that the entry's set is in.
+    """
+    component = staged(components(found)).withColumnRenamed("node", "row")
+    named = entries.join(component, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    wide = named.withColumn("upper", F.explode(F.array(F.col("block"), F.col("block") + 1)))
+    lists = staged(
+        wide.groupBy("shingle", "upper")
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
+        .where("lo <> hi").select("shingle", "upper", "n")
+    )
+    members = staged(wide.join(lists, ["shingle", "upper"]))
+    widest = members.groupBy("row").agg(F.max("n").alias("widest"))
+    heads = sets.select("row", F.slice("shingles", 1, F.least("leading", F.lit(HEAD))).alias("head"))
+    return staged(members.join(widest, "row").join(heads, "row"))
+
+
+def _met(others: DataFrame, members: DataFrame, percent: int, undecided: Column | None = None) -> DataFrame:
+    """Pairs (x, y) that meet in an open list, each from the first list that their heads share.
+
+    ``undecided`` tells which of them the answers of pivots leave open.
+    """
+    size_o, size_m = F.col("o.size"), F.col("m.size")
+    room = 1 + F.least(size_o - F.col("o.position") - 1, size_m - F.col("m.position") - 1)
+    pairs = others.alias("o").join(
+        members.alias("m"),
+        (F.col("o.shingle") == F.col("m.shingle")) & (F.col("o.upper") == F.col("m.upper"))
+        & (F.col("o.component") != F.col("m.component"))
+        & ((F.col("o.block") == F.col("o.upper")) | (F.col("m.block") == F.col("m.upper")))
+        & (100 * F.least(size_o, size_m) >= percent * F.greatest(size_o, size_m))
+        & (room >= _needed(size_o, size_m, percent))
+        & ~F.arrays_overlap(F.slice("o.head", 1, F.col("o.at")), F.col("m.head"))
+        & (F.lit(True) if undecided is None else undecided),
+    )
+    return pairs.select(F.least("o.row", "m.row").alias("x"), F.greatest("o.row", "m.row").alias("y")).distinct()
+
+
+def _known(answers: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Per row a map of its overlaps with pivots; of more than ``KNOWN`` those of least hash."""
+    both = answers.select(F.col("x").alias("row"), F.col("y").alias("pivot"), "overlap").unionByName(
+        answers.select(F.col("y").alias("row"), F.col("x").alias("pivot"), "overlap")
+    )
+    one = F.struct(F.xxhash64("pivot").alias("at"), "pivot", "overlap")
+    first = F.slice(F.sort_array(F.collect_list(one)), 1, KNOWN)
+    pairs = F.transform(first, lambda e: F.struct(e["pivot"], e["overlap"]))
+    return both.join(pivots, "pivot", "left_semi").groupBy("row").agg(F.map_from_entries(pairs).alias("known"))
+
+
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between rows of ``sets`` that connect what is connected by all links.
 
@@ -217,67 +272,51 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         sets.select(
             "row", "size", block.alias("block"), (F.col("size") - F.size("shingles")).alias("before"),
             F.posexplode(F.slice("shingles", 1, F.col("leading"))).alias("at", "shingle"),
-        ).select("row", "size", "block", "shingle", (F.col("before") + F.col("at")).alias("position"))
+        ).select("row", "size", "block", "shingle", "at", (F.col("before") + F.col("at")).alias("position"))
     )
-    # the pivot of a block is its least row; each set meets that of its own block and of the one below
-    pivots = entries.groupBy("shingle", "block").agg(F.min("row").alias("pivot"), F.count("*").alias("n"))
-    pivots = staged(pivots.withColumn("alone", F.col("n") == 1))
+    linked = _links(F.col("overlap"), F.col("x_size"), F.col("y_size"), percent)
+    # the first pivot of a block is its least row; each set meets that of its own block and of the one below
+    least = entries.groupBy("shingle", "block").agg(F.min("row").alias("pivot"))
     reach = F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("met")
-    toward = entries.select("row", "size", "shingle", "block", reach)
-    stars = toward.join(
-        pivots.select("shingle", F.col("block").alias("met"), "pivot"), ["shingle", "met"]
+    stars = entries.select("row", "shingle", reach).join(
+        least.select("shingle", F.col("block").alias("met"), "pivot"), ["shingle", "met"]
     ).where("row <> pivot")
     pairs = stars.select(F.least("row", "pivot").alias("x"), F.greatest("row", "pivot").alias("y")).distinct()
     answers = staged(_compared(pairs, sets))
-    found = answers.where(_links(F.col("overlap"), F.col("x_size"), F.col("y_size"), percent)).select(
-        F.col("x").alias("a"), F.col("y").alias("b")
-    )
-    component = staged(components(found))
-
-    # entries of lists in which more than one component meets, with what the own pivot's answer says
-    named = entries.join(component.withColumnRenamed("node", "row"), "row", "left").withColumn(
-        "component", F.coalesce("component", "row")
-    )
-    spread = named.select("shingle", "component", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("met"))
-    open_lists = (
-        spread.groupBy("shingle", "met").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .where("lo <> hi").select("shingle", F.col("met").alias("upper"))
-    )
-    # a list is asked from its upper block: its own sets and those of the block below
-    wide = named.select("*", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("upper"))
-    own_pivot = pivots.select("shingle", F.col("block").alias("upper"), "pivot")
-    members = wide.join(open_lists, ["shingle", "upper"]).join(own_pivot, ["shingle", "upper"])
-    known = answers.select(F.col("x").alias("pivot"), F.col("y").alias("row"), "overlap").unionByName(
-        answers.select(F.col("y").alias("pivot"), F.col("x").alias("row"), "overlap")
-    )
-    members = staged(
-        members.join(known, ["pivot", "row"], "left").withColumn(
-            "overlap", F.when(F.col("row") == F.col("pivot"), F.col("size")).otherwise(F.col("overlap"))
-        )
-    )
+    members = _open_members(entries, sets, answers.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+    # more pivots for the lists that are still open: as many in a long list as in a short one
+    pivots = None
+    for wanted in PIVOTS:
+        if members.isEmpty():
+            break
+        drawn = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) * F.col("widest") < F.lit(wanted << 30)
+        chosen = members.where(drawn)
+        rows = chosen.select(F.col("row").alias("pivot")).distinct()
+        pivots = rows if pivots is None else pivots.unionByName(rows).distinct()
+        pairs = _met(chosen, members, percent).join(answers.select("x", "y"), ["x", "y"], "left_anti")
+        answers = staged(answers.unionByName(_compared(pairs, sets)))
+        found = answers.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        members = _open_members(entries, sets, found)
+    found = answers.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    if pivots is None or members.isEmpty():
+        return found
+
+    members = staged(members.join(_known(answers, pivots), "row", "left"))
     counts = members.groupBy("shingle", "upper", "component").agg(F.count("*").alias("n"))
     largest = counts.groupBy("shingle", "upper").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
     # the largest component of a list is met only by the others, never by itself
-    others = members.join(largest, ["shingle", "upper"]).where("component <> largest").alias("o")
-    every = members.alias("m")
+    others = members.join(largest, ["shingle", "upper"]).where("component <> largest")
     size_o, size_m = F.col("o.size"), F.col("m.size")
-    needed = _needed(size_o, size_m, percent)
-    room = 1 + F.least(size_o - F.col("o.position") - 1, size_m - F.col("m.position") - 1)
-    by_pivot = F.least("o.overlap", "m.overlap") + F.least(size_o - F.col("o.overlap"), size_m - F.col("m.overlap"))
-    left_over = (
-        others.join(
-            every,
-            (F.col("o.shingle") == F.col("m.shingle")) & (F.col("o.upper") == F.col("m.upper"))
-            & (F.col("o.component") != F.col("m.component"))
-            & (F.col("o.block").eqNullSafe(F.col("o.upper")) | F.col("m.block").eqNullSafe(F.col("m.upper")))
-            & (100 * F.least(size_o, size_m) >= percent * F.greatest(size_o, size_m))
-            & (room >= needed) & F.coalesce(by_pivot >= needed, F.lit(True)),
-        )
-        .select(F.least("o.row", "m.row").alias("x"), F.greatest("o.row", "m.row").alias("y")).distinct()
-    )
-    unseen = left_over.join(answers.select("x", "y"), ["x", "y"], "left_anti")
-    more = _compared(unseen, sets)
-    more = more.where(_links(F.col("overlap"), F.col("x_size"), F.col("y_size"), percent))
+
+    def may_link(pivot: Column) -> Column:
+        o, m = F.try_element_at("o.known", pivot), F.try_element_at("m.known", pivot)
+        enough = F.least(o, m) + F.least(size_o - o, size_m - m) >= _needed(size_o, size_m, percent)
+        return F.coalesce(enough | o.isNull() | m.isNull(), F.lit(True))
+
+    undecided = F.coalesce(F.forall(F.map_keys("o.known"), may_link), F.lit(True))
+    unseen = _met(others, members, percent, undecided).join(answers.select("x", "y"), ["x", "y"], "left_anti")
+    more = _compared(unseen, sets).where(linked)
     return found.unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
