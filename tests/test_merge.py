@@ -199,3 +199,17 @@ def test_constraints(spark):
     found = {r["check"] for r in constraints.violations(bad, co.unionByName(co.where("slug = 'a'"))).collect()}
     assert found == {"duplicate fingerprint", "job without company", "title is null", "region not in domain",
                      "duplicate slug", "duplicate source and id"}
+
+
+def test_constraints_of_all_tables(spark):
+    t = datetime(2024, 1, 1)
+    jobs, co = frame(spark, [stored("f1", "1", "b")], JOB), companies_df(spark, SLUGS)
+    logs = spark.createDataFrame([("r", t, "lever", "ok"), ("r", None, "nowhere", "o" * 41)], "run_id string, started_at timestamp, source string, status string")
+    logs = logs.selectExpr("*", "cast(null as string) AS company_slug", "cast(null as string) AS error_kind")
+    gone = spark.createDataFrame([("f", "t", "s"), ("f", "t", "s"), ("f", "t", "s"), (None, None, None), (None, None, None)], "fingerprint string, title string, source string")
+    state = spark.createDataFrame([("k", "v"), ("k" * 81, None)], "key string, value string")
+    found = {(r["check"], r["n"]) for r in constraints.violations(jobs, co, logs, gone, state).collect()}
+    assert found == {("log started_at is null", 1), ("log source not in domain", 1), ("log status longer than 40", 1),
+                     ("duplicate tombstone", 2), ("tombstone fingerprint is null", 2), ("state key longer than 80", 1),
+                     ("state value is null", 1)}
+    assert constraints.violations(jobs, co, logs.limit(0), gone.limit(0), state.limit(0)).isEmpty()

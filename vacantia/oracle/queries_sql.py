@@ -320,6 +320,47 @@ ORACLES: dict[str, str] = {
  UNION ALL SELECT 'job without company' FROM twice WHERE country = 'Europe'
  UNION ALL SELECT 'duplicate fingerprint' FROM served WHERE country = 'USA') GROUP BY 1"""
     ).replace("\nSELECT \"check\"", ",\ntwice AS (SELECT * FROM served UNION ALL SELECT * FROM served WHERE country = 'USA')\nSELECT \"check\""),
+    "f13_other_tables": """WITH co AS (SELECT
+ CASE s_suppkey % 11 WHEN 1 THEN NULL WHEN 2 THEN repeat('x', 121) ELSE s_name END AS slug,
+ CASE s_suppkey % 11 WHEN 5 THEN NULL WHEN 6 THEN 'nowhere' ELSE 'lever' END AS source,
+ CASE s_suppkey % 11 WHEN 7 THEN NULL WHEN 8 THEN repeat('y', 201) ELSE s_name END AS external_id,
+ s_suppkey % 11 AS a, s_suppkey % 13 AS b FROM supplier),
+lo AS (SELECT o_orderkey AS k, o_orderstatus AS st, o_orderpriority AS pr FROM orders),
+tb AS (SELECT CASE WHEN p_partkey % 31 = 7 THEN repeat('x', 65) WHEN p_partkey % 37 <> 8 THEN sha256(p_name) END AS fp, p_size
+ FROM part),
+st AS (SELECT CASE WHEN c_custkey % 41 = 1 THEN repeat('x', 81) WHEN c_custkey % 43 <> 2 THEN c_mktsegment END AS k,
+ c_custkey % 47 = 3 AS no_value FROM customer)
+SELECT "check", CAST(n AS BIGINT) AS n_violations FROM (
+ SELECT 'company slug is null' AS "check", count(*) AS n FROM co WHERE a = 1
+ UNION ALL SELECT 'company slug longer than 120', count(*) FROM co WHERE a = 2
+ UNION ALL SELECT 'company name is null', count(*) FROM co WHERE a = 3
+ UNION ALL SELECT 'company name longer than 200', count(*) FROM co WHERE a = 4
+ UNION ALL SELECT 'company source is null', count(*) FROM co WHERE a = 5
+ UNION ALL SELECT 'company source not in domain', count(*) FROM co WHERE a = 6
+ UNION ALL SELECT 'company external_id is null', count(*) FROM co WHERE a = 7
+ UNION ALL SELECT 'company external_id longer than 200', count(*) FROM co WHERE a = 8
+ UNION ALL SELECT 'company careers_url longer than 500', count(*) FROM co WHERE a = 9
+ UNION ALL SELECT 'company active is null', count(*) FROM co WHERE a = 10
+ UNION ALL SELECT 'company target_region is null', count(*) FROM co WHERE b = 1
+ UNION ALL SELECT 'company target_region not in domain', count(*) FROM co WHERE b = 2
+ UNION ALL SELECT 'duplicate slug', count(slug) - count(DISTINCT slug) FROM co
+ UNION ALL SELECT 'duplicate source and id', count(*) - count(DISTINCT (source, external_id)) FROM co
+  WHERE source IS NOT NULL AND external_id IS NOT NULL
+ UNION ALL SELECT 'log started_at is null', count(*) FROM lo WHERE k % 17 = 3
+ UNION ALL SELECT 'log source not in domain', count(*) FROM lo WHERE pr = '5-LOW'
+ UNION ALL SELECT 'log company_slug longer than 120', count(*) FROM lo WHERE k % 19 = 4
+ UNION ALL SELECT 'log status longer than 40', count(*) FROM lo WHERE k % 23 = 5
+ UNION ALL SELECT 'log status is null', count(*) FROM lo WHERE k % 23 <> 5 AND st = 'P'
+ UNION ALL SELECT 'log error_kind longer than 80', count(*) FROM lo WHERE k % 29 = 6
+ UNION ALL SELECT 'tombstone fingerprint is null', count(*) FROM tb WHERE fp IS NULL
+ UNION ALL SELECT 'tombstone fingerprint longer than 64', count(*) FROM tb WHERE length(fp) > 64
+ UNION ALL SELECT 'tombstone title longer than 500', count(*) FROM tb WHERE p_size = 9
+ UNION ALL SELECT 'tombstone source longer than 40', count(*) FROM tb WHERE p_size = 10
+ UNION ALL SELECT 'duplicate tombstone', count(fp) - count(DISTINCT fp) FROM tb
+ UNION ALL SELECT 'state key is null', count(*) FROM st WHERE k IS NULL
+ UNION ALL SELECT 'state key longer than 80', count(*) FROM st WHERE length(k) > 80
+ UNION ALL SELECT 'state value is null', count(*) FROM st WHERE no_value
+ UNION ALL SELECT 'duplicate state key', count(k) - count(DISTINCT k) FROM st) WHERE n > 0""",
     "f15_saved_views": served(
         """SELECT 'Active' AS view, fp AS fingerprint FROM served WHERE lifecycle = 'ACTIVE' AND application_status = 'NOT_APPLIED'
  UNION ALL SELECT 'Applied', fp FROM served WHERE application_status = 'APPLIED'

@@ -615,7 +615,50 @@ def _(spark, sf):
         }
     )
     twice = jobs.unionByName(jobs.where("country = 'USA'"))
-    return constraints.violations(twice, _companies(spark)).groupBy("check").agg(F.count("*").alias("n_violations"))
+    return constraints.violations(twice, _companies(spark)).groupBy("check").agg(F.sum("n").alias("n_violations"))
+
+
+@query("f13_other_tables")
+def _(spark, sf):
+    """Violations in companies, run log, tombstones and state derived from other tables and spoilt on purpose."""
+    none, long = F.lit(None).cast("string"), lambda n: F.repeat(F.lit("x"), n)
+    supplier, number = table(spark, sf, "supplier"), F.col("s_suppkey")
+
+    def every(n: int, at: int, bad, good):
+        return F.when(number % n == at, bad).otherwise(good)
+
+    companies = supplier.select(
+        every(11, 1, none, every(11, 2, long(121), F.col("s_name"))).alias("slug"),
+        every(11, 3, none, every(11, 4, long(201), F.col("s_name"))).alias("name"),
+        every(11, 5, none, every(11, 6, F.lit("nowhere"), F.lit("lever"))).alias("source"),
+        every(11, 7, none, every(11, 8, F.repeat(F.lit("y"), 201), F.col("s_name"))).alias("external_id"),
+        every(11, 9, long(501), none).alias("careers_url"),
+        F.when(number % 11 != 10, True).alias("active"),
+        every(13, 1, none, every(13, 2, F.lit("MARS"), F.lit("EGYPT"))).alias("target_region"),
+    )
+    logs = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("run_id"),
+        F.when(F.col("o_orderkey") % 17 != 3, F.col("o_orderdate")).alias("started_at"),
+        F.when(F.col("o_orderpriority") == "5-LOW", "nowhere").when(F.col("o_orderkey") % 2 == 0, "bayt").alias("source"),
+        F.when(F.col("o_orderkey") % 19 == 4, long(121)).otherwise("s").alias("company_slug"),
+        F.when(F.col("o_orderkey") % 23 == 5, long(41)).when(F.col("o_orderstatus") != "P", "ok").alias("status"),
+        F.when(F.col("o_orderkey") % 29 == 6, long(81)).alias("error_kind"),
+    )
+    part = table(spark, sf, "part")
+    tombstones = part.select(
+        F.when(F.col("p_partkey") % 31 == 7, long(65)).when(F.col("p_partkey") % 37 != 8, F.sha2("p_name", 256))
+        .alias("fingerprint"),
+        F.when(F.col("p_size") == 9, long(501)).otherwise(F.col("p_name")).alias("title"),
+        F.when(F.col("p_size") == 10, long(41)).otherwise("lever").alias("source"),
+    )
+    state = table(spark, sf, "customer").select(
+        F.when(F.col("c_custkey") % 41 == 1, long(81)).when(F.col("c_custkey") % 43 != 2, F.col("c_mktsegment"))
+        .alias("key"),
+        F.when(F.col("c_custkey") % 47 != 3, F.col("c_name")).alias("value"),
+    )
+    found = constraints.violations(served(spark, sf), companies, logs, tombstones, state)
+    # here most jobs have no company; the query above counts those
+    return found.where("check <> 'job without company'").groupBy("check").agg(F.sum("n").alias("n_violations"))
 
 
 @query("f15_saved_views")

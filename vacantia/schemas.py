@@ -56,8 +56,35 @@ LANDING = _schema(
     run_id=_s, source=_s, company_slug=_s, kind=_s, ref=_s, page=_i, fetched_at=_ts, payload=_s,
 )
 
-# Longest values of the job table's text columns.
-MAX_LENGTH = {
-    "fingerprint": 64, "external_id": 255, "title": 500, "location": 500, "country": 120,
-    "employment_type": 120, "department": 200, "team": 200, "apply_url": 1000,
-}
+# What columns may hold, as column metadata: longest value, not null, and the names of domains in the lexicon.
+def ruled(schema: T.StructType, lengths: dict[str, int], required: str, domains: dict[str, str] | None = None) -> T.StructType:
+    """The columns of a schema that a rule is about, with the rules as their metadata."""
+    out = []
+    for f in schema.fields:
+        rules = {"length": lengths.get(f.name), "required": f.name in required.split() or None}
+        rules = {k: v for k, v in (rules | {"domain": (domains or {}).get(f.name)}).items() if v is not None}
+        if rules:
+            out.append(T.StructField(f.name, f.dataType, True, rules))
+    return T.StructType(out)
+
+
+JOB_RULES = ruled(
+    JOB,
+    {
+        "fingerprint": 64, "external_id": 255, "title": 500, "location": 500, "country": 120,
+        "employment_type": 120, "department": 200, "team": 200, "apply_url": 1000,
+    },
+    "fingerprint company_slug source external_id title remote apply_url region lifecycle application_status favorite",
+    {
+        "source": "SOURCES", "region": "REGIONS", "lifecycle": "LIFECYCLES", "application_status": "APPLICATION_STATUSES",
+    },
+)
+COMPANY_RULES = ruled(
+    COMPANY, {"slug": 120, "name": 200, "external_id": 200, "careers_url": 500},
+    "slug name source external_id active target_region", {"source": "SOURCES", "target_region": "REGIONS"},
+)
+RUN_LOG_RULES = ruled(
+    RUN_LOG, {"company_slug": 120, "status": 40, "error_kind": 80}, "started_at status", {"source": "SOURCES"}
+)
+TOMBSTONE_RULES = ruled(TOMBSTONE, {"fingerprint": 64, "title": 500, "source": 40}, "fingerprint")
+STATE_RULES = ruled(STATE, {"key": 80}, "key value")
