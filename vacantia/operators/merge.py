@@ -354,6 +354,25 @@ def source_tallies(counters: DataFrame) -> DataFrame:
     )
 
 
+def run_report(counters: DataFrame) -> DataFrame:
+    """Counters of each company, of each source and of the whole run, from one aggregate.
+
+    ``level`` is company, source or run; columns that a level does not go by are null there.
+    Without companies there are no rows.
+    """
+    # a missing source or company is a group of its own, told from a subtotal by the grouping id
+    grouped = counters.rollup("source", "company_slug").agg(
+        F.grouping_id().alias("gid"),
+        F.count("*").alias("companies"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
+        *[F.sum(f"jobs_{c}").alias(c) for c in ("seen", "new", "updated", "closed")],
+    )
+    level = F.when(F.col("gid") == 0, "company").when(F.col("gid") == 1, "source").otherwise("run")
+    return grouped.withColumn("level", level).select(
+        "level", "source", "company_slug", "companies", "failed", "seen", "new", "updated", "closed"
+    )
+
+
 def rescore(jobs: DataFrame, companies: DataFrame, as_of) -> DataFrame:
     """Every job scored anew; ``changed`` where score, confidence or breakdown differ.
 

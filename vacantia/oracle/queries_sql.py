@@ -283,6 +283,11 @@ ORACLES: dict[str, str] = {
     "a03_run_counters": merged(3, M.counters(3)),
     "a03_run_counters_failed": merged(2, M.counters(2)),
     "a04_run_totals": merged(2, f"SELECT count(*) AS companies, {_FAILED}, {_SUM} FROM ({M.counters(2)})"),
+    "a04_run_report": merged(
+        2, f"""SELECT CASE grouping(source, company_slug) WHEN 0 THEN 'company' WHEN 1 THEN 'source' ELSE 'run' END AS level,
+ source, company_slug, count(*) AS companies, {_FAILED}, CAST(sum(jobs_seen) AS BIGINT) AS seen, {_SUM}
+ FROM ({M.counters(2)}) GROUP BY ROLLUP (source, company_slug)"""
+    ),
     "a05_source_tallies": merged(3, f"SELECT source, {_SUM}, {_FAILED} FROM ({M.counters(3)}) GROUP BY source"),
     "m13_rescore_all": merged(
         3, f"SELECT fp AS fingerprint, score, confidence, {why()} FROM scored s",

@@ -476,6 +476,12 @@ def _(spark, sf):
     return merge.run_totals(merge.run_counters(*merged(spark, sf, 2)))
 
 
+@query("a04_run_report")
+def _(spark, sf):
+    """Counters by company, source and run at once."""
+    return merge.run_report(merge.run_counters(*merged(spark, sf, 2)))
+
+
 @query("a05_source_tallies")
 def _(spark, sf):
     return merge.source_tallies(merge.run_counters(*merged(spark, sf, 3)))
