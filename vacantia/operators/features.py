@@ -9,6 +9,7 @@ from .. import lexicon
 from ..functions.patterns import any_of, first_match, fold, found, group, hits, quoted, to_int
 from ..functions.text import company_name_norm, normalize_title, occurrences, section
 from ..session import once_per_session, settled
+from .tiers import with_tier
 
 _CORE = [
     "title_norm", "seniority", "specialization", "required_years", "preferred_years",
@@ -62,14 +63,18 @@ def skills_in(folded: Column, vocabulary=None) -> Column:
     )
 
 
-def company_tier(name: Column) -> Column:
-    """Tier of an employer by name: terms contained in it, then spam and vague wording."""
-    tiers = {tier: quoted(terms) for tier, terms in lexicon.COMPANY_TIERS.items()}
+def company_tier(name: Column, given: Column | None = None) -> Column:
+    """Tier of an employer by name: terms contained in it, then spam and vague wording.
+
+    ``given`` is a tier found otherwise (see ``tiers``), to be taken instead of the terms.
+    """
+    tiers = {tier: quoted(terms) for tier, terms in lexicon.COMPANY_TIERS.items()} if given is None else {}
     norm = company_name_norm(name)
-    return first_match(norm, {**tiers, **lexicon.COMPANY_PATTERNS}.items(), test=lambda t, p: t.rlike("(?U)" + p))
+    found_by = first_match(norm, {**tiers, **lexicon.COMPANY_PATTERNS}.items(), test=lambda t, p: t.rlike("(?U)" + p))
+    return found_by if given is None else F.coalesce(given, found_by)
 
 
-def _layers(vocabulary, banks) -> list[dict[str, Column]]:
+def _layers(vocabulary, banks, tier: Column | None = None) -> list[dict[str, Column]]:
     """Columns to add, layer by layer.
 
     Each layer reads the columns of the one below more than once, so the
@@ -86,7 +91,7 @@ def _layers(vocabulary, banks) -> list[dict[str, Column]]:
         "description_chars": F.length(text),
         "skills_title": skills_in(title, vocabulary),
         "skills_description": skills_in(folded, vocabulary),
-        "company_tier": company_tier(F.col("company_name")),
+        "company_tier": company_tier(F.col("company_name"), tier),
         "keyword_counts": F.array(*[occurrences(folded, k) for k in lexicon.STUFFING_KEYWORDS]),
     }
     for bank, patterns in banks.items():
@@ -114,15 +119,21 @@ def _default_layers() -> list[dict[str, Column]]:
     return _layers(lexicon.SKILLS, lexicon.PHRASE_BANKS)
 
 
-def features(df: DataFrame, vocabulary=None, banks=None) -> DataFrame:
-    """Add FEATURE_COLUMNS to postings (title, description_text, company_name)."""
-    tuned = vocabulary or banks
-    layers = (
-        _layers(vocabulary or lexicon.SKILLS, banks or lexicon.PHRASE_BANKS) if tuned else _default_layers()
-    )
+def features(df: DataFrame, vocabulary=None, banks=None, tiers: DataFrame | None = None) -> DataFrame:
+    """Add FEATURE_COLUMNS to postings (title, description_text, company_name).
+
+    ``tiers`` is a table of terms (see ``tiers``) to be taken for that of the word lists.
+    """
+    if vocabulary or banks or tiers is not None:
+        tier = None if tiers is None else F.col("_tier")
+        layers = _layers(vocabulary or lexicon.SKILLS, banks or lexicon.PHRASE_BANKS, tier)
+    else:
+        layers = _default_layers()
+    if tiers is not None:
+        df = with_tier(df, tiers, "_tier")
     for layer in layers:
         df = df.withColumns(layer)
-    return df.drop("_folded", "_preferred", "_required", "_in_preferred", "_in_required")
+    return df.drop("_folded", "_preferred", "_required", "_in_preferred", "_in_required", "_tier")
 
 
 def skill_map(df: DataFrame) -> DataFrame:

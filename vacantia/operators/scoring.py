@@ -1,8 +1,8 @@
 """Explainable score: rules over features, weighted by region.
 
 A *slot* is a list of rules of which at most one fires, the first whose
-condition holds.  To add a rule, add a slot (or a rule in one); to tune weights,
-pass other strategies.
+condition holds.  To add a rule, add a slot (or a rule in one) here, or lay a table of rules over the
+slots (``rules``); to tune weights, pass other strategies.
 """
 
 from __future__ import annotations
@@ -346,9 +346,10 @@ def _confidence() -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("int")
 
 
-def _triggered(as_of, strategies) -> Column:
-    slots = F.array(*[_fire(slot, strategies) for slot in rule_slots(clock(as_of))])
-    return F.filter(slots, lambda r: r.isNotNull() & (r["final_points"] != 0))
+def _triggered(as_of, strategies, slots=None) -> Column:
+    slots = rule_slots(clock(as_of)) if slots is None else slots
+    fired = F.array(*[_fire(slot, strategies) for slot in slots])
+    return F.filter(fired, lambda r: r.isNotNull() & (r["final_points"] != 0))
 
 
 @once_per_session
@@ -356,11 +357,14 @@ def _default_triggered(as_of: str) -> Column:
     return _triggered(as_of, lexicon.STRATEGIES)
 
 
-def apply_rules(df: DataFrame, as_of, strategies=None) -> DataFrame:
-    """Score parsed postings: adds triggered_rules, raw_score, score, confidence and label."""
-    common = strategies is None and isinstance(as_of, str)
+def apply_rules(df: DataFrame, as_of, strategies=None, slots=None) -> DataFrame:
+    """Score parsed postings: adds triggered_rules, raw_score, score, confidence and label.
+
+    ``slots`` are rules to be taken for those of ``rule_slots``.
+    """
+    common = strategies is None and slots is None and isinstance(as_of, str)
     strategies = strategies or lexicon.STRATEGIES
-    triggered = _default_triggered(as_of) if common else _triggered(as_of, strategies)
+    triggered = _default_triggered(as_of) if common else _triggered(as_of, strategies, slots)
     df = df.withColumn("triggered_rules", settled(triggered))
     # summed in rule order, so that halves round the same way everywhere
     raw = F.aggregate("triggered_rules", F.lit(0.0), lambda acc, r: acc + r["final_points"])
@@ -371,12 +375,13 @@ def apply_rules(df: DataFrame, as_of, strategies=None) -> DataFrame:
     return df.withColumns({"quality_label": quality_label(F.col("score")), "strategy": strategy})
 
 
-def score(df: DataFrame, as_of, strategies=None) -> DataFrame:
+def score(df: DataFrame, as_of, strategies=None, slots=None, **tuned) -> DataFrame:
     """Postings to scored postings; the features used on the way are dropped.
 
     Needs title, description_text, remote, country, region, posted_at and company_name.
+    ``tuned`` are vocabulary, banks and tiers of ``features``.
     """
-    return apply_rules(features(df), as_of, strategies).drop(*FEATURE_COLUMNS)
+    return apply_rules(features(df, **tuned), as_of, strategies, slots).drop(*FEATURE_COLUMNS)
 
 
 def score_only(df: DataFrame, as_of, *ids: str, strategies=None) -> DataFrame:

@@ -32,6 +32,22 @@ def featured(select: str) -> str:
     return S.with_(S.POSTINGS, _SRC, *S.feature_ctes("src"), select=select)
 
 
+def own_tiers(select: str) -> str:
+    """Postings of the customers; employer tiers by parts of the suppliers' names."""
+    tiers = "CASE s_nationkey % 4 " + " ".join(f"WHEN {i} THEN {S.q(t)}" for i, t in enumerate(L.COMPANY_TIERS)) + " END"
+    ctes = [
+        S.POSTINGS,
+        f"""named AS (SELECT p.* REPLACE (CASE WHEN doc_id % 3 > 0 THEN c_name ELSE company_name END AS company_name)
+ FROM postings p LEFT JOIN customer ON c_custkey = doc_id)""",
+        f"""own AS (SELECT s_nationkey % 4 AS place, {tiers} AS tier,
+ CASE WHEN s_suppkey % 3 = 0 THEN right(s_name, 2) ELSE right(s_name, 4) END AS term FROM supplier)""",
+        f"names AS (SELECT DISTINCT {S.name_norm()} AS name FROM named WHERE company_name IS NOT NULL)",
+        "met AS (SELECT name, arg_min(tier, place) AS own_tier FROM names JOIN own ON contains(name, term) GROUP BY name)",
+        f"src AS (SELECT p.*, doc_id AS k, {S.country()} AS country, own_tier FROM named p LEFT JOIN met ON name = {S.name_norm()})",
+    ]
+    return S.with_(*ctes, *S.score_ctes("src", given_tier="own_tier"), select=select)
+
+
 def scored(select: str, as_of: str = AS_OF) -> str:
     return S.with_(S.POSTINGS, _SRC, *S.score_ctes("src", as_of=as_of), select=select)
 
@@ -218,6 +234,12 @@ ORACLES: dict[str, str] = {
  WHEN region <> 'EGYPT' AND name = 'seniority_junior' THEN 0.5 ELSE 1.0 END) AS points
  FROM rules JOIN src USING (k) WHERE NOT (region = 'EGYPT' AND name = 'stack_java_title') GROUP BY name"""
     ),
+    "g02_extra_rule": S.with_(
+        S.POSTINGS, _SRC, *S.score_ctes("src", rules=list(S.own_rule_rows())),
+        select="""SELECT doc_id, score, raw_score, coalesce((SELECT string_agg(name || '|' || final_points::VARCHAR || '|' || reason,
+ ' ; ' ORDER BY n) FROM rules r WHERE r.k = s.k AND final_points <> 0), '') AS rules FROM scored s""",
+    ),
+    "g04_own_tiers": own_tiers("SELECT doc_id, company_tier AS tier, score, raw_score FROM scored"),
     "x18_quality_label": scored("SELECT quality_label, count(*) AS n_postings FROM scored GROUP BY 1"),
     "x20_breakdown_json": scored(f"SELECT doc_id, score, confidence, {why()} FROM scored s"),
     "p05_summary": scored(

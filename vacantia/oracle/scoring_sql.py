@@ -123,10 +123,16 @@ def count(text: str, pattern: str) -> str:
     return f"len(regexp_extract_all({text}, {q(pattern)}))"
 
 
-def tier(name="company_name") -> str:
-    norm = f"regexp_replace(lower(trim({name})), '[^a-z0-9. ]', '', 'g')"
+def name_norm(name="company_name") -> str:
+    return f"regexp_replace(lower(trim({name})), '[^a-z0-9. ]', '', 'g')"
+
+
+def tier(name="company_name", given: str | None = None) -> str:
+    """``given`` is a tier found otherwise, taken instead of the terms."""
+    norm = name_norm(name)
     pairs = [(f"coalesce({name}, '') = ''", "'unknown'")]
-    pairs += [(contains_any(norm, terms), q(t)) for t, terms in L.COMPANY_TIERS.items()]
+    pairs += [(contains_any(norm, terms), q(t)) for t, terms in L.COMPANY_TIERS.items()] if given is None else [
+        (f"{given} IS NOT NULL", given)]
     pairs += [(matches(norm, p), q(t)) for t, p in L.COMPANY_PATTERNS.items()]
     return case(pairs, "'unknown'")
 
@@ -135,7 +141,7 @@ def occurrences(text: str, word: str) -> str:
     return f"((length({text}) - length(replace({text}, {q(word)}, ''))) // {len(word)})"
 
 
-def feature_ctes(src: str, p: str = "") -> list[str]:
+def feature_ctes(src: str, p: str = "", given_tier: str | None = None) -> list[str]:
     """CTEs ``{p}feat`` over a relation with key ``k`` and the scoring inputs."""
     t, tn = "t", "title_norm"
     seniority = case(
@@ -161,7 +167,7 @@ def feature_ctes(src: str, p: str = "") -> list[str]:
  {case([(matches(tn, pat), q(s)) for s, pat in L.SPECIALIZATION], "'unknown'")} AS specialization,
  length(coalesce(description_text, '')) AS description_chars,
  {skill_list(tn)} AS skills_title, {skill_list(t)} AS skills_description,
- {tier()} AS company_tier, {banks}, {stuffing} FROM {p}f1)""",
+ {tier(given=given_tier)} AS company_tier, {banks}, {stuffing} FROM {p}f1)""",
         f"""{p}f3 AS MATERIALIZED (SELECT *,
  CASE WHEN hard IS NULL AND soft IS NULL AND range_min IS NULL THEN generic ELSE hard END AS required_years,
  soft AS preferred_years,
@@ -315,6 +321,21 @@ def rule_rows(as_of: str = AS_OF):
         earlier += f" AND n_{w} < 8"
 
 
+def own_rule_rows():
+    """The rules with those of query g02 laid over them."""
+    wide = "len(skills)"
+    for row in rule_rows():
+        if row[0] == "stack_kafka":
+            yield "stack_kafka", "stack", 6, q("Kafka wanted"), _has("kafka", "skills_required")
+        elif row[0] != "stack_redis":
+            yield row
+        if row[0] == "seniority_intern":
+            yield "seniority_open", "seniority", -1, q("Level not told"), "seniority = 'unknown'"
+    yield "stack_wide", "stack", f"least({wide} - 5, 4)", f"'Wide stack (' || {wide} || ' skills)'", f"{wide} >= 6"
+    yield "text_long", "quality", 3, "'Long text: ' || description_chars", "description_chars > 2500"
+    yield "text_medium", "quality", 1, q("Some text"), "description_chars BETWEEN 1001 AND 2500"
+
+
 def _weight(name: str) -> str:
     eg, intl = L.STRATEGIES["EGYPT"].get(name, 1.0), L.STRATEGIES["INTERNATIONAL"].get(name, 1.0)
     return f"CASE WHEN region = 'EGYPT' THEN CAST({eg} AS DOUBLE) ELSE CAST({intl} AS DOUBLE) END"
@@ -323,14 +344,14 @@ def _weight(name: str) -> str:
 LABEL = case([(f"score >= {low}", q(label)) for low, label in L.QUALITY_LABELS[:-1]], q(L.QUALITY_LABELS[-1][1]))
 
 
-def score_ctes(src: str, p: str = "", as_of: str = AS_OF) -> list[str]:
+def score_ctes(src: str, p: str = "", as_of: str = AS_OF, rules=None, given_tier: str | None = None) -> list[str]:
     """CTEs up to ``{p}scored`` (the features, raw_score, score, confidence, quality_label)."""
     rows = " UNION ALL ".join(
         f"SELECT k, {i} AS n, {q(name)} AS name, {q(cat)} AS category, CAST({pts} AS DOUBLE) AS base_points, "
         f"CAST({pts} AS DOUBLE) * {_weight(name)} AS final_points, {why} AS reason FROM {p}feat WHERE {cond}"
-        for i, (name, cat, pts, why, cond) in enumerate(rule_rows(as_of))
+        for i, (name, cat, pts, why, cond) in enumerate(rules or rule_rows(as_of))
     )
-    return feature_ctes(src, p) + [
+    return feature_ctes(src, p, given_tier) + [
         f"{p}rules AS MATERIALIZED ({rows})",
         f"""{p}sums AS (SELECT k, sum(final_points ORDER BY n) AS raw,
  count(*) FILTER (final_points > 0) AS ups, count(*) FILTER (final_points < 0) AS downs FROM {p}rules GROUP BY k)""",

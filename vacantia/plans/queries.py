@@ -17,7 +17,7 @@ from .. import lexicon
 from ..functions import keys, text, times
 from ..functions.patterns import fold
 from ..operators import actions as acts
-from ..operators import constraints, features, filters, merge, ordered, scoring, serving
+from ..operators import constraints, features, filters, merge, ordered, rules, scoring, serving
 from ..operators.jobtable import JobTable
 from ..session import checkpoint_dir, pin_utc, spread, staged
 from ..schemas import BREAKDOWN
@@ -271,6 +271,43 @@ def _(spark, sf):
     return rows.groupBy("name").agg(F.count("*").alias("n_rules"), F.sum("final_points").alias("points"))
 
 
+# rules laid over the given ones: one changed, one out, one more in a slot, one alone, two that exclude each other
+OWN_RULES = [
+    (1, "stack_kafka", "stack", "array_contains(skills_required, 'kafka')", "6", "'Kafka wanted'", None),
+    (2, "stack_redis", None, None, None, None, None),
+    (3, "seniority_open", "seniority", "seniority = 'unknown'", "-1", "'Level not told'", "seniority_intern"),
+    (4, "stack_wide", "stack", "size(skills) >= 6", "least(size(skills) - 5, 4)",
+     "concat('Wide stack (', size(skills), ' skills)')", None),
+    (6, "text_medium", "quality", "description_chars > 1000", "1", "'Some text'", "text_size"),
+    (5, "text_long", "quality", "description_chars > 2500", "3", "concat('Long text: ', description_chars)", "text_size"),
+]
+
+
+@query("g02_extra_rule")
+def _(spark, sf):
+    """All postings scored with a table of rules over the given ones; every rule that fires, in order."""
+    own = rules.slots(spark.createDataFrame(OWN_RULES, rules.RULES), scoring.rule_slots(times.clock(AS_OF)))
+    rows = scoring.score(placed(worked(spark, sf)), AS_OF, slots=own)
+    said = F.transform("triggered_rules", lambda r: F.concat_ws("|", r["name"], r["final_points"].cast("string"), r["reason"]))
+    return rows.select("doc_id", "score", "raw_score", F.array_join(said, " ; ").alias("rules"))
+
+
+@query("g04_own_tiers")
+def _(spark, sf):
+    """Postings of the customers, scored with employer tiers by parts of the suppliers' names."""
+    part = F.when(F.col("s_suppkey") % 3 == 0, F.substring("s_name", -2, 2)).otherwise(F.substring("s_name", -4, 4))
+    place = (F.col("s_nationkey") % 4).cast("int")
+    own = table(spark, sf, "supplier").select(
+        place.alias("place"), F.element_at(F.array(*map(F.lit, lexicon.COMPANY_TIERS)), place + 1).alias("tier"), part.alias("term")
+    )
+    names = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("own"))
+    given = placed(worked(spark, sf)).join(names, "doc_id", "left")
+    # a third keep their names
+    given = given.withColumn("company_name", F.when(F.col("doc_id") % 3 > 0, F.col("own")).otherwise(F.col("company_name")))
+    rows = scoring.apply_rules(features.features(given, tiers=own), AS_OF)
+    return rows.select("doc_id", F.col("company_tier").alias("tier"), "score", "raw_score")
+
+
 @query("x18_quality_label")
 def _(spark, sf):
     return scored(spark, sf).groupBy("quality_label").agg(F.count("*").alias("n_postings"))
