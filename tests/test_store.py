@@ -87,6 +87,34 @@ def test_deltas_hold_what_changed_and_add_up(spark, tmp_path):
     assert store.jobs().columns == JOB.names and set(texts_of(store.jobs(1))) == set(fp)
 
 
+def test_a_lookup_opens_one_file_a_folder_and_version(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), deltas=2)
+    assert store.lookup("none").count() == 0 and store.lookup("none").columns == JOB.names
+    first = run(spark, JobTable.empty(spark), listed(60))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many files as many rows would make
+    try:
+        store.commit_delta(first.delta, first.texts, "r1", "all", AS_OF)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    fp = fingerprints(spark, [f"k{i}" for i in range(60)])
+    all_files = store.table().state.inputFiles()
+    assert len(all_files) > 3
+    by_key = {k: store.files_of([f]) for k, f in fp.items()}
+    assert {len(files) for files in by_key.values()} == {1} and len({f for files in by_key.values() for f in files}) == len(all_files)
+    assert len(store.lookup(fp["k7"], ["fingerprint", "title"]).inputFiles()) == 1
+    gone = store.table().state.where(F.col("fingerprint") == fp["k7"]).withColumn("deleted", F.lit(True))
+    store.commit_delta(gone, None, "b1", "actions", AS_OF)
+    store.commit_delta(gone.limit(0), None, "b2", "actions", AS_OF)  # a version without rows
+    assert len(store.files_of([fp["k7"]])) == 2 and store.lookup(fp["k7"]).count() == 0
+    assert store.lookup(fp["k7"], version=1).count() == 1
+    want = store.jobs().where(F.col("fingerprint").isin(fp["k3"], fp["k5"])).select(*JOB.names)
+    got = store.lookup([fp["k5"], fp["k3"], fp["k7"], "zz"])
+    assert texts_of(got) == texts_of(want) and len(texts_of(got)) == 2
+    assert got.select(*[c for c in JOB.names if c != "score_breakdown"]).exceptAll(
+        want.select(*[c for c in JOB.names if c != "score_breakdown"])
+    ).isEmpty()
+
+
 def test_the_entry_works_without_the_training_data_operators(tmp_path):
     """Also where an empty folder is left of them."""
     (tmp_path / "__spark_entry__.py").symlink_to(check_oracles.ROOT / "__spark_entry__.py")

@@ -452,6 +452,10 @@ FROM served s JOIN companies c ON c.slug = s.company_slug"""
  'lever' AS source, 'EGYPT' AS target_region, s_suppkey % 5 <> 0 OR s_suppkey % 2 = 0 AS active,
  CASE WHEN s_suppkey % 5 <> 0 THEN 0 END AS n_config FROM supplier WHERE s_suppkey % 3 <> 0 OR s_suppkey % 5 <> 0""",
     "k01_commit": merged(2, _STATE.replace("jobs3", "jobs2").replace("SELECT", "SELECT 2 AS version,", 1)),
+    "s15_stored_lookup": merged(
+        2, """SELECT fp AS fingerprint, source, title, description_text, lifecycle FROM jobs2
+ WHERE fp IN (SELECT min(fp) FROM jobs2 GROUP BY source)"""
+    ),
     "k02_run_log": merged(
         2, f"SELECT '2' AS run_id, company_slug, source, status, jobs_seen, jobs_new, jobs_updated, jobs_closed FROM ({M.counters(2)})"
     ),

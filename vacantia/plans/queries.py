@@ -938,6 +938,14 @@ def _(spark, sf):
     return _state(store.jobs()).withColumn("version", F.lit(store.current()))
 
 
+@query("s15_stored_lookup")
+def _(spark, sf):
+    """The job of the least key of every source, with its text, from the files that may hold it."""
+    store = _stored(spark, sf)
+    keys = store.table().state.groupBy("source").agg(F.min("fingerprint").alias("key"))  # a key for each of the sources
+    return store.lookup([r["key"] for r in keys.collect()], ["fingerprint", "source", "title", "description_text", "lifecycle"])
+
+
 @query("k02_run_log")
 def _(spark, sf):
     """The log read back: a replay replaces its lines, a run that is not committed shows none."""
