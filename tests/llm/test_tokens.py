@@ -126,6 +126,19 @@ def test_added_tokens(spark, tmp_path):
     assert len(tokenizer.encode(end, add_special_tokens=False).ids) == 1
 
 
+def test_ids_that_do_not_fit_are_errors(tmp_path):
+    for wide, largest in ((False, 65_535), (True, 70_000)):
+        place = str(tmp_path / f"wide-{wide}")
+        writer = token_files.TokenWriter(place, token_files.Layout(sequence=4, rows=2, wide=wide))
+        writer.add(np.array([1, largest], np.int64))
+        if not wide:
+            with pytest.raises(ValueError):
+                writer.add(np.array([65_536], np.int64))
+        writer.add(np.array([], np.int64))
+        writer.close()
+        assert token_files.TokenFile(place).reader.get_batch(0)["ids"].to_pylist()[0][:2] == [1, largest]
+
+
 def test_no_documents_no_files(spark):
     manifest = token_files.write(docs(spark, []).limit(0), P.path("byte_bpe_50k.json"), 2)
     assert manifest.count() == 0 and token_files.read_documents(spark, manifest, len, "n long").count() == 0

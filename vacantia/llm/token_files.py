@@ -39,7 +39,8 @@ MANIFEST = "part int, seq int, file string, n_ids long, doc_id array<long>, n_to
 @dataclass(frozen=True)
 class Layout:
     """``sequence`` ids make a row, ``rows`` rows a record batch; a file ends with the document
-    that brings it to ``file_ids`` ids.  ``wide`` stores 32-bit ids, else 16-bit."""
+    that brings it to ``file_ids`` ids.  ``wide`` stores 32-bit ids, else 16-bit;
+    an id that does not fit is an error."""
 
     sequence: int = 2048
     rows: int = 128
@@ -108,6 +109,8 @@ class TokenWriter:
         self.n_ids = 0
 
     def add(self, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) > np.iinfo(self.dtype).max:
+            raise ValueError(f"id {ids.max()} does not fit {self.dtype.__name__}: write with wide=True")
         self.held.append(ids.astype(self.dtype))
         self.n_held += len(ids)
         self.n_ids += len(ids)
