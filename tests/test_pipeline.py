@@ -241,6 +241,13 @@ def test_wellfound_any_depth(spark):
     assert embedded.wellfound(land(spark, "wellfound", page.replace("}", "", 1))).count() == 0
 
 
+def test_wellfound_pages_reach_python_in_small_batches(spark, capsys):
+    """An Arrow batch would be 10,000 pages and all their objects at once."""
+    embedded.wellfound(land(spark, "wellfound", "<html>")).explain()
+    plan = capsys.readouterr().out
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
 def test_nothing_captured_is_a_failure(spark):
     got = landing.run_status(payloads.companies(spark), land(spark, "greenhouse", "{}").withColumn("company_slug", F.lit("stripe")))
     assert {r["slug"] for r in got.where("status = 'ok'").collect()} == {"stripe"}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,27 +16,27 @@ from .landing import filled, listings, observed
 _BLOB = r'(?s)<script id="__NEXT_DATA__" type="application/json">(.*?)</script>'
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _objects_with_title(blobs: pd.Series) -> pd.Series:
-    """Every JSON object that has a title, outer before inner; none when unreadable."""
-
-    def walk(text):
-        try:
-            todo = [json.loads(text)]
-        except (TypeError, ValueError):
-            return []
-        out = []
-        while todo:
-            node = todo.pop()
-            if isinstance(node, dict):
-                if node.get("title"):
-                    out.append(json.dumps(node, ensure_ascii=False))
-                todo.extend(reversed(node.values()))
-            elif isinstance(node, list):
-                todo.extend(reversed(node))
-        return out
-
-    return blobs.map(walk)
+@F.udf(T.ArrayType(T.StringType()), useArrow=False)
+def _objects_with_title(blob):
+    """Every JSON object that has a title, outer before inner; none when unreadable.
+
+    Row by row, in the small batches of a plain function: an Arrow batch of 10,000 pages is all
+    their blobs and objects at once, in the memory of the Python beside the executor.
+    """
+    try:
+        todo = [json.loads(blob)]
+    except (TypeError, ValueError):
+        return []
+    out = []
+    while todo:
+        node = todo.pop()
+        if isinstance(node, dict):
+            if node.get("title"):
+                out.append(json.dumps(node, ensure_ascii=False))
+            todo.extend(reversed(node.values()))
+        elif isinstance(node, list):
+            todo.extend(reversed(node))
+    return out
 
 
 def _field(name: str) -> Column:
