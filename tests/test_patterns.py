@@ -91,3 +91,25 @@ def test_times(spark):
     df = spark.createDataFrame([(t,) for t in want], "t string")
     out = df.select("t", F.date_format(times.parse_dt(F.col("t")), "yyyy-MM-dd HH:mm:ss")).collect()
     assert {r[0]: r[1] for r in out} == want
+
+
+def test_gates_by_what_is_seen_change_no_result(spark):
+    """Literals looked for once by their anchors, alternatives counted alone: as with everything tried on the text."""
+    pieces = [
+        "maintain legacy system", "legacy code", "legacy", "visa sponsorship", "sponsor visa", "cobol", "maintain  legacy",
+        "jsp", "help desk", "it support", "api platform", "platform team", "scalable problems", "!!", "go", "golang",
+        "java", "javascript", "must have", "nice to have", "3 years of experience", "2-4 yrs", "engineer", "x",
+    ]
+    rows = [(" ".join(pieces[(i * k + j) % len(pieces)] for k in range(1, 2 + i % 6)),) for i in range(24) for j in (0, 5)]
+    df = spark.createDataFrame([*rows, ("",)], "t string")
+    gated = [p for ps in [*lexicon.SKILLS.values(), *lexicon.PHRASE_BANKS.values()] for p in ps]
+    df = df.withColumn("seen", patterns.held(F.col("t"), gated, lexicon.REQUIRED_HEADINGS))
+    t, seen = F.col("t"), F.col("seen")
+    for bank, ps in lexicon.PHRASE_BANKS.items():
+        whole = F.regexp_count(t, F.lit(patterns.UNICODE + patterns.any_of(ps)))
+        assert df.where(patterns.hits_any(t, ps, seen) != whole).collect() == [], bank
+    for skill, ps in lexicon.SKILLS.items():
+        whole = t.rlike(patterns.UNICODE + patterns.any_of(ps))
+        assert df.where(patterns.found_any(t, ps, seen) != whole).collect() == [], skill
+    for word in lexicon.REQUIRED_HEADINGS:
+        assert df.where(t.contains(word) & ~patterns.holds(t, word, seen)).collect() == []

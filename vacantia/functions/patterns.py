@@ -12,7 +12,8 @@ import re
 import sys
 import unicodedata
 from functools import lru_cache, reduce
-from operator import and_, or_
+from operator import add, and_, or_
+from os.path import commonprefix
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +32,11 @@ CASELESS = "(?iU)"
 _FOLD_FROM, _FOLD_TO = "ıſK", "isk"
 
 _MIN_GATE = 2
+_HANDFUL = 5
+
+# Letters from frequent to rare; words are looked for from one of the rare ones on.
+_LETTERS = "etaoinsrhldcumfpgwybvkxjqz"
+_RARE, _MIN_ANCHOR = _LETTERS.index("c"), 4
 
 # Decimal digits of every script, and their ASCII value by rule.
 _DIGITS = [c for c in map(chr, range(128, 0x10000)) if unicodedata.category(c) == "Nd"]
@@ -111,29 +117,139 @@ def gate_literals(pattern: str) -> tuple[tuple[str, ...], ...]:
     return tuple(sorted(useful, key=lambda s: (-_shortest(s), s))[:2])
 
 
-def _gate(folded: Column, pattern: str) -> Column | None:
-    any_of_set = [reduce(or_, (folded.contains(w) for w in s)) for s in gate_literals(pattern)]
+def _trie(words, handful: int = 0) -> str:
+    """Pattern of the longest of the words that starts at a place."""
+    after = {}
+    for w in words:
+        after.setdefault(w[:1], []).append(w[1:])
+    end = after.pop("", None)
+    if not after:
+        return ""
+
+    def side(c: str) -> str:
+        common = commonprefix(after[c])
+        return re.escape(c + common) + _trie([w[len(common) :] for w in after[c]])
+
+    letters = sorted(after)
+    sides = [side(c) for c in letters]
+    if handful:  # letters by the handful, so that most places are left after a few looks
+        cuts = range(0, len(letters), handful)
+        sides = [rf"{_one_of(letters[i : i + handful])}(?:{'|'.join(sides[i : i + handful])})" for i in cuts]
+    return f"(?:{'|'.join(sides)}){'' if end is None else '?'}"
+
+
+def _one_of(letters) -> str:
+    return f"(?=[{''.join(map(re.escape, letters))}])"
+
+
+def held(text: Column, patterns, words=()) -> Column:
+    """What a folded text holds of the words and of the literals that gate the patterns, a line each.
+
+    Each stands by its anchor.  Two passes over the text, for rare and for frequent first letters,
+    find at every place the longest anchor; a shorter one that is there lies inside a line.  Gates look here (``seen``) instead of
+    scanning the text for each.
+    """
+    literals = {_anchor(w) for p in patterns for s in _seen_literals(p) for w in s} | set(map(_anchor, words))
+    common = sorted(w for w in literals if _rarity(w[0]) < _RARE)
+    lines = []
+    for some in (sorted(literals.difference(common)), common):
+        if some:
+            starts = _one_of(sorted({w[0] for w in some}))
+            at = F.regexp_extract_all(text, F.lit(f"{starts}(?=({_trie(some, _HANDFUL)}))"), F.lit(1))
+            lines.append(F.array_join(F.array_distinct(at), "\n"))
+    return F.concat_ws("\n", *lines)
+
+
+def _seen_literals(pattern: str) -> tuple[tuple[str, ...], ...]:
+    """Those of ``gate_literals`` that are looked for; sets with frequent starts only where there is no other."""
+    sets = gate_literals(pattern)
+    rare = tuple(s for s in sets if all(_rarity(_anchor(w)[0]) >= _RARE for w in s))
+    return rare or sets[:1]
+
+
+def _rarity(c: str) -> int:
+    return _LETTERS.index(c) if c in _LETTERS else -1 if c.isspace() else len(_LETTERS)
+
+
+@lru_cache(maxsize=None)
+def _anchor(word: str) -> str:
+    """What is looked for instead of a word: its end from its rarest letter on, if that is long enough.
+
+    Who holds the word holds it too, and most places of a text are passed by at a glance.
+    """
+    starts = [0, *range(1, len(word) - _MIN_ANCHOR + 1)]
+    return word[max(starts, key=lambda i: (_rarity(word[i]), -i)) :]
+
+
+def holds(text: Column, word: str, seen: Column | None = None) -> Column:
+    """Whether a text holds a word; by what is seen of it, whether it may."""
+    return text.contains(word) if seen is None else seen.contains(_anchor(word))
+
+
+def _gate(folded: Column, pattern: str, seen: Column | None = None) -> Column | None:
+    sets = gate_literals(pattern) if seen is None else _seen_literals(pattern)
+    any_of_set = [reduce(or_, (holds(folded, w, seen) for w in s)) for s in sets]
     return reduce(and_, any_of_set) if any_of_set else None
 
 
-def found(folded: Column, pattern: str) -> Column:
-    """Whether the pattern occurs in a folded text."""
+def found(folded: Column, pattern: str, seen: Column | None = None) -> Column:
+    """Whether the pattern occurs in a folded text; ``seen`` is what it holds (see ``held``), if known."""
     hit = folded.rlike(UNICODE + pattern)
-    gate = _gate(folded, pattern)
+    gate = _gate(folded, pattern, seen)
     return hit if gate is None else gate & hit
 
 
-def hits(folded: Column, pattern: str) -> Column:
+def hits(folded: Column, pattern: str, seen: Column | None = None) -> Column:
     """Number of non-overlapping matches in a folded text; 0 for null."""
     n = F.regexp_count(folded, F.lit(UNICODE + pattern))
-    gate = _gate(folded, pattern)
+    gate = _gate(folded, pattern, seen)
     return F.coalesce(n if gate is None else F.when(gate, n), F.lit(0))
 
 
-def group(folded: Column, pattern: str, idx: int = 1) -> Column:
+def found_any(folded: Column, patterns, seen: Column | None = None) -> Column:
+    """``found`` of any of the patterns, each behind its own gate."""
+    return reduce(or_, [found(folded, p, seen) for p in patterns])
+
+
+def _starts(tree) -> set[str] | None:
+    """The characters that a match can start with; None where that is not told by literals."""
+    for op, arg in tree:
+        if op is _sc.LITERAL:
+            return {chr(arg)}
+        if op is _sc.AT:  # zero width
+            continue
+        if op is _sc.IN and all(o is _sc.LITERAL for o, _ in arg):
+            return {chr(c) for _, c in arg}
+        sides = arg[1] if op is _sc.BRANCH else [arg[-1]] if op is _sc.SUBPATTERN else []
+        starts = [_starts(side) for side in sides]
+        return set().union(*starts) if starts and None not in starts else None
+    return None
+
+
+def _quick(pattern: str) -> str:
+    """The pattern behind a look at its first character, where that is one of few."""
+    starts = None if _sp is None else _starts(_sp.parse(pattern))
+    return pattern if starts is None else f"{_one_of(sorted(starts))}(?:{pattern})"
+
+
+def hits_any(folded: Column, patterns, seen: Column) -> Column:
+    """``hits`` of the alternatives taken together.
+
+    All at once they are tried at every place.  Where the gates leave one that can be there, it
+    alone is counted.
+    """
+    count = lambda p: F.regexp_count(folded, F.lit(UNICODE + p))
+    gates = [F.lit(True) if gate is None else gate for gate in (_gate(folded, p, seen) for p in patterns)]
+    can_be = reduce(add, [gate.cast("int") for gate in gates])
+    alone = reduce(lambda chain, gp: chain.when(gp[0], count(gp[1])), zip(gates, patterns), F)
+    n = F.when(can_be == 1, alone).when(can_be > 1, count(_quick(any_of(patterns))))
+    return F.coalesce(n, F.lit(0))
+
+
+def group(folded: Column, pattern: str, idx: int = 1, seen: Column | None = None) -> Column:
     """A group of the first match, '' without one."""
     got = F.regexp_extract(folded, UNICODE + pattern, idx)
-    gate = _gate(folded, pattern)
+    gate = _gate(folded, pattern, seen)
     return got if gate is None else F.when(gate, got).otherwise("")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicon
-from .patterns import CASELESS, let, strip
+from .patterns import CASELESS, holds, let, strip
 
 # Named entities by rule from the standard library.
 _HTML4 = {name: chr(cp) for name, cp in html.entities.name2codepoint.items()}
@@ -103,16 +103,17 @@ def normalize_title(title: Column) -> Column:
     return F.lower(collapse(F.regexp_replace(t, r"[()\[\]]", " ")))
 
 
-def section(text: Column, headings, chars: int = lexicon.SECTION_CHARS) -> Column:
+def section(text: Column, headings, chars: int = lexicon.SECTION_CHARS, seen: Column | None = None) -> Column:
     """The text from the first heading on, at most ``chars`` long; null without a heading."""
-    at = F.least(*[F.nullif(F.instr(text, h), F.lit(0)) for h in headings])
+    place = lambda h: F.nullif(F.instr(text, h), F.lit(0))
+    at = F.least(*[place(h) if seen is None else F.when(holds(text, h, seen), place(h)) for h in headings])
     return F.substring(text, at, F.lit(chars))
 
 
-def occurrences(text: Column, word: str) -> Column:
+def occurrences(text: Column, word: str, seen: Column | None = None) -> Column:
     """Non-overlapping occurrences of a literal."""
     gone = F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))
-    return F.when(text.contains(word), (gone / len(word)).cast("int")).otherwise(0)
+    return F.when(holds(text, word, seen), (gone / len(word)).cast("int")).otherwise(0)
 
 
 def company_name_norm(name: Column) -> Column:
