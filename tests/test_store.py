@@ -127,3 +127,12 @@ def test_the_entry_works_without_the_training_data_operators(tmp_path):
     out = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
     assert out.stdout.split()[1] == "[]" and int(out.stdout.split()[0]) > 100
+
+
+def test_texts_are_sifted_also_by_very_many_keys(spark):
+    """More keys than a broadcast of whole keys may hold: texts that nobody asked for are still left out."""
+    n = jobtable.BROADCAST_ROWS + 5
+    keys = spark.range(n).select(F.concat(F.lit("t"), "id").alias("title"), F.col("id").cast("string").cast("binary").alias("pair"))
+    asked = spark.range(n - 3, n + 4).select("id", F.concat(F.lit("t"), "id").alias("title"), F.col("id").cast("string").cast("binary").alias("pair"))
+    got = jobtable.sifted(asked, keys, ["title", "pair"])
+    assert sorted(r["id"] for r in got.collect()) == [n - 3, n - 2, n - 1]

@@ -50,6 +50,8 @@ STATE = T.StructType(
     + [T.StructField(f"{p}_ref", T.StringType()) for p in WIDE.values()]
     + [T.StructField("features", FEATURES)]
 )
+#: So many hashes of keys are broadcast (see ``sifted``).
+SIFTED_ROWS = 2_000_000
 TEXTS = T.StructType([T.StructField("ref", T.StringType())] + [T.StructField(c, T.StringType()) for c in WIDE])
 
 
@@ -73,12 +75,14 @@ def keys_and_refs(ref: Column) -> list[Column]:
 def sifted(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """``df`` without rows outside ``keys``, as far as that needs no shuffle of ``df``.
 
-    More keys than can be broadcast filter nothing: who joins the result loses no row, and
-    works on more than was needed.
+    Keys are told by a hash of 64 bits, so that a broadcast of them is small; a row outside
+    that has the hash of a key stays.  More keys than can be broadcast filter nothing: who joins
+    the result loses no row, and works on more than was needed.
     """
-    if keys.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+    if keys.count() > SIFTED_ROWS:
         return df
-    return df.join(F.broadcast(keys.select(*on)), list(on), "left_semi")
+    hashes = keys.select(F.xxhash64(*on).alias("sifted_hash"))
+    return df.join(F.broadcast(hashes), F.xxhash64(*on) == F.col("sifted_hash"), "left_semi")
 
 
 @dataclass(frozen=True)
