@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 
 from vacantia.llm import batches, decontaminate, jaccard_join, line_dedup, suffix_repeats
@@ -42,6 +43,22 @@ def test_repeats(spark, seed):
     assert all(sum(x.n for x in r.removed) == r.n_removed for r in got)
 
 
+def test_leaves_are_narrow():
+    """Ascending codes and ids cost less than their width; extremes come back as they were."""
+    pick = np.random.default_rng(1)
+    codes = np.sort(pick.integers(0, 1 << 32, 5000, dtype=np.uint32))
+    codes[[0, -1]] = 0, (1 << 32) - 1
+    digest = pick.integers(0, 1 << 48, 5000, dtype=np.uint64)
+    ids = np.arange(-500, 500) * 7
+    ids[[0, -1]] = batches.NO_ID, (1 << 63) - 1
+    local = pick.integers(0, 1000, 5000)
+    row = suffix_repeats._leaves_row(codes, digest, local, ids, 6)
+    size = {c: len(v) for c, v in row.items() if isinstance(v, bytes)}
+    assert size["codes"] < 3 * 5000 and size["text"] < 2 * 5000 and size["doc_ids"] < 2 * 1000
+    for got, want in zip(suffix_repeats._leaves_of(row, 6), (codes, digest, ids[local]), strict=True):
+        assert (got == want).all()
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_jaccard(spark, seed):
     rows = mixed_texts(seed)

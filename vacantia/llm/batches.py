@@ -21,12 +21,22 @@ BATCHES = "batch long, n_bytes long, data binary, sizes binary, doc_ids binary"
 TIES = "ties binary"
 
 
-def packed(docs: DataFrame, ties: bool = False) -> DataFrame:
+def squeezed(data: bytes, level: int = 1) -> bytes:
+    """Bytes compressed by zstd; ``stretched`` gives them back."""
+    return pa.Codec("zstd", level).compress(data, asbytes=True) if data else b""
+
+
+def stretched(data: bytes, n_bytes: int) -> bytes:
+    return pa.decompress(data, n_bytes, "zstd", asbytes=True) if n_bytes else b""
+
+
+def packed(docs: DataFrame, ties: bool = False, level: int = 1) -> DataFrame:
     """doc_id and text of all rows, in batches of about ``BATCH_BYTES`` that are written once.
 
     Every later step sees the same batches, whatever is lost and run again.  A row is known
     by its batch's number times ``BATCH_ROWS`` plus its place.  With ``ties`` a batch also has
-    the hashes of its texts.
+    the hashes of its texts.  ``level`` is that of the compression: batches that are shuffled as
+    well are worth a higher one.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +51,7 @@ def packed(docs: DataFrame, ties: bool = False) -> DataFrame:
                     ids = part.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
                     row = [
                         pa.array([n], pa.int64()), pa.array([len(data)], pa.int64()),
-                        pa.array([pa.compress(data.tobytes(), "zstd", asbytes=True)], pa.binary()),
+                        pa.array([squeezed(data.tobytes(), level)], pa.binary()),
                         pa.array([own.tobytes()], pa.binary()), pa.array([ids.tobytes()], pa.binary()),
                     ]
                     names = ["batch", "n_bytes", "data", "sizes", "doc_ids"]
@@ -58,7 +68,7 @@ def packed(docs: DataFrame, ties: bool = False) -> DataFrame:
 
 def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes, sizes and doc_ids of a batch."""
-    data = pa.decompress(row["data"], row["n_bytes"], "zstd", asbytes=True) if row["n_bytes"] else b""
     return (
-        np.frombuffer(data, np.uint8), np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["doc_ids"], np.int64)
+        np.frombuffer(stretched(row["data"], row["n_bytes"]), np.uint8),
+        np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["doc_ids"], np.int64)
     )

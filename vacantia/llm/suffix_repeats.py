@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .batches import NO_ID, packed, unpacked
+from .batches import NO_ID, packed, squeezed, stretched, unpacked
 from .memory import give_back, rows_of
 from .words import Words, from_planes, planes, words_of
 
 LEVELS = 4  # words that lead a suffix, a byte each
 GROUP_SUFFIXES = 1_000_000
+PACK_LEVEL = 5  # batches are written once and shuffled once
 FOLLOWED_SHARE = 1 / 1024  # a batch counts below a prefix that has this share of its suffixes
 
 
@@ -122,6 +123,34 @@ def _ranks(doc_ids: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _steps(values: np.ndarray, width: int) -> bytes:
+    """Integers as compressed differences, which are small where the integers ascend."""
+    return squeezed(planes(np.diff(values, prepend=values[:1] * 0), width))
+
+
+def _from_steps(data: bytes, n: int, width: int, dtype) -> np.ndarray:
+    # differences are taken and added up modulo the type's range
+    return np.cumsum(from_planes(stretched(data, n * width), width, dtype), dtype=dtype)
+
+
+def _leaves_row(codes, digest, local, doc_ids, digest_bytes: int) -> dict:
+    """A batch's leaves in a group: codes ascend, digests are as good as random, texts are few."""
+    return {
+        "n": len(codes), "n_texts": len(doc_ids), "codes": _steps(codes, 4), "digest": planes(digest, digest_bytes),
+        "text": squeezed(planes(local.astype(np.uint32), 4)), "doc_ids": _steps(doc_ids, 8),
+    }
+
+
+def _leaves_of(row: dict, digest_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, digest and doc_id of each leaf of a row."""
+    n, n_texts = row["n"], row["n_texts"]
+    text = from_planes(stretched(row["text"], 4 * n), 4, np.uint32)
+    return (
+        _from_steps(row["codes"], n, 4, np.uint32), from_planes(row["digest"], digest_bytes, np.uint64),
+        _from_steps(row["doc_ids"], n_texts, 8, np.int64)[text],
+    )
+
+
 def suffixes(batches: DataFrame, depth: int, digest_bytes: int, bounds: np.ndarray) -> DataFrame:
     """A row per batch and group: the batch's leaves in the group, packed."""
 
@@ -134,18 +163,17 @@ def suffixes(batches: DataFrame, depth: int, digest_bytes: int, bounds: np.ndarr
             for group in np.flatnonzero(ends > begin).tolist():
                 part = slice(begin[group], ends[group])
                 texts, local = np.unique(of[part], return_inverse=True)
-                yield pa.record_batch(
-                    [
-                        pa.array([group], pa.int32()), pa.array([row["batch"]], pa.int64()),
-                        pa.array([planes(codes[part], 4)], pa.binary()),
-                        pa.array([planes(digest[part], digest_bytes)], pa.binary()),
-                        pa.array([planes(local.astype(np.uint32), 4)], pa.binary()),
-                        pa.array([planes(doc_ids[texts], 8)], pa.binary()),
-                    ],
-                    ["group", "batch", "codes", "digest", "text", "doc_ids"],
-                )
+                leaves = _leaves_row(codes[part], digest[part], local, doc_ids[texts], digest_bytes)
+                yield pa.RecordBatch.from_pylist([{"group": group, "batch": row["batch"], **leaves}], _LEAVES)
+
+    schema = "group int, batch long, n int, n_texts int, codes binary, digest binary, text binary, doc_ids binary"
+    return batches.mapInArrow(emit, schema)
+
 
-    return batches.mapInArrow(emit, "group int, batch long, codes binary, digest binary, text binary, doc_ids binary")
+_LEAVES = pa.schema(
+    [("group", pa.int32()), ("batch", pa.int64()), ("n", pa.int32()), ("n_texts", pa.int32())]
+    + [(c, pa.binary()) for c in ("codes", "digest", "text", "doc_ids")]
+)
 
 
 def deep_nodes(codes: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,11 +192,9 @@ def deep_nodes(codes: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.nd
 def _answers(digest_bytes: int):
     def answer(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
-        codes = np.concatenate([from_planes(r["codes"], 4, np.uint32) for r in rows])
-        digest = np.concatenate([from_planes(r["digest"], digest_bytes, np.uint64) for r in rows])
-        ids = [from_planes(r["doc_ids"], 8, np.int64)[from_planes(r["text"], 4, np.uint32)] for r in rows]
-        sizes = [len(x) for x in ids]
-        ids = np.concatenate(ids)
+        sizes = [r["n"] for r in rows]
+        parts = zip(*[_leaves_of(r, digest_bytes) for r in rows], strict=True)
+        codes, digest, ids = (np.concatenate(x) for x in parts)
         order, node = deep_nodes(codes, digest)
         # the earliest leaf of a node: least doc_id, then least batch, which is the order of rows
         position = np.lexsort((order, ids[order], node))
@@ -210,7 +236,7 @@ def remove_repeats(
     A row per text: doc_id, n_words, n_removed, ``kept`` (what is left, words joined by a
     blank) and ``removed``, the maximal runs of removed words as (first, n) pairs.
     """
-    batches = packed(docs)
+    batches = packed(docs, level=PACK_LEVEL)
     counts = [tuple(r) for r in prefix_counts(batches, depth).where(F.col("n") > 0).collect()]
     bounds = group_bounds(counts, group_suffixes)
     grouped = suffixes(batches, depth, digest_bytes, bounds).groupBy("group")
