@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from vacantia.operators import actions as acts
 from vacantia.operators import constraints, merge, ordered, scoring
+from vacantia.operators.jobtable import JobTable
 from vacantia.schemas import ACTION, COMPANY, JOB, OBSERVATION, TOMBSTONE
+from vacantia.session import staged
 
 NOW, OLD = datetime(2024, 2, 2, 12), datetime(2024, 1, 1)
 AS_OF = "2024-02-02 12:00:00"
@@ -213,3 +215,20 @@ def test_constraints_of_all_tables(spark):
                      ("duplicate tombstone", 2), ("tombstone fingerprint is null", 2), ("state key longer than 80", 1),
                      ("state value is null", 1)}
     assert constraints.violations(jobs, co, logs.limit(0), gone.limit(0), state.limit(0)).isEmpty()
+
+
+def test_sides_that_grow_are_not_broadcast(spark):
+    """Tables this small would be broadcast, and so would larger ones, a join after another, up to 10 MB each."""
+    jobs = frame(spark, [stored(f"f{i}", str(i), "a") for i in range(3)], JOB)
+    table = JobTable.of(jobs)
+    seen = jobs.select("company_slug", "fingerprint").limit(2)
+    actions = frame(spark, [dict(fingerprint="f1", action="favorite", arg=None, ts=OLD, seq=1)], ACTION)
+    delta = staged(table.state.where("fingerprint <> 'f0'"))
+    listed = companies_df(spark, ["a"]).repartition(2)
+    for df, n in (
+        (table.changed(delta).state, 3), (acts.apply_actions(jobs, actions), 3), (acts.acted_rows(table.state, actions), 1),
+        (merge.known_flag(seen, jobs), 2), (merge.unseen(table.state, seen, listed), 1),
+    ):
+        assert df.count() == n
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "fingerprint" in x]

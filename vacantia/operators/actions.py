@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon
 from ..schemas import TOMBSTONE
+from ..session import large_side
 
 
 def fold_actions(actions: DataFrame) -> DataFrame:
@@ -36,15 +37,14 @@ def apply_actions(jobs: DataFrame, actions: DataFrame) -> DataFrame:
     the table that include those that actions change.
     """
     done = fold_actions(actions)
-    return _acted(jobs.join(done.withColumnRenamed("notes", "new_notes"), "fingerprint", "left"), jobs.columns).where(
-        "deleted_at IS NULL"
-    ).drop("deleted_at")
+    done = large_side(done.withColumnRenamed("notes", "new_notes"))
+    return _acted(jobs.join(done, "fingerprint", "left"), jobs.columns).where("deleted_at IS NULL").drop("deleted_at")
 
 
 def acted_rows(state: DataFrame, actions: DataFrame) -> DataFrame:
     """Only the rows that the actions are about, as they are after them; ``deleted`` marks those that go."""
     done = fold_actions(actions).withColumnRenamed("notes", "new_notes")
-    rows = _acted(state.join(done, "fingerprint"), state.columns)
+    rows = _acted(state.join(large_side(done), "fingerprint"), state.columns)
     return rows.withColumn("deleted", F.col("deleted_at").isNotNull()).drop("deleted_at")
 
 
@@ -62,7 +62,7 @@ def _acted(joined: DataFrame, columns: list[str]) -> DataFrame:
 def add_tombstones(tombstones: DataFrame, jobs: DataFrame, actions: DataFrame) -> DataFrame:
     """Tombstones with those of jobs deleted by the actions; deleting twice is deleting once."""
     deletes = actions.where("action = 'delete'").groupBy("fingerprint").agg(F.min("ts").alias("deleted_at"))
-    fresh = deletes.join(jobs.select("fingerprint", "title", "source"), "fingerprint")
+    fresh = deletes.join(large_side(jobs.select("fingerprint", "title", "source")), "fingerprint")
     both = tombstones.select(*TOMBSTONE.names).unionByName(fresh.select(*TOMBSTONE.names))
     first = F.struct(F.coalesce("deleted_at", F.lit("9999-12-31").cast("timestamp")))
     row = both.groupBy("fingerprint").agg(F.min_by(F.struct(*TOMBSTONE.names), first).alias("row"))

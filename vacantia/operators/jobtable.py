@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .. import lexicon
 from ..schemas import JOB
-from ..session import BROADCAST_ROWS, staged
+from ..session import BROADCAST_ROWS, large_side, staged
 from .features import FEATURE_COLUMNS, company_tier, features
 
 #: The long columns, and what their hashes and references are called after.
@@ -117,7 +117,7 @@ class JobTable:
 
     def changed(self, delta: DataFrame, texts: DataFrame | None = None) -> JobTable:
         """The table after the rows of ``delta`` have replaced those of their keys."""
-        kept = self.state.join(delta.select("fingerprint"), "fingerprint", "left_anti")
+        kept = self.state.join(large_side(delta.select("fingerprint")), "fingerprint", "left_anti")
         state = kept.select(*STATE.names).unionByName(delta.select(*STATE.names))
         return JobTable(state, self.texts if texts is None else self.texts.unionByName(texts))
 
@@ -149,7 +149,7 @@ def with_features(rows: DataFrame, texts: DataFrame, own: DataFrame | None = Non
     if own is not None:
         read = own.select("title", no_text.alias("pair"), "description_text")
         parts.append(sifted(read, lacking, pair))
-        rest = lacking.join(read.select(*pair), pair, "left_anti")
+        rest = lacking.join(large_side(read.select(*pair)), pair, "left_anti")
     few = rest.limit(BROADCAST_ROWS + 1).count()
     if few:
         have = texts.select("ref", "description_text")
@@ -160,7 +160,7 @@ def with_features(rows: DataFrame, texts: DataFrame, own: DataFrame | None = Non
         parts += [told.select(*columns), bare.select(*columns)]
     taken = _taken(reduce(DataFrame.unionByName, parts), *pair)
     found = staged(taken.groupBy(*pair).agg(F.first("taken").alias("taken")))
-    joined = rows.join(found, pair, "left")
+    joined = rows.join(large_side(found), pair, "left")
     return joined.withColumn("features", F.coalesce("features", "taken")).drop("taken", "pair")
 
 

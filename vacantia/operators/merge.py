@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import job_fingerprint
 from ..functions.times import clock
 from ..schemas import JOB
-from ..session import small_side, staged
+from ..session import large_side, small_side, staged
 from .filters import passes_for_region
 from .jobtable import STATE, WIDE, JobTable, keys_and_refs, scoring_columns, sifted, with_features
 from .ordered import HOT_ROWS, hot_keys, running
@@ -98,7 +98,7 @@ def drop_tombstoned(df: DataFrame, tombstones: DataFrame) -> DataFrame:
 
 def tombstoned(df: DataFrame, tombstones: DataFrame) -> DataFrame:
     """The rows whose key was deleted for good."""
-    return df.join(tombstones.select("fingerprint").distinct(), "fingerprint", "left_semi")
+    return df.join(large_side(tombstones.select("fingerprint").distinct()), "fingerprint", "left_semi")
 
 
 def unseen(jobs: DataFrame, observations: DataFrame, companies: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def unseen(jobs: DataFrame, observations: DataFrame, companies: DataFrame) -> Da
     ok = companies.select(F.col("slug").alias("company_slug"))
     seen = observations.select("company_slug", "fingerprint").distinct()
     return open_jobs.join(small_side(ok), "company_slug", "left_semi").join(
-        seen, ["company_slug", "fingerprint"], "left_anti"
+        large_side(seen), ["company_slug", "fingerprint"], "left_anti"
     )
 
 
@@ -120,12 +120,12 @@ def known_flag(cards: DataFrame, jobs: DataFrame | None) -> DataFrame:
     if jobs is None:
         return cards.withColumn("known", F.lit(False))
     keys = jobs.select("company_slug", "fingerprint").distinct().withColumn("known", F.lit(True))
-    return cards.join(keys, ["company_slug", "fingerprint"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return cards.join(large_side(keys), ["company_slug", "fingerprint"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def known_split(cards: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cards whose details are still needed, and cards of stored jobs, which go on as stubs."""
-    known = jobs.select("company_slug", "fingerprint")
+    known = large_side(jobs.select("company_slug", "fingerprint"))
     on = ["company_slug", "fingerprint"]
     return cards.join(known, on, "left_anti"), cards.join(known, on, "left_semi")
 
@@ -148,7 +148,7 @@ def _events(state: DataFrame, sightings: DataFrame, closings: DataFrame) -> Data
     )
     # stored rows that nothing happens to stay as they are
     touched = sighted.select("fingerprint").unionByName(closed.select("fingerprint")).distinct()
-    base = state.join(touched, "fingerprint", "left_semi").select(
+    base = state.join(large_side(touched), "fingerprint", "left_semi").select(
         "fingerprint", F.lit("base").alias("kind"), F.lit("").alias("slug"), F.lit(0).alias("phase"),
         F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("string").alias("company_name"),
         *_KEYS, *_REFS, _origin(**{c: F.col(c) for c in _FIXED + _STORED}).alias("origin"), *_SCORED,

@@ -114,3 +114,12 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     if df.limit(rows + 1).count() <= rows:
         return F.broadcast(df)
     return df
+
+
+def large_side(df: DataFrame) -> DataFrame:
+    """Mark a join's side that grows with the input: it is shuffled, however small it seems to be.
+
+    Spark broadcasts what it takes for less than 10 MB.  In a chain of merges dozens of joins have
+    such a side, and up to that bound all that they send to the driver grows with the input.
+    """
+    return df.hint("shuffle_merge")

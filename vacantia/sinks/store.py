@@ -23,7 +23,7 @@ from .. import lexicon
 from ..operators.jobtable import STATE as JOB_STATE
 from ..operators.jobtable import TEXTS, WIDE, JobTable
 from ..schemas import COMPANY, JOB, RUN_LOG, STATE, TOMBSTONE
-from ..session import staged
+from ..session import large_side, staged
 
 VERSIONS = "version long, run_id string, companies string, committed_at timestamp, base long"
 PARTITIONS = ["region", "lifecycle"]
@@ -68,7 +68,7 @@ class Store:
         if version > base:
             deltas = self._read_versions("jobs", base + 1, version, _ROWS)
             last = deltas.groupBy("fingerprint").agg(F.max_by(F.struct(*_ROWS.names), "v").alias("row")).select("row.*")
-            rows = rows.join(last.select("fingerprint"), "fingerprint", "left_anti").unionByName(last)
+            rows = rows.join(large_side(last.select("fingerprint")), "fingerprint", "left_anti").unionByName(last)
         state = rows.where(~F.coalesce("deleted", F.lit(False))).select(*JOB_STATE.names)
         return JobTable(state, self._texts(version))
 
@@ -141,7 +141,8 @@ class Store:
             # ordered by reference, so that a reader who wants few finds them in few files
             texts.sortWithinPartitions("ref").write.mode("overwrite").parquet(f"{self.path}/texts/v={version}")
         if not base or version - base > self.deltas:
-            kept = self.table(version - 1).state.join(delta.select("fingerprint"), "fingerprint", "left_anti")
+            went = large_side(delta.select("fingerprint"))
+            kept = self.table(version - 1).state.join(went, "fingerprint", "left_anti")
             # written first, since ranges are found by a look at the rows
             delta = staged(kept.withColumn("deleted", F.lit(False)).unionByName(delta.where("NOT deleted").select(*_ROWS.names)))
             base = version
