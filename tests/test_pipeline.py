@@ -251,3 +251,16 @@ def test_wellfound_pages_reach_python_in_small_batches(spark, capsys):
 def test_nothing_captured_is_a_failure(spark):
     got = landing.run_status(payloads.companies(spark), land(spark, "greenhouse", "{}").withColumn("company_slug", F.lit("stripe")))
     assert {r["slug"] for r in got.where("status = 'ok'").collect()} == {"stripe"}
+
+
+def test_a_page_is_parsed_once_to_be_judged(spark):
+    rows = [
+        ("greenhouse", "a", '{"jobs":[]}'), ("greenhouse", "b", '{"jobs":{"x":1}}'), ("ashby", "c", '{"jobs":'),
+        ("greenhouse", "d", None), ("workday", "e", '{"jobPostings":0,"jobs":7}'), ("lever", "f", "[]"), ("lever", "g", "{}"),
+        ("ashby", "h", '{"jobs":"x"}'), ("linkedin", "i", "no json"), ("linkedin", "j", None), ("greenhouse", "k", '{"jobs":null}'),
+    ]
+    pages = spark.createDataFrame(rows, "source string, company_slug string, payload string").withColumn("kind", F.lit("listing"))
+    bad = landing.payload_errors(pages.repartition(2))
+    assert sorted(r.company_slug for r in bad.collect()) == ["b", "c", "d", "g", "h", "j"]
+    plan = bad._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") + plan.lower().count("parse_json") == 1

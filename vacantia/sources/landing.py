@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import lexicon
+from ..functions.patterns import let
 from ..schemas import COMPANY, LANDING, OBSERVATION
 from ..session import settled, small_side, staged
 
@@ -133,16 +134,16 @@ def rejects(items: DataFrame) -> DataFrame:
     return items.where("reject IS NOT NULL").select("run_id", "company_slug", "source", "seq", "reject", "raw_payload")
 
 
-def _wrong_list() -> Column:
-    """Whether the field that should list postings holds something else.
+def _wrong_list(parsed: Column) -> Column:
+    """Whether the field of a parsed payload that should list postings holds something else.
 
     Absent, null and empty values list nothing.  Anything else is no listing: taking it
     for an empty one would close all jobs of the company.  (All boards are held to this.)
     """
     wrong = F.lit(False)
     for source, name in LIST_FIELDS.items():
-        value = F.try_variant_get(F.try_parse_json("payload"), f"$.{name}", "variant")
-        is_list = F.try_variant_get(F.try_parse_json("payload"), f"$.{name}", "array<variant>").isNotNull()
+        value = F.try_variant_get(parsed, f"$.{name}", "variant")
+        is_list = F.try_variant_get(parsed, f"$.{name}", "array<variant>").isNotNull()
         empty = value.isNull() | F.is_variant_null(value) | F.to_json(value).isin(*EMPTY_JSON)
         wrong = wrong | ((F.col("source") == source) & ~(empty | is_list))
     return wrong
@@ -152,10 +153,10 @@ def payload_errors(landing: DataFrame) -> DataFrame:
     """Companies that got a listing of the wrong shape: their run has failed."""
     opens = F.substring(F.ltrim("payload"), 1, 1)
     expected = F.create_map(*[F.lit(x) for kv in PAYLOAD_OPENS.items() for x in kv])
-    readable = F.try_parse_json("payload").isNotNull()
-    wrong = F.when(
-        F.col("source").isin(*PAYLOAD_OPENS), ~((opens == F.try_element_at(expected, F.col("source"))) & readable) | _wrong_list()
-    ).otherwise(F.col("payload").isNull())
+    fits = opens == F.try_element_at(expected, F.col("source"))
+    # pages are large: each is parsed once
+    unfit = let(F.try_parse_json("payload"), lambda parsed: ~(fits & parsed.isNotNull()) | _wrong_list(parsed))
+    wrong = F.when(F.col("source").isin(*PAYLOAD_OPENS), unfit).otherwise(F.col("payload").isNull())
     bad = landing.where("kind = 'listing'").where(F.coalesce(wrong, F.lit(True)))
     message = F.concat("source", F.lit(": unexpected payload for "), "company_slug")
     return bad.select("company_slug", message.alias("error_message")).distinct()
@@ -180,7 +181,8 @@ def config_errors(companies: DataFrame) -> DataFrame:
 def run_status(companies: DataFrame, landing: DataFrame) -> DataFrame:
     """Companies with ``status`` ok or failed, and why; nothing captured is a failure too."""
     errors = config_errors(companies).unionByName(payload_errors(landing))
-    errors = errors.groupBy("company_slug").agg(F.min("error_message").alias("error_message"))
+    # a line a company, written out: the pages behind it would be parsed for its count and again for the join
+    errors = staged(errors.groupBy("company_slug").agg(F.min("error_message").alias("error_message")))
     got = landing.select("company_slug").distinct().withColumn("captured", F.lit(True))
     joined = (
         companies.withColumn("company_slug", F.col("slug"))
