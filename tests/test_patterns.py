@@ -113,3 +113,17 @@ def test_gates_by_what_is_seen_change_no_result(spark):
         assert df.where(patterns.found_any(t, ps, seen) != whole).collect() == [], skill
     for word in lexicon.REQUIRED_HEADINGS:
         assert df.where(t.contains(word) & ~patterns.holds(t, word, seen)).collect() == []
+
+
+def test_first_characters_are_looked_at_first(spark):
+    """A pattern that starts with digits, or a boundary and digits, is tried at digits only; matches are the same."""
+    assert patterns._quick(lexicon.YEARS_GENERIC).startswith(r"(?=[\d])")
+    assert patterns._quick(r"(?:ab)+c").startswith("(?=[a])") and patterns._quick(r"a?\d") == r"a?\d"
+    texts = ["x 3+ years of experience", "x3 years of exp", "٣ yrs of exp", "é5 years of exp", "2 – 5 yrs", "12 years", "1-2years 3 years of exp", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in (lexicon.YEARS_GENERIC, lexicon.YEARS_RANGE, lexicon.GRAD_FRIENDLY, r"\bjava\b", r"\d{1,2}"):
+        plain = patterns.UNICODE + pattern
+        want = df.select(F.regexp_extract("t", plain, 0), F.col("t").rlike(plain), F.regexp_count("t", F.lit(plain))).collect()
+        t = F.col("t")
+        got = df.select(patterns.group(t, pattern, 0), patterns.found(t, pattern), patterns.hits(t, pattern)).collect()
+        assert [tuple(r) for r in got] == [tuple(r) for r in want]

@@ -139,7 +139,7 @@ def _trie(words, handful: int = 0) -> str:
 
 
 def _one_of(letters) -> str:
-    return f"(?=[{''.join(map(re.escape, letters))}])"
+    return f"(?=[{''.join(c if len(c) > 1 else re.escape(c) for c in letters)}])"
 
 
 def held(text: Column, patterns, words=()) -> Column:
@@ -194,14 +194,14 @@ def _gate(folded: Column, pattern: str, seen: Column | None = None) -> Column |
 
 def found(folded: Column, pattern: str, seen: Column | None = None) -> Column:
     """Whether the pattern occurs in a folded text; ``seen`` is what it holds (see ``held``), if known."""
-    hit = folded.rlike(UNICODE + pattern)
+    hit = folded.rlike(UNICODE + _quick(pattern))
     gate = _gate(folded, pattern, seen)
     return hit if gate is None else gate & hit
 
 
 def hits(folded: Column, pattern: str, seen: Column | None = None) -> Column:
     """Number of non-overlapping matches in a folded text; 0 for null."""
-    n = F.regexp_count(folded, F.lit(UNICODE + pattern))
+    n = F.regexp_count(folded, F.lit(UNICODE + _quick(pattern)))
     gate = _gate(folded, pattern, seen)
     return F.coalesce(n if gate is None else F.when(gate, n), F.lit(0))
 
@@ -212,7 +212,7 @@ def found_any(folded: Column, patterns, seen: Column | None = None) -> Column:
 
 
 def _starts(tree) -> set[str] | None:
-    """The characters that a match can start with; None where that is not told by literals."""
+    """The characters that a match can start with (``\\d`` for digits); None where the pattern does not tell."""
     for op, arg in tree:
         if op is _sc.LITERAL:
             return {chr(arg)}
@@ -220,14 +220,22 @@ def _starts(tree) -> set[str] | None:
             continue
         if op is _sc.IN and all(o is _sc.LITERAL for o, _ in arg):
             return {chr(c) for _, c in arg}
+        if op is _sc.IN and list(arg) == [(_sc.CATEGORY, _sc.CATEGORY_DIGIT)]:
+            return {r"\d"}
+        if op in (_sc.MAX_REPEAT, _sc.MIN_REPEAT) and arg[0] > 0:
+            return _starts(arg[2])
         sides = arg[1] if op is _sc.BRANCH else [arg[-1]] if op is _sc.SUBPATTERN else []
         starts = [_starts(side) for side in sides]
         return set().union(*starts) if starts and None not in starts else None
     return None
 
 
+@lru_cache(maxsize=None)
 def _quick(pattern: str) -> str:
-    """The pattern behind a look at its first character, where that is one of few."""
+    """The pattern behind a look at its first character, where that is one of few.
+
+    Most places of a text are passed by at that look, before a Unicode word boundary is worked out.
+    """
     starts = None if _sp is None else _starts(_sp.parse(pattern))
     return pattern if starts is None else f"{_one_of(sorted(starts))}(?:{pattern})"
 
@@ -238,7 +246,7 @@ def hits_any(folded: Column, patterns, seen: Column) -> Column:
     All at once they are tried at every place.  Where the gates leave one that can be there, it
     alone is counted.
     """
-    count = lambda p: F.regexp_count(folded, F.lit(UNICODE + p))
+    count = lambda p: F.regexp_count(folded, F.lit(UNICODE + _quick(p)))
     gates = [F.lit(True) if gate is None else gate for gate in (_gate(folded, p, seen) for p in patterns)]
     can_be = reduce(add, [gate.cast("int") for gate in gates])
     alone = reduce(lambda chain, gp: chain.when(gp[0], count(gp[1])), zip(gates, patterns), F)
@@ -248,7 +256,7 @@ def hits_any(folded: Column, patterns, seen: Column) -> Column:
 
 def group(folded: Column, pattern: str, idx: int = 1, seen: Column | None = None) -> Column:
     """A group of the first match, '' without one."""
-    got = F.regexp_extract(folded, UNICODE + pattern, idx)
+    got = F.regexp_extract(folded, UNICODE + _quick(pattern), idx)
     gate = _gate(folded, pattern, seen)
     return got if gate is None else F.when(gate, got).otherwise("")
 
