@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -48,6 +49,21 @@ def test_cache_is_dropped_when_full(reference):
         assert encoder.encode([text])[0].tolist() == reference.encode_ordinary(text)
 
 
+def test_a_slice_of_new_words_fits_a_worker():
+    """What a worker needs beside its caches does not grow with the batch (here 4 MB of words not met before)."""
+    pick = random.Random(7)
+    texts = [" ".join(f"{pick.getrandbits(44):x}" for _ in range(170)) for _ in range(2000)]
+    encoder = pretokens.Encoder(lambda words: [[1, 2, 3, 4]] * len(words))
+    encoder.encode(["warm up"])
+    tracemalloc.start()
+    for at, end in duck_bpe._slices(np.array([len(t) for t in texts])):
+        encoder.encode(texts[at:end])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    caches = sum(x.nbytes for x in (encoder.known.keys, encoder.known.first, encoder.known.count, encoder.known.flat))
+    assert peak - caches < 30 << 20
+
+
 def test_very_long_pieces(reference):
     """A piece may be a whole text: a run of letters, alike or not."""
     own = duck_bpe.Coder(RANKS)

@@ -39,7 +39,7 @@ LONG_BYTES = 128
 NO_RANK = np.iinfo(np.int32).max
 FEW = 64  # pairs of minimum rank are few where they are fewer than one in so many
 STATE_ROWS = 1_000_000  # rows that one recursive query may make
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10  # texts that are worked on at once; what a worker needs beside its caches grows with it
 RUN_IDS = 64
 
 MERGE = """
@@ -119,12 +119,13 @@ class Coder:
 
         self.ranks = ranks = read_ranks(path)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
-        pairs = [
-            (ranks[t[:i]], ranks[t[i:]], r)
-            for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
-        ]
-        a, b, rank = (pa.array(np.array(x, np.int32)) for x in zip(*pairs, strict=True))
-        self._table("merges", pa.table({"a": a, "b": b, "rank": rank}))
+        pairs = array("i")
+        for t, r in ranks.items():
+            for i in range(1, len(t)):
+                if t[:i] in ranks and t[i:] in ranks:
+                    pairs.extend((ranks[t[:i]], ranks[t[i:]], r))
+        a, b, rank = np.frombuffer(pairs, np.int32).reshape(-1, 3).T
+        self._table("merges", pa.table({"a": a.copy(), "b": b.copy(), "rank": rank.copy()}))
         # bytes travel as the characters of the same numbers
         ids, tokens = pa.array(ranks.values(), pa.int32()), [t.decode("latin-1") for t in ranks]
         self._table("vocabulary", pa.table({"id": ids, "token": tokens}))
@@ -137,6 +138,7 @@ class Coder:
         self.pairs = None  # for long pieces only
         self.encoder = Encoder(self.encode_pieces)
         self.runs = Segments(np.uint8)
+        give_back()
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)

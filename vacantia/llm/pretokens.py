@@ -99,7 +99,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_char_hash = mixed(np.arange(0x110000 + 1))
 _offset_factor = mixed(np.arange(1 << 12) + 0x200000) | np.uint64(1)
 
 
@@ -112,7 +111,7 @@ def _hashes(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         factor = mixed(offset.astype(np.uint64) + np.uint64(0x200000)) | np.uint64(1)
     else:
         factor = _offset_factor[offset]
-    factor *= _char_hash[codes]
+    factor *= mixed(codes)
     return np.add.reduceat(factor, starts)
 
 
@@ -135,8 +134,14 @@ class Segments:
 
     def add(self, keys: np.ndarray, flat: np.ndarray, count: np.ndarray) -> None:
         total = len(flat)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        size = len(self.flat)
+        while self.used + total > size:
+            size *= 2
+        if size > len(self.flat):
+            # zeros that nothing has been written to take no memory yet
+            larger = np.zeros(size, self.flat.dtype)
+            larger[: self.used] = self.flat[: self.used]
+            self.flat = larger
         self.flat[self.used : self.used + total] = flat
         first = self.used + np.cumsum(count, dtype=np.int64) - count
         self.used += total
