@@ -264,3 +264,46 @@ def test_a_page_is_parsed_once_to_be_judged(spark):
     assert sorted(r.company_slug for r in bad.collect()) == ["b", "c", "d", "g", "h", "j"]
     plan = bad._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("parsejson") + plan.lower().count("parse_json") == 1
+
+
+# --------------------------------------------------------------- what is written
+def written(spark):
+    """Bytes in the checkpoint folder."""
+    from pathlib import Path
+
+    from vacantia.session import checkpoint_dir
+
+    root = Path(checkpoint_dir(spark).removeprefix("file:"))
+    return sum(f.stat().st_size for f in root.rglob("*") if f.is_file())
+
+
+def test_the_latest_capture_is_found_without_writing_pages(spark):
+    at = "2024-02-01 06:00:00"
+    rows = [
+        ("a", 1, at, "new"), ("a", 1, "2024-02-01 05:00:00", "old"), ("a", 1, at, "new"), ("a", 2, None, "no time"),
+        ("a", 2, at, "x"), ("a", 2, at, "y"), ("a", None, None, None), ("b", 1, None, "only"),
+    ]
+    pages = spark.createDataFrame(rows, "company_slug string, page int, at string, payload string").select(
+        F.lit("r").alias("run_id"), F.lit("lever").alias("source"), "company_slug", F.lit("listing").alias("kind"),
+        F.lit(None).cast("string").alias("ref"), "page", F.col("at").cast("timestamp").alias("fetched_at"), "payload",
+    )
+    before = written(spark)
+    got = {(r.company_slug, r.page): r.payload for r in landing.listings(pages.repartition(3), "lever").collect()}
+    hashes = {r.payload: r.h for r in pages.select("payload", F.xxhash64("payload").alias("h")).collect()}
+    assert got == {("a", 1): "new", ("a", 2): max("xy", key=hashes.get), ("a", None): None, ("b", 1): "only"}
+    assert written(spark) == before
+
+
+def test_all_boards_pages_are_not_written(spark):
+    """Eight boards hold each text eight times; what is written holds it once."""
+    from pathlib import Path
+
+    from vacantia.plans.queries import QUERIES
+
+    sf, before = "/root/testdata/sf0.01", written(spark)
+    listed = QUERIES["s13_registry"](spark, sf)
+    assert len(listed.collect()) == 88
+    assert written(spark) - before < Path(f"{sf}/documents.parquet").stat().st_size * 1.5
+    # four boards list the texts: one shuffle of them, read by all
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.index("Initial Plan")].count("ReusedExchange") >= 3

@@ -58,8 +58,23 @@ def _landing(df: DataFrame, source: str, kind: str, ref: Column, page: Column, p
     )
 
 
+def _page() -> Column:
+    return F.floor(F.col("doc_id") / PAGE).cast("int")
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The postings dealt by company and page, so that boards made from them share one shuffle.
+
+    They are grouped whole and unfolded again: a shuffle from which each board's unused columns
+    were pruned would be another one for each board.
+    """
+    rest = [c for c in df.columns if c != "company_slug"]
+    grouped = df.withColumn("page", _page()).groupBy("company_slug", "page").agg(F.collect_list(F.struct(*rest)).alias("rows"))
+    return grouped.select("company_slug", "page", F.inline("rows"))
+
+
 def _pages(df: DataFrame, source: str, item: Column, head: str, tail: str, glue: str = ",") -> DataFrame:
-    page = F.floor(F.col("doc_id") / PAGE)
+    page = F.col("page") if "page" in df.columns else _page()
     rows = df.select("company_slug", page.alias("page"), "doc_id", item.alias("item"))
     grouped = rows.groupBy("company_slug", "page").agg(F.array_sort(F.collect_list(F.struct("doc_id", "item"))).alias("items"))
     body = F.array_join(F.transform("items", lambda i: i["item"]), glue)

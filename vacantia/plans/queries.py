@@ -1016,13 +1016,17 @@ def _(spark, sf):
 
 @query("s13_registry")
 def _(spark, sf):
-    """All eight boards through the registry: what each lists for each company."""
-    df = worked(spark, sf)
+    """All eight boards through the registry: what each lists for each company.
+
+    Pages are made as they are read: written out, all boards' pages would be the texts eight times.
+    """
+    df = staged(posts(spark, sf))  # once, for eight boards and what each asks beforehand
+    with_texts = payloads.dealt(df)  # boards whose listings hold the texts
     pages = None
     for board in registry.READERS:
-        more = getattr(payloads, board)(df)
+        more = getattr(payloads, board)(with_texts if board in registry.STATELESS else df)
         pages = more if pages is None else pages.unionByName(more)
-    seen = registry.read_observations(staged(pages), _companies(spark))
+    seen = registry.read_observations(pages, _companies(spark))
     return seen.groupBy("source", "company_slug").agg(F.count("*").alias("n_items"))
 
 

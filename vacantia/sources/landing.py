@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon
@@ -63,25 +60,25 @@ def filled(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
 
 
+def _hashed(rows: DataFrame) -> DataFrame:
+    """Rows with their payload's hash: who needs no more of a payload than that shuffles none."""
+    return rows.withColumn("payload_hash", F.xxhash64("payload"))
+
+
 def _latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The latest capture of each page (of equally late ones that of the greatest hash).
 
-    Rows are read once and written with a number; which of them are stale is worked out from
-    keys and times alone, and no payload is shuffled while the stale ones are few.
+    Nothing is written out: rows that are dealt by these keys already, or are joined by them
+    afterwards, are not shuffled for it, and each task drops its stale ones before a shuffle.
     """
-    whole = staged(rows.withColumn("landed_row", F.monotonically_increasing_id()))
-    narrow = whole.select(*keys, "landed_row", F.struct("fetched_at", F.xxhash64("payload").alias("h"), "landed_row").alias("at"))
-    best = narrow.groupBy(*keys).agg(F.max("at").alias("best"), F.count("*").alias("n"))
-    best = best.where("n > 1").select(*[F.col(c).alias(f"of_{c}") for c in keys], F.col("best.landed_row").alias("kept"))
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in keys])
-    stale = narrow.join(small_side(best), same).where("landed_row <> kept").select("landed_row")
-    return whole.join(small_side(stale), "landed_row", "left_anti").drop("landed_row")
+    by_time = Window.partitionBy(*keys).orderBy(F.desc("fetched_at"), F.desc("payload_hash"))
+    return rows.withColumn("nth", F.row_number().over(by_time)).where("nth = 1").drop("nth", "payload_hash")
 
 
 def listings(landing: DataFrame, source: str) -> DataFrame:
     """Captured listing pages, the latest of each (of a stream: see ``streaming.latest_captures``)."""
     rows = landing.where((F.col("source") == source) & (F.col("kind") == "listing"))
-    return rows if landing.isStreaming else _latest(rows, ["run_id", "company_slug", "page"])
+    return rows if landing.isStreaming else _latest(_hashed(rows), ["run_id", "company_slug", "page"])
 
 
 def details(landing: DataFrame, source: str, wanted: DataFrame) -> DataFrame:
@@ -91,7 +88,7 @@ def details(landing: DataFrame, source: str, wanted: DataFrame) -> DataFrame:
     most of the bytes.
     """
     rows = landing.where((F.col("source") == source) & (F.col("kind") == "detail"))
-    rows = rows.select("company_slug", "ref", "fetched_at", "payload")
+    rows = _hashed(rows.select("company_slug", "ref", "fetched_at", "payload"))
     keys = small_side(wanted.select("company_slug", "ref").where("ref IS NOT NULL").distinct())
     asked = rows.join(keys, ["company_slug", "ref"], "left_semi")
     return _latest(asked, ["company_slug", "ref"]).select("company_slug", "ref", F.col("payload").alias("detail"))
