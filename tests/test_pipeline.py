@@ -307,3 +307,32 @@ def test_all_boards_pages_are_not_written(spark):
     # four boards list the texts: one shuffle of them, read by all
     plan = listed._jdf.queryExecution().executedPlan().toString()
     assert plan[: plan.index("Initial Plan")].count("ReusedExchange") >= 3
+
+
+def test_waiting_captures_lie_on_disk_and_once(spark, world, tmp_path):
+    """In the executors' heap, and once more as what decides between equally late ones, they would grow with the input."""
+    import base64
+    import random
+
+    store, folder = world
+    noise = lambda n: base64.b64encode(random.Random(n).randbytes(300_000)).decode()
+    rows = [row("r1", "greenhouse", "acme", "listing", gh((n, "Software Engineer", noise(n))), page=n) for n in range(4)]
+    tied = [row("r1", "greenhouse", "acme", "listing", gh((9, f"{w} Engineer", "")), page=9) for w in ("Software", "Backend", "Data")]
+    write(folder / "1.json", *rows, *tied)
+    marker = {**row("r1", None, None, "end_of_run", ""), "fetched_at": "2024-02-02T00:00:00.000Z"}
+    out, ckpt = tmp_path / "scored", tmp_path / "c"
+
+    def pump():
+        stream = incremental.score_stream(landing.stream_landing(spark, str(folder)), store.companies(), T0, ["greenhouse"])
+        incremental.write_scored(stream, str(out), str(ckpt)).awaitTermination()
+
+    pump()
+    state = [f for f in (ckpt / "state").rglob("*") if f.is_file()]
+    assert any(f.suffix == ".sst" for f in state)
+    assert 1_600_000 < sum(f.stat().st_size for f in state) < 2_400_000
+    write(folder / "2.json", marker)
+    pump()
+    batch = incremental.score_stream(landing.read_landing(spark, str(folder)), store.companies(), T0, ["greenhouse"])
+    streamed = spark.read.parquet(str(out))
+    assert streamed.count() == 5
+    assert sorted(r.title for r in streamed.collect()) == sorted(r.title for r in batch.collect())

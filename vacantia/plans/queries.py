@@ -1118,7 +1118,7 @@ def _(spark, sf):
     folder, parts = _landed_in_parts(spark, sf)
     out, ckpt = f"{folder}-scored", f"{folder}-ckpt"
     for part in (parts[0], parts[1], parts[3]):
-        part.write.mode("append").json(folder)
+        part.write.mode("append").option("compression", "gzip").json(folder)
         stream = landing.stream_landing(spark, folder)
         scores = incremental.score_stream(stream, _companies(spark), AS_OF, ["greenhouse"])
         incremental.write_scored(scores, out, ckpt).awaitTermination()
@@ -1132,7 +1132,7 @@ def _(spark, sf):
     store = Store(spark, f"{folder}-store")
     store.write_companies(_companies(spark).withColumn("source", F.lit("greenhouse")))
     for part in parts:
-        part.write.mode("append").json(folder)
+        part.write.mode("append").option("compression", "gzip").json(folder)
         stream = landing.stream_landing(spark, folder)
         incremental.merge_stream(store, stream, lambda run: AS_OF, f"{folder}-ckpt").awaitTermination()
     jobs = store.table().slim()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -19,23 +19,36 @@ from ..sinks.store import Store
 from ..sources.registry import STATELESS, read_observations
 
 APART, LATE = "6 hours", "10 minutes"
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# state lies on disk; what RocksDB keeps in memory is bounded for an executor, not for each of its stores
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+}
 #: A company's run is kept in so many groups, so that no task holds all pages of a large one.
 BUCKETS = 16
 
 
+def _state_on_disk(spark: SparkSession) -> None:
+    """Payloads wait in the state: in the default store they would fill the executors' heap."""
+    for key, value in _STATE.items():
+        spark.conf.set(key, value)
+
+
 def latest_captures(landing: DataFrame, apart: str = APART, late: str = LATE) -> DataFrame:
     """The latest capture of each page, once no later one is to be expected.
 
     Captures of a page less than ``apart`` from each other are one session; it is handed on
     when the watermark, ``late`` behind the latest time seen, has passed its end, and its
     state goes.  The end-of-run marker is what moves the watermark past the last pages.  A
-    capture without a time cannot be placed and is left out.
+    capture without a time cannot be placed and is left out.  Of equally late captures that of
+    the greatest hash counts, as in batch, so the state holds each payload once.
     """
+    _state_on_disk(landing.sparkSession)
     place = ["run_id", "company_slug", "ref", "page"]
     rows = landing.withWatermark("fetched_at", late)
-    best = F.max_by(F.struct("source", "kind", "fetched_at", "payload"), F.struct("fetched_at", "payload")).alias("best")
+    capture, latest = F.struct("source", "kind", "fetched_at", "payload"), F.struct("fetched_at", F.xxhash64("payload"))
+    best = F.max_by(capture, latest).alias("best")
     # source and kind are read from the best row: a filter on grouping columns would be pushed
     # below the watermark and keep the markers from moving it
     what = [F.col("source").alias("of_source"), F.col("kind").alias("of_kind")]
@@ -115,7 +128,7 @@ def finished_runs(landing: DataFrame, companies: DataFrame, buckets: int = BUCKE
 
     A marker names a company, or none for all active ones of the run.
     """
-    landing.sparkSession.conf.set(_STORE, _ROCKSDB)
+    _state_on_disk(landing.sparkSession)
     ends = landing.where("kind = 'end_of_run'").select(*LANDING.names)
     slugs = companies.where("active").select(F.col("slug").alias("of_slug"), F.lit("end_of_run").alias("kind"))
     # a row a company for each run's end: joined on the kind, which all markers share
