@@ -336,3 +336,57 @@ def test_waiting_captures_lie_on_disk_and_once(spark, world, tmp_path):
     streamed = spark.read.parquet(str(out))
     assert streamed.count() == 5
     assert sorted(r.title for r in streamed.collect()) == sorted(r.title for r in batch.collect())
+
+
+def test_a_merged_stream_writes_pages_once(spark):
+    """Waiting in a stream's state, numbered and taken apart, pages were written a dozen times."""
+    from pathlib import Path
+
+    from vacantia.plans.queries import QUERIES
+
+    sf, before = "/root/testdata/sf0.01", written(spark)
+    assert QUERIES["r02_merge_stream"](spark, sf).count() > 0
+    assert written(spark) - before < Path(f"{sf}/documents.parquet").stat().st_size * 5
+
+
+def test_waiting_pages_are_numbered_and_replayed(spark, world, tmp_path):
+    store, _ = world
+    folder = str(tmp_path / "waiting")
+    at = lambda r, h: {**r, "fetched_at": f"2024-02-01T0{h}:00:00.000Z"}
+    old, new = gh((1, "Software Engineer", "old")), gh((1, "Software Engineer", "new"))
+    page = row("r1", "greenhouse", "acme", "listing", new)
+    batches = [
+        [at(page, 3), at(page, 3), at({**page, "payload": old}, 2), at({**page, "run_id": "r2", "payload": old}, 4)],
+        [at({**page, "payload": old}, 1), row("r1", "linkedin", "li", "listing", li((7, "Java Developer")))],
+        [row("r1", "greenhouse", "acme", "end_of_run", "")],
+    ]
+    frames = []
+    for n, rows in enumerate(batches):
+        write(tmp_path / "in" / f"{n}.json", *rows)
+        frames.append(landing.read_landing(spark, str(tmp_path / "in" / f"{n}.json")).repartition(2))
+    for n in (0, 1, 1):  # a replayed batch replaces its rows
+        incremental.merge_batch(store, lambda run: T0, folder, frames[n], n)
+    kept = incremental.read_waiting(spark, folder, 1)
+    assert (kept.count(), kept.select("landed_row").distinct().count()) == (6, 6)
+    assert incremental.read_waiting(spark, folder, 0).count() == 4
+    latest = landing.listings(kept.drop("batch", "part"), "greenhouse").collect()
+    assert {(r.run_id, r.payload) for r in latest} == {("r1", new), ("r2", old)} and len(latest) == 2
+    assert store.current() == 0
+    for _ in range(2):
+        incremental.merge_batch(store, lambda run: T0, folder, frames[2], 2)
+        assert {k: r["description_text"] for k, r in jobs_of(store).items()} == {"1": "new"}
+        assert store.current() == 1
+
+
+def test_items_of_a_run_are_not_written_apart(spark, world, tmp_path):
+    """Its merge writes what it has seen, without the texts of what the filter rejects."""
+    store, folder = world
+    import random
+
+    text = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz ", k=400_000))
+    write(folder / "1.json", row("r1", "greenhouse", "acme", "listing", gh((1, "Sales Lead", text), (2, "Software Engineer", "x"))))
+    before = written(spark)
+    done = refresh.refresh(store, landing.read_landing(spark, str(folder)), "r1", T0)
+    counted = {r.company_slug: (r.jobs_seen, r.jobs_new) for r in done.counters.collect()}
+    assert counted["acme"] == (2, 1) and done.rejects.count() == 0
+    assert written(spark) - before < len(text) / 2

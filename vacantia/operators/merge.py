@@ -57,13 +57,15 @@ class Merged:
     """``table`` is the next job table, ``events`` what each sighting and closing did.
 
     ``delta`` are the state rows that the run has touched, ``texts`` the texts they point to
-    that were not in the table before: what has to be written.
+    that were not in the table before: what has to be written.  ``seen`` are the sightings of the
+    companies whose run succeeded, those that the filter rejects without texts.
     """
 
     table: JobTable
     events: DataFrame
     delta: DataFrame
     texts: DataFrame
+    seen: DataFrame
 
     @property
     def jobs(self) -> DataFrame:
@@ -316,7 +318,7 @@ def merge(
     pointed = F.explode(F.array(*[f"{p}_ref" for p in WIDE.values()]))
     fresh = delta.select(pointed.alias("ref")).where(F.startswith("ref", F.lit(batch))).distinct()
     texts = staged(sifted(sightings.select("ref", *WIDE), fresh, ["ref"]))
-    return Merged(table.changed(delta, texts), outcomes, delta, texts)
+    return Merged(table.changed(delta, texts), outcomes, delta, texts, seen)
 
 
 def run_counters(merged: Merged, observations: DataFrame, companies: DataFrame) -> DataFrame:

@@ -1098,7 +1098,8 @@ def _landed_in_parts(spark, sf) -> tuple[str, list[DataFrame]]:
 
     Every page was captured before with nothing on it, and some are captured twice.
     """
-    pages = payloads.captured_twice(payloads.greenhouse(worked(spark, sf)), '{"jobs":[]}')
+    # grouping them into pages deals them to the cores
+    pages = payloads.captured_twice(payloads.greenhouse(posts(spark, sf)), '{"jobs":[]}')
     nobody = F.lit(None).cast("string")
     marker = spark.range(1).select(
         F.lit("1").alias("run_id"), F.lit("greenhouse").alias("source"), nobody.alias("company_slug"),

@@ -50,12 +50,10 @@ def refresh(
     pages = landed.join(ok.select(F.col("slug").alias("company_slug")), "company_slug", "left_semi")
     # the sources in play are at most the eight that exist
     sources = [r[0] for r in ok.select("source").distinct().orderBy("source").collect()]
-    items = (
-        staged(read_items(pages.select(*landed.columns), ok, table.slim(), sources)) if sources else no_items(store.spark)
-    )
-    seen = good(items).select(*OBSERVATION.names)
-    merged = merge.merge(table, seen, ok, store.tombstones(), as_of)
-    counters = merge.run_counters(merged, seen, went)
+    # read once, by the merge, which writes what it has seen; texts of items would be three times the pages
+    items = read_items(pages.select(*landed.columns), ok, table.slim(), sources) if sources else no_items(store.spark)
+    merged = merge.merge(table, good(items).select(*OBSERVATION.names), ok, store.tombstones(), as_of)
+    counters = merge.run_counters(merged, merged.seen, went)
     notes = went.select(F.col("slug").alias("company_slug"), "error_message", "error_kind")
     log = counters.join(notes, "company_slug", "left").select(
         F.lit(run_id).alias("run_id"), clock(as_of).alias("started_at"), clock(as_of).alias("finished_at"), "source",

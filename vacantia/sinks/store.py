@@ -139,7 +139,8 @@ class Store:
             delta = delta.withColumn("deleted", F.lit(False))
         if texts is not None:
             # ordered by reference, so that a reader who wants few finds them in few files
-            texts.sortWithinPartitions("ref").write.mode("overwrite").parquet(f"{self.path}/texts/v={version}")
+            texts = texts.sortWithinPartitions("ref").write.mode("overwrite").option("compression", "zstd")
+            texts.parquet(f"{self.path}/texts/v={version}")
         if not base or version - base > self.deltas:
             went = large_side(delta.select("fingerprint"))
             kept = self.table(version - 1).state.join(went, "fingerprint", "left_anti")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,10 @@ REQUIRED_CONFIG = {
 }
 
 
+#: A column that tells rows of a written landing table apart, and so many of its values are broadcast.
+NUMBER, NUMBERS = "landed_row", 2_000_000
+
+
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
     """One JSON line per captured response."""
     return spark.read.schema(LANDING).json(path)
@@ -68,11 +75,20 @@ def _hashed(rows: DataFrame) -> DataFrame:
 def _latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The latest capture of each page (of equally late ones that of the greatest hash).
 
-    Nothing is written out: rows that are dealt by these keys already, or are joined by them
-    afterwards, are not shuffled for it, and each task drops its stale ones before a shuffle.
+    Nothing is written out.  Of rows that were written with a number the stale ones are found from keys,
+    times and numbers, and no payload is shuffled while those can be broadcast.  Of others each
+    task drops its stale ones before a shuffle; rows that are dealt by these keys already, or are
+    joined by them afterwards, are not shuffled for it.
     """
-    by_time = Window.partitionBy(*keys).orderBy(F.desc("fetched_at"), F.desc("payload_hash"))
-    return rows.withColumn("nth", F.row_number().over(by_time)).where("nth = 1").drop("nth", "payload_hash")
+    if NUMBER not in rows.columns:
+        by_time = Window.partitionBy(*keys).orderBy(F.desc("fetched_at"), F.desc("payload_hash"))
+        return rows.withColumn("nth", F.row_number().over(by_time)).where("nth = 1").drop("nth", "payload_hash")
+    narrow = rows.select(*keys, F.struct("fetched_at", "payload_hash", NUMBER).alias("at"))
+    best = narrow.groupBy(*keys).agg(F.max("at").alias("best"), F.count("*").alias("n")).where("n > 1")
+    best = staged(best.select(*[F.col(c).alias(f"of_{c}") for c in keys], F.col("best").alias("kept")))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in keys])
+    stale = narrow.join(small_side(best), same).where(f"at.{NUMBER} <> kept.{NUMBER}").select(f"at.{NUMBER}")
+    return rows.join(small_side(staged(stale), NUMBERS), NUMBER, "left_anti").drop(NUMBER, "payload_hash")
 
 
 def listings(landing: DataFrame, source: str) -> DataFrame:
@@ -88,7 +104,8 @@ def details(landing: DataFrame, source: str, wanted: DataFrame) -> DataFrame:
     most of the bytes.
     """
     rows = landing.where((F.col("source") == source) & (F.col("kind") == "detail"))
-    rows = _hashed(rows.select("company_slug", "ref", "fetched_at", "payload"))
+    number = [NUMBER] if NUMBER in landing.columns else []
+    rows = _hashed(rows.select("company_slug", "ref", "fetched_at", "payload", *number))
     keys = small_side(wanted.select("company_slug", "ref").where("ref IS NOT NULL").distinct())
     asked = rows.join(keys, ["company_slug", "ref"], "left_semi")
     return _latest(asked, ["company_slug", "ref"]).select("company_slug", "ref", F.col("payload").alias("detail"))

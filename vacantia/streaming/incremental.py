@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.filters import accepted
 from ..operators.merge import of_companies, with_fingerprint
 from ..operators.scoring import score
 from ..plans.refresh import refresh
 from ..schemas import LANDING
-from ..session import staged
+from ..session import small_side, staged
 from ..sinks.store import Store
+from ..sources.landing import NUMBER
 from ..sources.registry import STATELESS, read_observations
 
 APART, LATE = "6 hours", "10 minutes"
@@ -25,8 +26,9 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
 }
-#: A company's run is kept in so many groups, so that no task holds all pages of a large one.
-BUCKETS = 16
+#: Waiting pages are dealt to so many parts by run and company, so that a company's marker reads one of them;
+#: end markers are a part of their own.
+PARTS, MARKERS = 16, -1
 
 
 def _state_on_disk(spark: SparkSession) -> None:
@@ -82,92 +84,67 @@ def write_scored(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def _named(values) -> Row:
-    return Row(**dict(zip(LANDING.names, values, strict=True)))
+def part_of(run_id: Column, slug: Column, parts: int = PARTS) -> Column:
+    """The part of the waiting pages that a company's run lies in."""
+    return F.pmod(F.xxhash64(run_id, slug), F.lit(parts)).cast("int")
 
 
-class _UntilTheEnd(StatefulProcessor):
-    """Keeps what landed for a part of a company's run, and hands it on with the end marker.
+def keep_waiting(batch: DataFrame, folder: str, batch_id: int) -> None:
+    """Write what has landed, once, numbered and dealt to parts by run and company; end markers to a part of their own.
 
-    Pages are appended to a list in the state store, never rewritten.  After the marker only
-    a flag is left: what comes later, markers again included, is not handed on.
+    A replayed batch replaces what it wrote before.
     """
+    part = F.when(F.col("kind") == "end_of_run", MARKERS).otherwise(part_of(F.col("run_id"), F.col("company_slug")))
+    number = F.struct(F.lit(batch_id).cast("long").alias("batch"), F.monotonically_increasing_id().alias("row"))
+    rows = batch.where("kind IS NOT NULL").select(*LANDING.names, number.alias(NUMBER), part.alias("part"))
+    rows.write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(f"{folder}/batch={batch_id}")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._pages = handle.getListState("pages", LANDING)
-        self._ended = handle.getValueState("ended", "ended boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if self._ended.exists():
-            return
-        fresh, marker = [], None
-        for row in rows:
-            own = tuple(row[c] for c in LANDING.names)
-            if row["kind"] == "end_of_run":
-                marker = own
-            else:
-                fresh.append(own)
-        if marker is None:
-            self._pages.appendList(fresh)
-            return
-        for page in self._pages.get():
-            yield _named(page)
-        for page in fresh:
-            yield _named(page)
-        self._pages.clear()
-        self._ended.update((True,))
-        if key[2] == 0:
-            yield _named(marker)
-
-    def close(self) -> None:
-        pass
-
-
-def finished_runs(landing: DataFrame, companies: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """All pages of each company's run at once, when its end marker comes, and one marker with them.
-
-    A marker names a company, or none for all active ones of the run.
-    """
-    _state_on_disk(landing.sparkSession)
-    ends = landing.where("kind = 'end_of_run'").select(*LANDING.names)
-    slugs = companies.where("active").select(F.col("slug").alias("of_slug"), F.lit("end_of_run").alias("kind"))
-    # a row a company for each run's end: joined on the kind, which all markers share
-    of_all = ends.where("company_slug IS NULL").join(slugs, "kind").withColumn("company_slug", F.col("of_slug"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
-    told = ends.where("company_slug IS NOT NULL").unionByName(of_all.select(*LANDING.names)).withColumn("bucket", every)
-    spot = F.pmod(F.xxhash64("kind", "ref", "page"), F.lit(buckets)).cast("int")
-    pages = landing.where("kind <> 'end_of_run'").select(*LANDING.names, spot.alias("bucket"))
-    return pages.unionByName(told).groupBy("run_id", "company_slug", "bucket").transformWithState(
-        statefulProcessor=_UntilTheEnd(), outputStructType=LANDING, outputMode="append", timeMode="None"
-    )
 
+def read_waiting(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
+    """What has landed up to a batch."""
+    number = T.StructType([T.StructField("batch", T.LongType()), T.StructField("row", T.LongType())])
+    places = [T.StructField("batch", T.LongType()), T.StructField("part", T.IntegerType())]
+    schema = T.StructType([*LANDING.fields, T.StructField(NUMBER, number), *places])
+    return spark.read.schema(schema).parquet(folder).where(F.col("batch") <= batch_id)
 
-def merge_batch(store: Store, as_of_by_run, batch: DataFrame, batch_id: int) -> None:
-    """Merge the runs that ``finished_runs`` has handed on.
 
-    What is in the log of the run already is left out, and a batch that was committed is not
-    merged again, so replayed batches and repeated markers change nothing.
+def merge_batch(store: Store, as_of_by_run, folder: str, batch: DataFrame, batch_id: int) -> None:
+    """Keep a batch's pages, and merge the runs that its markers end, with all that has landed of them.
+
+    A marker names a company, or none for all active ones of the run.  What is in the log of
+    the run already is left out, and a batch that was committed is not merged again, so
+    replayed batches and repeated markers change nothing.
     """
-    landed = staged(batch.select(*LANDING.names))  # read several times; the state is read once
-    markers = landed.where("kind = 'end_of_run'").select("run_id", "company_slug").distinct()
-    pages = landed.where("kind <> 'end_of_run'")
+    keep_waiting(batch, folder, batch_id)
+    landed = read_waiting(store.spark, folder, batch_id)
+    markers = staged(
+        landed.where((F.col("part") == MARKERS) & (F.col("batch") == batch_id) & F.col("run_id").isNotNull())
+        .select("run_id", "company_slug").distinct()
+    )
     # one merge per finished run, all its marked companies together; run ids only reach the driver
     for (run_id,) in markers.select("run_id").distinct().orderBy("run_id").toLocalIterator():
         marked = markers.where(F.col("run_id") == run_id).select(F.col("company_slug").alias("slug"))
-        chosen = store.companies().where("active").join(marked, "slug", "left_semi")
+        chosen = store.companies().where("active")
+        if marked.where("slug IS NULL").isEmpty():
+            chosen = chosen.join(marked, "slug", "left_semi")
         logged = store.run_log().where(F.col("run_id") == run_id).select(F.col("company_slug").alias("slug"))
-        chosen = chosen.join(logged, "slug", "left_anti")
-        if not chosen.isEmpty():
-            refresh(store, pages, run_id, as_of_by_run(run_id), chosen, part=f"batch-{batch_id}")
+        chosen = staged(chosen.join(logged, "slug", "left_anti"))
+        # the parts that hold them: at most as many as there are
+        parts = [r[0] for r in chosen.select(part_of(F.lit(run_id), F.col("slug"))).distinct().collect()]
+        if parts:
+            pages = landed.where(F.col("part").isin(parts)).drop("batch", "part")
+            own = pages.join(small_side(chosen.select(F.col("slug").alias("company_slug"))), "company_slug", "left_semi")
+            refresh(store, own.select(*pages.columns), run_id, as_of_by_run(run_id), chosen, part=f"batch-{batch_id}")
 
 
 def merge_stream(store: Store, landing: DataFrame, as_of_by_run, checkpoint: str) -> StreamingQuery:
     """Merge runs as they end; ``as_of_by_run`` gives a run's clock.
 
-    What landed is read once and waits in the stream's state for its marker.
+    What lands is read once, and waits for its marker in a table beside the checkpoint.
     """
+    waiting = f"{checkpoint.rstrip('/')}-waiting"
     return (
-        finished_runs(landing, store.companies()).writeStream
-        .foreachBatch(lambda df, n: merge_batch(store, as_of_by_run, df, n))
+        landing.writeStream
+        .foreachBatch(lambda df, n: merge_batch(store, as_of_by_run, waiting, df, n))
         .outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
