@@ -289,7 +289,7 @@ def merge(
     rows = rows.withColumns({c: F.when(F.col("passes"), F.col(c)) for c in WIDE}).withColumn(
         "ref", F.concat(F.lit(f"{batch}/"), F.monotonically_increasing_id().cast("string"))
     )
-    seen = staged(rows.select("*", *keys_and_refs(F.col("ref"))))
+    seen = staged(rows.select("*", *keys_and_refs(F.col("ref"))), "zstd")
     sightings = seen.where("passes")
 
     closings = unseen(table.state, seen, companies)
@@ -317,7 +317,7 @@ def merge(
     delta = staged(_next_rows(folded, as_of))
     pointed = F.explode(F.array(*[f"{p}_ref" for p in WIDE.values()]))
     fresh = delta.select(pointed.alias("ref")).where(F.startswith("ref", F.lit(batch))).distinct()
-    texts = staged(sifted(sightings.select("ref", *WIDE), fresh, ["ref"]))
+    texts = staged(sifted(sightings.select("ref", *WIDE), fresh, ["ref"]), "zstd")
     return Merged(table.changed(delta, texts), outcomes, delta, texts, seen)
 
 

@@ -1020,7 +1020,7 @@ def _(spark, sf):
 
     Pages are made as they are read: written out, all boards' pages would be the texts eight times.
     """
-    df = staged(posts(spark, sf))  # once, for eight boards and what each asks beforehand
+    df = staged(posts(spark, sf), "zstd")  # once, for eight boards and what each asks beforehand
     with_texts = payloads.dealt(df)  # boards whose listings hold the texts
     pages = None
     for board in registry.READERS:

@@ -94,15 +94,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write a frame that several results read, once, and go on from the written table.
 
     It lies in the shared checkpoint folder, so a lost executor costs a re-read and
     no re-run.  Unlike an RDD checkpoint it is columnar: who needs two columns of
-    it reads two columns.  With zstd texts take two thirds of what the default takes.
+    it reads two columns.  With the codec zstd texts take two thirds of what the default takes.
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
